@@ -335,7 +335,7 @@ def ensemble_chunks(spark, root):
 
 def _fold_sql(old, new):
     return f"""WITH {EVENTS}, {_PREDICTED}, l AS (SELECT episode_index, chunk_start, step, list(action) OVER (PARTITION BY episode_index, step ORDER BY chunk_start) AS seen FROM pr WHERE step > chunk_start - 1)
-  SELECT episode_index, chunk_start, step, round(list_reduce(seen, lambda a, x: a * {old} + x * {new}), 6) AS queued FROM l"""
+  SELECT episode_index, chunk_start, step, round(list_reduce(seen, lambda a, x: a * {old} + x * {new}), 9) AS queued FROM l"""
 
 
 @query("e25_merge_chunks_weighted", _fold_sql(0.3, 0.7))
@@ -361,7 +361,7 @@ def merge_chunks_latest(spark, root):
 def _merged(spark, root, fold):
     actions = _actions(spark, root).withColumn("chunk_no", F.col("chunk_start")).withColumn("executed", F.col("chunk_start") - 1)
     out = W.merge_chunks(actions, fold, executed="executed")
-    return out.select("episode_index", "chunk_start", "step", tidy("queued").alias("queued"))
+    return out.select("episode_index", "chunk_start", "step", tidy("queued", 9).alias("queued"))
 
 
 @query("e26_expand_chunk", f"""WITH {EVENTS}, {_PREDICTED} SELECT episode_index, chunk_start, step, round(action, 6) AS action,

@@ -78,9 +78,9 @@ def running(
     ``strict`` leaves the current row out.
     """
     position = F.col(pos) if isinstance(pos, str) else pos
-    source = df.withColumn("_at", position).withColumn(SEG, segment_of(df, F.col("_at")))
+    source = df.withColumn("_run_at", position).withColumn(SEG, segment_of(df, F.col("_run_at")))
     source = source.withColumns({f"_in_{n}": c for n, (_, c) in values.items()})
-    rank = F.col("_at") if following else -F.col("_at")
+    rank = F.col("_run_at") if following else -F.col("_run_at")
     totals = []
     for name, (kind, _) in values.items():
         value = F.col(f"_in_{name}")
@@ -101,7 +101,7 @@ def running(
     for i, key in enumerate(keys):
         match = match & F.col(key).eqNullSafe(F.col(f"_k_{i}"))
     joined = source.join(carries, match, "left")
-    order = F.col("_at").desc() if following else F.col("_at").asc()
+    order = F.col("_run_at").desc() if following else F.col("_run_at").asc()
     here = Window.partitionBy(*keys, SEG).orderBy(order)
     here = here.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     out = {}
@@ -116,7 +116,7 @@ def running(
             out[name] = F.least(local, carry)
         else:
             out[name] = F.coalesce(local, carry)
-    helpers = ["_at", SEG, "_k_seg", *[f"_k_{i}" for i in range(len(keys))]]
+    helpers = ["_run_at", SEG, "_k_seg", *[f"_k_{i}" for i in range(len(keys))]]
     helpers += [f"{p}_{n}" for n in values for p in ("_in", "_carry")]
     return joined.withColumns(out).drop(*[h for h in helpers if h not in out])
 
@@ -180,3 +180,14 @@ def spread_join(frames: DataFrame, groups: DataFrame, key: str, pos: str, length
     last = F.floor(F.greatest(F.col(length) - 1, F.lit(0)) / size)
     pieces = groups.withColumn(SEG, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     return frames.withColumn(SEG, segment_of(frames, pos)).join(pieces, [key, SEG], how).drop(SEG)
+
+
+def salted_join(facts: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join a keyed table to facts with hot keys: the keyed side is repeated once per salt.
+
+    Rows without a dense position use this; a frame table uses ``spread_join``. Under the
+    auto-broadcast size the salt costs nothing, as Spark then shuffles no side.
+    """
+    mixed = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return mixed.join(copies, [*keys, "_salt"], how).drop("_salt")
