@@ -36,7 +36,7 @@ def _hist_sql(source: str, keys: str) -> str:
     """Histogram quantiles of tall rows ``source`` per ``keys, feature, dim``."""
     g = f"{keys}feature, dim"
     pick = ", ".join(
-        f"min(CASE WHEN cum >= {q} * total THEN {{'bin': bin, 'v': CASE WHEN bin = 0 THEN lo ELSE lo + (bin + ({q} * total - (cum - n)) / n) * ((hi - lo) / 5000) END}} END).v AS {name}"
+        f"min(CASE WHEN cum >= {q}::DOUBLE * total THEN {{'bin': bin, 'v': CASE WHEN bin = 0 THEN lo ELSE lo + (bin + ({q}::DOUBLE * total - (cum - n)) / n) * ((hi - lo) / 5000) END}} END).v AS {name}"
         for q, name in zip(S.QUANTILES, QN))
     return f"""st AS (SELECT {g}, count(value) AS count, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_pop(value) AS std FROM {source} GROUP BY ALL),
   ed AS (SELECT {g}, count AS total, min - 1e-10::DOUBLE AS lo, max + 1e-10::DOUBLE AS hi FROM st),
@@ -47,12 +47,13 @@ def _hist_sql(source: str, keys: str) -> str:
 
 
 _SHOW_Q = ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in QN)
+_SHOW_Q8 = ", ".join(f"round({n}, 8) + 0.0 AS {n}" for n in QN)
 _SHOW_B = "count, round(min, 7) + 0.0 AS min, round(max, 7) + 0.0 AS max, round(mean, 7) + 0.0 AS mean, round(std, 7) + 0.0 AS std"
 
 
-def _shown_q(stats, keys=()):
+def _shown_q(stats, keys=(), digits=6):
     base = [tidy(n, 7).alias(n) if n != "count" else F.col(n).cast("bigint").alias(n) for n in BASE]
-    return stats.select(*keys, "feature", F.col("dim").cast("bigint").alias("dim"), *base, *[tidy(n).alias(n) for n in QN])
+    return stats.select(*keys, "feature", F.col("dim").cast("bigint").alias("dim"), *base, *[tidy(n, digits).alias(n) for n in QN])
 
 
 @query("f01_feature_stats_episode", f"WITH {LINES}, {LINE_TALL} SELECT episode_index, feature, dim, {_agg_sql()} FROM lt GROUP BY 1, 2, 3")
@@ -67,10 +68,10 @@ def feature_stats_vector(spark, root):
     return _shown(S.feature_stats(S.to_series(frames, ["episode_index"], ["state"]), ["episode_index"]), ["episode_index"])
 
 
-@query("f02_histogram_quantiles", f"WITH {LINES}, {LINE_TALL}, {_hist_sql('lt', '')} SELECT feature, dim, {_SHOW_B}, {_SHOW_Q} FROM hq")
+@query("f02_histogram_quantiles", f"WITH {LINES}, {LINE_TALL}, {_hist_sql('lt', '')} SELECT feature, dim, {_SHOW_B}, {_SHOW_Q8} FROM hq")
 def histogram_quantiles(spark, root):
     lines = spark.read.parquet(f"{root}/lineitem.parquet")
-    return _shown_q(S.histogram_quantiles(S.to_series(lines, [], LINE_FEATURES)))
+    return _shown_q(S.histogram_quantiles(S.to_series(lines, [], LINE_FEATURES)), digits=8)
 
 
 @query("f02_exact_quantiles", f"""WITH {EVENTS} SELECT episode_index, 'value' AS feature, 0 AS dim,
@@ -81,12 +82,12 @@ def exact_quantiles(spark, root):
     return out.select("episode_index", "feature", F.col("dim").cast("bigint").alias("dim"), *[tidy(n).alias(n) for n in QN])
 
 
-@query("f03_small_group_fallback", f"WITH {LINES}, {LINE_TALL}, {_hist_sql('lt', 'episode_index, ')} SELECT episode_index, feature, dim, {_SHOW_B}, {_SHOW_Q} FROM hq")
+@query("f03_small_group_fallback", f"WITH {LINES}, {LINE_TALL}, {_hist_sql('lt', 'episode_index, ')} SELECT episode_index, feature, dim, {_SHOW_B}, {_SHOW_Q8} FROM hq")
 def small_group_fallback(spark, root):
     """Per-episode quantiles; episodes of one frame take the mean."""
     frames, _ = line_frames(spark, root)
     tall = S.to_series(frames, ["episode_index"], LINE_FEATURES)
-    return _shown_q(S.histogram_quantiles(tall, ["episode_index"]), ["episode_index"])
+    return _shown_q(S.histogram_quantiles(tall, ["episode_index"]), ["episode_index"], digits=8)
 
 
 _MERGED = f"""m AS (SELECT feature, dim, sum(count) AS count, min(min) AS min, max(max) AS max, sum(count * mean) / sum(count) AS mean,

@@ -1,0 +1,124 @@
+"""Feature specifications: the declared columns of a frame table.
+
+A specification is ``{name: {"dtype": ..., "shape": (...), "names": [...]}}``.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import types as T
+
+# The columns every frame table has.
+MANDATORY = {
+    "timestamp": {"dtype": "float32", "shape": (1,), "names": None},
+    "frame_index": {"dtype": "int64", "shape": (1,), "names": None},
+    "episode_index": {"dtype": "int64", "shape": (1,), "names": None},
+    "index": {"dtype": "int64", "shape": (1,), "names": None},
+    "task_index": {"dtype": "int64", "shape": (1,), "names": None},
+}
+# Spark has no unsigned types, so those widen.
+SCALARS = {
+    "float32": T.FloatType(), "float64": T.DoubleType(), "float16": T.FloatType(), "int64": T.LongType(), "int32": T.IntegerType(),
+    "int16": T.ShortType(), "int8": T.ByteType(), "uint8": T.ShortType(), "uint16": T.IntegerType(), "uint32": T.LongType(),
+    "bool": T.BooleanType(), "string": T.StringType(), "image": T.BinaryType(),
+}
+
+
+def schema_from_features(features: dict) -> T.StructType:
+    """Spark schema of the stored columns; video lives outside the table."""
+    fields = []
+    for name, spec in features.items():
+        if spec["dtype"] == "video":
+            continue
+        shape = tuple(spec["shape"])
+        if len(shape) > 5:
+            raise ValueError(f"feature {name!r}: rank {len(shape)} is not supported")
+        kind = SCALARS[spec["dtype"]]
+        if spec["dtype"] not in ("image", "string") and shape != (1,):
+            for _ in shape:
+                kind = T.ArrayType(kind, containsNull=False)
+        meta = {"dtype": spec["dtype"], "shape": list(shape), "names": list(spec.get("names") or [])}
+        fields.append(T.StructField(name, kind, True, meta))
+    return T.StructType(fields)
+
+
+def features_from_schema(schema: T.StructType) -> dict:
+    """Inverse; columns without metadata get the dtype of their Spark type and an open shape."""
+    back = {}
+    for name, kind in SCALARS.items():
+        back.setdefault(kind.simpleString(), name)
+    out = {}
+    for field in schema.fields:
+        kind, rank = field.dataType, 0
+        while isinstance(kind, T.ArrayType):
+            kind, rank = kind.elementType, rank + 1
+        meta = field.metadata or {}
+        shape = tuple(meta.get("shape") or ((1,) if rank == 0 else (-1,) * rank))
+        out[field.name] = {
+            "dtype": meta.get("dtype") or back.get(kind.simpleString(), kind.simpleString()), "shape": shape, "names": meta.get("names") or None,
+        }
+    return out
+
+
+def bad_feature_names(names: Sequence[str]) -> list[str]:
+    """Names with a slash, which the statistics columns use as a separator."""
+    return [n for n in names if "/" in n]
+
+
+def classify(name: str, dtype: str) -> str | None:
+    """VISUAL, ENV, STATE or ACTION from the name and dtype; None when the feature is of no class."""
+    if dtype in ("image", "video"):
+        return "VISUAL"
+    if name == "observation.environment_state":
+        return "ENV"
+    if name.startswith("observation"):
+        return "STATE"
+    return "ACTION" if name.startswith("action") else None
+
+
+def classify_features(features: dict) -> dict[str, tuple[str, tuple]]:
+    """Class and shape per feature; image shapes come channel first."""
+    out = {}
+    for name, spec in features.items():
+        kind = classify(name, spec["dtype"])
+        if kind is None:
+            continue
+        shape, names = tuple(spec["shape"]), spec.get("names") or []
+        if kind == "VISUAL":
+            if len(shape) != 3:
+                raise ValueError(f"feature {name!r}: an image has three dimensions, not {len(shape)}")
+            if len(names) == 3 and names[2] in ("channel", "channels"):
+                shape = (shape[2], shape[0], shape[1])
+        out[name] = (kind, shape)
+    return out
+
+
+def merge_feature_specs(*specs: dict) -> dict:
+    """Union of specifications: vectors of one name append new element names; else the last wins."""
+    out: dict = {}
+    for spec in specs:
+        for name, entry in spec.items():
+            vector = entry["dtype"] not in ("image", "video", "string") and bool(entry.get("names")) and len(entry["shape"]) == 1
+            if name not in out or not vector:
+                out[name] = dict(entry)
+                continue
+            known = out[name]
+            if known["dtype"] != entry["dtype"]:
+                raise ValueError(f"feature {name!r}: dtype {known['dtype']} and {entry['dtype']}")
+            names = list(known.get("names") or [])
+            names += [n for n in entry["names"] if n not in names]
+            out[name] = {**known, "names": names, "shape": (len(names),)}
+    return out
+
+
+def check_version(found: str, current: str) -> str | None:
+    """An older major version is an error, an older minor one a warning text."""
+    def parts(text):
+        return [int(x) for x in re.findall(r"\d+", text)[:2]]
+
+    (major, minor), (now_major, now_minor) = parts(found), parts(current)
+    if major < now_major:
+        raise ValueError(f"dataset version {found} is older than {current}: convert it first")
+    return f"dataset version {found} is behind {current}" if minor < now_minor else None

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetable.functions.numbers import hash_int, hash_order
 from kinetable.plans.frames import episode_offsets
@@ -76,7 +77,7 @@ def shuffle_sharded(frames: DataFrame, shards: int, buffer: int, seed: int) -> D
         if held:
             yield emit([held[i] for i in rng.permutation(len(held))])
 
-    schema = placed.schema.add("position", "bigint")
+    schema = T.StructType([*placed.schema.fields, T.StructField("position", T.LongType())])
     return placed.mapInPandas(drain, schema)
 
 
