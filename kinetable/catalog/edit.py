@@ -187,12 +187,12 @@ def assign_files(spark, root):
 
 
 @query("a08_files_for_episodes", f"""WITH RECURSIVE {_FILES} SELECT DISTINCT format('data/chunk-{{:03d}}/file-{{:03d}}.parquet', chunk_index, file_index) AS path FROM af
-  WHERE episode_index IN (SELECT episode_index FROM fe WHERE value > 400)""")
+  WHERE episode_index IN (SELECT episode_index FROM fe WHERE value > 150)""")
 def files_for_episodes(spark, root):
     from kinetable.sources.layout import files_for_episodes as files
 
     frames, placed = _files(spark, root)
-    return files(placed, frames.filter("value > 400"))
+    return files(placed, frames.filter("value > 150"))
 
 
 @query("a10_append_episodes", f"""WITH {_TWO} SELECT l_orderkey, ep AS episode_index, count(*) AS length, min(ix) AS dataset_from_index, max(ix) + 1 AS dataset_to_index, src::BIGINT AS file_index FROM mm GROUP BY ALL""")
