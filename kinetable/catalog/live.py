@@ -124,7 +124,7 @@ def stream_velocity(spark, root):
 @query("j07_route_interventions", """SELECT event_id, 'online' AS "table" FROM events WHERE value >= 20 UNION ALL SELECT event_id, 'offline' FROM events WHERE value >= 20 AND event_type = 'error'""")
 def route_interventions(spark, root):
     rows = _events(spark, root).withColumn("state", F.array(F.when(F.col("value") < 20, F.lit(float("nan"))).otherwise(F.col("value"))))
-    path = _drain(spark, rows, J.route_interventions(["state"], F.col("event_type") == "error", ""))
+    path = _drain(spark, rows, J.route_interventions(["state"], F.col("event_type") == "error"))
     return M.output(spark, path).select("event_id", "table")
 
 

@@ -16,27 +16,25 @@ from pyspark.sql import functions as F
 
 from kinetable.operators.relate import remap_tasks
 from kinetable.operators.stats import merge_stats
-from kinetable.plans.frames import EpisodicDataset, episode_offsets
-from kinetable.plans.segments import MAX_GROUP_ROWS, SEG, number_rows, running, segment_of, segment_rows, spread_join
+from kinetable.plans.frames import EpisodicDataset
+from kinetable.plans.segments import MAX_GROUP_ROWS, group_bound, number_rows, running, spread_join
 
 
-def _renumber(frames: DataFrame, mapping: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Give frames the new episode and index of ``mapping(episode_index, new_episode, new_from, length)``."""
-    size = segment_rows(frames)
-    slim = mapping.select(*keys, "episode_index", "_new_episode", "_new_from", F.col("length").alias("_length"))
-    last = F.floor(F.greatest(F.col("_length") - 1, F.lit(0)) / size)
-    pieces = slim.withColumn(SEG, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    rows = frames.withColumn(SEG, segment_of(frames, "frame_index")).join(pieces, [*keys, "episode_index", SEG])
+def _renumber(frames: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Give frames the new episode and index of ``mapping(episode_index, _new_episode, _new_from, length)``."""
+    slim = mapping.select("episode_index", "_new_episode", "_new_from", F.col("length").alias("_length"))
+    rows = spread_join(frames, slim, "episode_index", "frame_index", "_length")
     return rows.withColumns({
         "episode_index": F.col("_new_episode"), "index": F.col("_new_from") + F.col("frame_index")
-    }).drop("_new_episode", "_new_from", "_length", SEG)
+    }).drop("_new_episode", "_new_from", "_length")
 
 
 def reindex(dataset: EpisodicDataset, kept: DataFrame) -> EpisodicDataset:
     """The dataset with only the kept episodes, all numbers dense again."""
     chosen = dataset.episodes.join(kept.select("episode_index"), "episode_index", "left_semi")
-    placed = number_rows(chosen, [], ["episode_index"], "_new_episode")
-    placed = episode_offsets(placed, "length", "_new_from", "_new_to", pos="_new_episode")
+    placed = number_rows(
+        chosen, [], ["episode_index"], "_new_episode", at_most=group_bound(chosen, "episode_index"), sums={"_new_to": "length"})
+    placed = placed.withColumn("_new_from", F.col("_new_to") - F.col("length"))
     frames = _renumber(dataset.frames, placed)
     episodes = placed.withColumns({
         "episode_index": F.col("_new_episode"), "dataset_from_index": F.col("_new_from"), "dataset_to_index": F.col("_new_to")
@@ -52,7 +50,7 @@ def reindex(dataset: EpisodicDataset, kept: DataFrame) -> EpisodicDataset:
 def used_tasks(frames: DataFrame, tasks: DataFrame) -> DataFrame:
     """Tasks that still occur, renumbered in first-seen order."""
     seen = frames.groupBy("task_index").agg(F.min("index").alias("_first")).join(tasks, "task_index")
-    return number_rows(seen.drop("task_index"), [], ["_first"], "task_index").select("task", "task_index")
+    return number_rows(seen.drop("task_index"), [], ["_first"], "task_index", derived=True).select("task", "task_index")
 
 
 def reindex_stats(stats: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -117,8 +115,9 @@ def split_dataset(dataset: EpisodicDataset, splits: dict[str, float] | DataFrame
         if splits.join(dataset.episodes, "episode_index", "left_anti").limit(1).count():
             raise ValueError("a split names an episode that does not exist")
         assigned = dataset.episodes.join(splits.select("episode_index", "split"), "episode_index")
-    placed = number_rows(assigned, ["split"], ["episode_index"], "_new_episode")
-    placed = episode_offsets(placed, "length", "_new_from", "_new_to", keys=["split"], pos="_new_episode")
+    placed = number_rows(
+        assigned, ["split"], ["episode_index"], "_new_episode", at_most=group_bound(assigned, "episode_index"), sums={"_new_to": "length"})
+    placed = placed.withColumn("_new_from", F.col("_new_to") - F.col("length"))
     frames = spread_join(dataset.frames, placed.select("episode_index", F.col("length").alias("_length"), "split", "_new_episode", "_new_from"), "episode_index", "frame_index", "_length")
     frames = frames.withColumns({
         "episode_index": F.col("_new_episode"), "index": F.col("_new_from") + F.col("frame_index")}).drop("_new_episode", "_new_from", "_length")
@@ -136,7 +135,7 @@ def union_tasks(sources: Sequence[DataFrame]) -> DataFrame:
     """Distinct task texts in the order of (source, id), renumbered."""
     every = _tagged([t.select("task", "task_index") for t in sources], "_source")
     first = every.groupBy("task").agg(F.min(F.struct("_source", "task_index")).alias("_first"))
-    return number_rows(first, [], ["_first"], "task_index").select("task", "task_index")
+    return number_rows(first, [], ["_first"], "task_index", derived=True).select("task", "task_index")
 
 
 def source_offsets(sources: Sequence[EpisodicDataset]) -> DataFrame:
@@ -190,7 +189,7 @@ def modify_tasks(dataset: EpisodicDataset, default: str | None = None, overrides
     choices.append(F.lit(default) if default is not None else F.get("tasks", F.lit(0)))
     rows = rows.withColumn("_task", F.coalesce(*choices))
     texts = rows.select(F.col("_task").alias("task")).distinct()
-    tasks = number_rows(texts, [], ["task"], "task_index")
+    tasks = number_rows(texts, [], ["task"], "task_index", derived=True)
     named = rows.join(tasks.withColumnRenamed("task", "_task"), "_task")
     ids = named.select("episode_index", F.col("length").alias("_length"), F.col("task_index").alias("_id"))
     frames = spread_join(dataset.frames.drop("task_index"), ids, "episode_index", "frame_index", "_length")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinetable.functions.numbers import clip
 from kinetable.operators.windows import EPISODE, FRAME
-from kinetable.plans.segments import SEG, bounded, number_rows, running, salted_join, segment_rows, spread_join
+from kinetable.plans.segments import SEG, bounded, group_bound, number_rows, running, salted_join, segment_rows, spread_join
 
 AFTER_LAST = 0.999
 
@@ -49,7 +49,7 @@ def stage_and_tau(frames: DataFrame, intervals: DataFrame, names: Sequence[str])
     if stages == 1:
         tau = clip(F.col(FRAME) / F.greatest(F.col("length") - 1, F.lit(1)), 0.0, 1.0)
         return frames.withColumns({"stage": F.lit(0).cast("bigint"), "tau": tau})
-    lists = number_rows(intervals, EPISODE, ["position"], "_slot")
+    lists = number_rows(intervals, EPISODE, ["position"], "_slot", at_most=group_bound(frames, FRAME))
     lists = bounded(lists, EPISODE, "_slot", 0, 1, lambda w: {"_next": F.lead("start_frame", 1).over(w)})
     inside = lists.select(
         "episode_index", F.struct(F.lit(0).alias("kind"), "position").alias("rank"), F.col("start_frame").alias("lo"), F.col("end_frame").alias("hi"),

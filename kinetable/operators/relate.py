@@ -28,8 +28,8 @@ def register_tasks(frames: DataFrame, existing: DataFrame | None = None, text: s
     """All tasks with dense ids: known ones keep theirs, new ones follow in first-seen order."""
     seen = frames.groupBy(F.col(text).alias("task")).agg(F.min(order).alias("_first"))
     if existing is None:
-        return number_rows(seen, [], ["_first"], "task_index").select("task", "task_index")
-    fresh = number_rows(seen.join(existing, "task", "left_anti"), [], ["_first"], "_no")
+        return number_rows(seen, [], ["_first"], "task_index", derived=True).select("task", "task_index")
+    fresh = number_rows(seen.join(existing, "task", "left_anti"), [], ["_first"], "_no", derived=True)
     top = existing.agg(F.coalesce(F.max("task_index") + 1, F.lit(0)).alias("_base"))
     fresh = fresh.crossJoin(top).select("task", (F.col("_base") + F.col("_no")).alias("task_index"))
     return existing.select("task", "task_index").unionByName(fresh)

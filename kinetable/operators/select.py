@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetable.functions.numbers import hash_int, hash_order
-from kinetable.plans.frames import episode_offsets
-from kinetable.plans.segments import number_rows, spread_join
+from kinetable.plans.segments import group_bound, number_rows, spread_join
 
 
 def select_episodes(frames: DataFrame, chosen: DataFrame) -> DataFrame:
     """Frames of the chosen episodes (``episode_index, length``) with a dense ``relative_index``."""
-    kept = number_rows(chosen.select("episode_index", F.col("length").alias("_length")), [], ["episode_index"], "_no")
-    kept = episode_offsets(kept, "_length", "_from", "_to", pos="_no").drop("_no", "_to")
+    kept = chosen.select("episode_index", F.col("length").alias("_length"))
+    kept = number_rows(kept, [], ["episode_index"], "_no", at_most=group_bound(kept, "episode_index"), sums={"_to": "_length"})
+    kept = kept.withColumn("_from", F.col("_to") - F.col("_length")).drop("_no", "_to")
     out = spread_join(frames, kept, "episode_index", "frame_index", "_length")
     return out.withColumn("relative_index", F.col("_from") + F.col("frame_index")).drop("_from", "_length")
 
@@ -36,7 +36,7 @@ def sample_frames(frames: DataFrame, drop_first: int = 0, drop_last: int = 0, ep
 def shuffle_frames(frames: DataFrame, seed: int, out: str = "position") -> DataFrame:
     """Add the place of each frame in a repeatable random permutation."""
     mixed = frames.withColumn("_mix", hash_order(seed, "index"))
-    return number_rows(mixed, [], ["_mix", "index"], out).drop("_mix")
+    return number_rows(mixed, [], ["_mix", "index"], out, at_most=group_bound(frames, "index")).drop("_mix")
 
 
 def shuffle_sharded(frames: DataFrame, shards: int, buffer: int, seed: int) -> DataFrame:
@@ -166,7 +166,7 @@ def sample_chunks(chunks: DataFrame, key: str, pos: str, fraction: float, seed:
     """A share of the chunks of each episode, at least one, chosen by hash."""
     rows = chunks if max_episodes is None else chunks.filter(F.col(key) < max_episodes)
     mixed = rows.withColumn("_mix", hash_order(seed, key, pos))
-    placed = number_rows(mixed, [key], ["_mix", pos], "_rank")
+    placed = number_rows(mixed, [key], ["_mix", pos], "_rank", at_most=group_bound(rows, pos))
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     out = spread_join(placed, sizes, key, "_rank", "_n")
     return out.filter(F.col("_rank") < F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).drop("_mix", "_rank", "_n")
@@ -205,7 +205,7 @@ def trim_outliers(points: DataFrame, key: str, pos: str, size: str, x: str, y: s
     bounds = latest.groupBy(key).agg(  # at most ``recent`` points per key
         F.percentile("_r", low).alias("_lo"), F.percentile("_r", high).alias("_hi"), F.count(F.lit(1)).alias("_n"))
     kept = latest.join(bounds, key).filter((F.col("_n") < 20) | F.col("_r").between(F.col("_lo"), F.col("_hi")))
-    kept = number_rows(kept, [key], [pos], "_rank")
+    kept = number_rows(kept, [key], [pos], "_rank", at_most=recent)
     sizes = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_m"))
     out = kept.join(sizes, key).filter(
         (F.col("_m") <= cap) | is_even_pick(F.col("_rank"), F.col("_m"), F.lit(cap), rounded=False))

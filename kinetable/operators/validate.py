@@ -42,17 +42,18 @@ def _rules(frames: DataFrame, features: dict) -> list[Column]:
             rules.append(F.lit(f"{name}: rank {rank} is not that of {shape}"))
             continue
         rules.append(F.when(value.isNull(), f"{name}: null"))
-        level = value
-        for depth in range(rank):
-            bad = F.size(level) != shape[depth]
-            if depth:
-                bad = F.exists(value, lambda inner, d=shape[depth]: F.size(inner) != d) if depth == 1 else F.lit(False)
-            rules.append(F.when(bad, f"{name}: not of shape {shape}"))
-            if depth == 1:
-                break
+        rules.append(F.when(~_fits(value, shape[:rank]), f"{name}: not of shape {shape}"))
     return rules
 
 
+def _fits(value: Column, shape: tuple[int, ...]) -> Column:
+    """Whether a nested array has the given size at every level."""
+    if not shape:
+        return F.lit(True)
+    here = F.size(value) == shape[0]
+    return here if len(shape) == 1 else here & F.forall(value, lambda inner: _fits(inner, shape[1:]))
+
+
 def validate_frames(frames: DataFrame, features: dict) -> DataFrame:
     """Add ``errors``: every broken rule of the row against the declared features."""
     return frames.withColumn("errors", F.array_distinct(F.array_compact(F.array(*_rules(frames, features), F.lit(None).cast("string")))))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetable.plans.segments import SEG, bounded, number_rows, running, segment_of, segment_rows, spread_join
+from kinetable.plans.segments import SEG, bounded, group_bound, note_bound, number_rows, running, segment_of, segment_rows, spread_join
 
 EPISODE = ["episode_index"]
 FRAME = "frame_index"
@@ -275,6 +275,7 @@ def weighted_moving_filter(frames: DataFrame, value: str, weights: Sequence[floa
     )
     placed = running(changed, EPISODE, FRAME, {"_count": ("sum", F.col("_new").cast("bigint"))})
     kept = placed.filter("_new").withColumn("_pos", F.col("_count") - 1)
+    kept = note_bound(kept, "_pos", group_bound(frames, FRAME))
 
     def build(w):
         total = sum((F.lag(value, k).over(w) if k else F.col(value)) * F.lit(float(c)) for k, c in enumerate(weights))
@@ -446,7 +447,7 @@ def latency_window(log: DataFrame, key: str, pos: str, latency: str, size: int,
 
     A quantile of 1 or more is the all-time maximum, of 0 or less the window minimum.
     """
-    kept = number_rows(log.filter(F.col(latency) >= 0), [key], [pos], "_pos")
+    kept = number_rows(log.filter(F.col(latency) >= 0), [key], [pos], "_pos", at_most=group_bound(log, pos))
 
     def build(w):
         recent = w.rowsBetween(-(size - 1), 0)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.plans.segments import number_rows, running, spread_join
+from kinetable.plans.segments import group_sizes, note_bound, number_rows, running, spread_join
 
 
 @dataclass
@@ -40,11 +40,14 @@ def index_frames(
     Returns (frames, episodes). Episodes are ordered by ``key``; ``timestamp`` is
     ``frame_index / fps`` when ``fps`` is given and no ``timestamp`` column exists.
     """
-    frames = number_rows(rows, [key], order, "frame_index")
+    longest, total, count = group_sizes(rows, [key])
+    frames = number_rows(rows, [key], order, "frame_index", at_most=longest)
     episodes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("length"), *episode_aggs)
-    episodes = episode_offsets(number_rows(episodes, [], [key], "episode_index"))
+    episodes = number_rows(episodes, [], [key], "episode_index", at_most=count, sums={"dataset_to_index": "length"})
+    episodes = episodes.withColumn("dataset_from_index", F.col("dataset_to_index") - F.col("length"))
     out = spread_join(frames, episodes, key, "frame_index", "length")
     out = out.withColumn("index", F.col("dataset_from_index") + F.col("frame_index"))
+    out = note_bound(out, "index", total)
     if fps and "timestamp" not in rows.columns:
         out = out.withColumn("timestamp", F.col("frame_index") / F.lit(float(fps)))
     return out, episodes

@@ -9,7 +9,10 @@ window partitions by ``(episode, segment)``:
 * a running value adds the carry of the earlier segments, which is a window over one
   row per segment (``running``).
 
-``number_rows`` makes the dense position in the first place.
+``number_rows`` makes the dense position in the first place, and notes the size of the largest
+group in the metadata of the position column. Where that size is at most one segment, the
+operators plan an ordinary window or join, which is then bounded already. The note only picks
+the plan: results do not depend on it.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from kinetable.session import materialize, setting
 SEG = "_segment"
 _OWN = "_own"
 SEGMENT_ROWS = 65_536
-MAX_GROUP_ROWS = 2_000_000
+MAX_GROUP_ROWS = 1_000_000
+GROUP_ROWS = "groupRows"
 
 
 def segment_rows(df: DataFrame) -> int:
@@ -35,6 +39,22 @@ def max_group_rows(df: DataFrame) -> int:
     return setting(df.sparkSession, "maxGroupRows", MAX_GROUP_ROWS)
 
 
+def group_bound(df: DataFrame, *positions: str) -> int | None:
+    """Largest group size noted on any of the position columns."""
+    noted = [df.schema[p].metadata.get(GROUP_ROWS) for p in positions if p in df.columns]
+    noted = [n for n in noted if n is not None]
+    return min(noted) if noted else None
+
+
+def note_bound(df: DataFrame, position: str, rows: int | None) -> DataFrame:
+    return df if rows is None else df.withMetadata(position, {GROUP_ROWS: int(rows)})
+
+
+def _one_segment(df: DataFrame, position: str | Column) -> bool:
+    known = group_bound(df, position) if isinstance(position, str) else None
+    return known is not None and known <= segment_rows(df)
+
+
 def segment_of(df: DataFrame, pos: str | Column) -> Column:
     position = F.col(pos) if isinstance(pos, str) else pos
     return F.floor(position / F.lit(segment_rows(df))).cast("bigint")
@@ -53,6 +73,8 @@ def bounded(
     ``pos`` is dense from 0 inside ``keys``. Inside the window handed to ``build`` every
     row of the segment finds its neighbours up to the reach, or the true end of the group.
     """
+    if _one_segment(df, pos):
+        return df.withColumns(build(Window.partitionBy(*keys).orderBy(pos)))
     size = segment_rows(df)
     first = F.floor(F.greatest(F.lit(0), F.col(pos) - ahead) / size)
     last = F.floor((F.col(pos) + back) / size)
@@ -77,6 +99,10 @@ def running(
     ``min`` and ``last`` (latest non-null). ``following`` runs from the end instead;
     ``strict`` leaves the current row out.
     """
+    if _one_segment(df, pos):
+        order = F.col(pos).desc() if following else F.col(pos).asc()
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+        return df.withColumns({name: _fold(kind, column, whole) for name, (kind, column) in values.items()})
     position = F.col(pos) if isinstance(pos, str) else pos
     source = df.withColumn("_run_at", position).withColumn(SEG, segment_of(df, F.col("_run_at")))
     source = source.withColumns({f"_in_{n}": c for n, (_, c) in values.items()})
@@ -129,23 +155,44 @@ def _fold(kind: str, column: Column, window: WindowSpec) -> Column:
     raise ValueError(f"unknown running kind {kind!r}")
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int, int]:
+    """Rows of the largest group, rows in all, and number of groups; one job over the keys."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
+    biggest, total, groups = sizes.agg(F.max("n"), F.sum("n"), F.count("n")).first()
+    return biggest or 0, total or 0, groups or 0
+
+
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, *,
+    at_most: int | None = None, derived: bool = False, sums: dict[str, str] | None = None,
+) -> DataFrame:
     """Add the 0-based position of each row inside ``keys`` under ``order`` (a total order).
 
     When every group is small a window does it. Otherwise rows are range-partitioned by
     key and order, so a hot group spreads over many tasks, and each row's place in its
     partition is shifted by the rows of the same group in earlier partitions.
+
+    ``at_most`` is a known bound on the group size and saves the job that measures it.
+    ``derived`` marks a small result of a large plan: it is written once, then measured.
+    ``sums`` maps new columns to columns summed up to and including each row.
     """
     limit = max_group_rows(df)
-    if keys:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if at_most is not None:
+        biggest, parts = at_most, None
     else:
-        sizes = df.agg(F.count(F.lit(1)).alias("n"))
-    biggest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if (biggest or 0) <= limit:
+        df = materialize(df) if derived else df
+        biggest, total, _ = group_sizes(df, keys)
+        parts = -(-total // limit)
+    if biggest <= limit:
         window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(window).cast("bigint") - 1)
-    return _number_by_range(df, keys, order, out, -(-total // limit))
+        so_far = window.rowsBetween(Window.unboundedPreceding, 0)
+        columns = {out: F.row_number().over(window).cast("bigint") - 1}
+        columns |= {name: F.sum(column).over(so_far) for name, column in (sums or {}).items()}
+        return note_bound(df.withColumns(columns), out, biggest)
+    numbered = note_bound(_number_by_range(df, keys, order, out, parts or 1), out, biggest)
+    if sums:
+        numbered = running(numbered, keys, out, {name: ("sum", F.col(column)) for name, column in sums.items()})
+    return numbered
 
 
 def _number_by_range(df: DataFrame, keys, order, out: str, parts: int) -> DataFrame:
@@ -176,6 +223,8 @@ def spread_join(frames: DataFrame, groups: DataFrame, key: str, pos: str, length
     ``groups`` has one row per ``key`` with its ``length``; it is repeated once per segment,
     which is one row per ``segment_rows`` frames.
     """
+    if _one_segment(frames, pos):
+        return frames.join(groups, key, how)
     size = segment_rows(frames)
     last = F.floor(F.greatest(F.col(length) - 1, F.lit(0)) / size)
     pieces = groups.withColumn(SEG, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))

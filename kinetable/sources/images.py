@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +40,7 @@ def _rgb(data: bytes, channels: int) -> bytes:
 def scaled_pixels(images: DataFrame, channel_first: bool = True) -> DataFrame:
     """Pixels as 32-bit floats in [0, 1], channel planes first or interleaved."""
     kept = [c for c in images.columns if c != "pixels"]
-    schema = images.select(*kept).schema.add("values", "array<float>")
+    schema = T.StructType([*images.select(*kept).schema.fields, T.StructField("values", T.ArrayType(T.FloatType()))])
 
     def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

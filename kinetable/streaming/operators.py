@@ -118,7 +118,7 @@ def velocity_and_limit(source: str, order: Sequence[str], value: str, dt: float,
     return step, f"{source} bigint, last_value double, seen bigint"
 
 
-def route_interventions(vectors: Sequence[str], intervening: Column, path: str) -> Step:
+def route_interventions(vectors: Sequence[str], intervening: Column) -> Step:
     """NaN rows go; every other row lands in the online table, intervened ones in the offline table too."""
     def step(batch: DataFrame, state: DataFrame | None):
         clean = drop_nan_rows(batch, vectors)
