@@ -70,9 +70,8 @@ def sampler_weights(spark, root):
     orders = spark.read.parquet(f"{root}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
     frames = frames.join(orders, "l_orderkey")
     online, offline = frames.filter("o_orderstatus = 'O'"), frames.filter("o_orderstatus <> 'O'")
-    out = C.sampler_weights(offline, online, 0.8, drop_offline=2, drop_online=1)
-    ids = frames.select("episode_index", "frame_index", "index")
-    return out.join(ids, ["episode_index", "frame_index"]).select("index", "source", tidy(F.col("weight") * 1e6, 4).alias("weight"))
+    out = C.sampler_weights(offline, online, 0.8, drop_offline=2, drop_online=1, columns=["index"])
+    return out.select("index", "source", tidy(F.col("weight") * 1e6, 4).alias("weight"))
 
 
 @query("c07_mix_batches", f"""WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_hash('3:online', 'o_orderkey')}, o_orderkey) - 1 AS p FROM orders WHERE o_orderstatus = 'O'),

@@ -59,7 +59,7 @@ def _shown_q(stats, keys=(), digits=6):
 @query("f01_feature_stats_episode", f"WITH {LINES}, {LINE_TALL} SELECT episode_index, feature, dim, {_agg_sql()} FROM lt GROUP BY 1, 2, 3")
 def feature_stats_episode(spark, root):
     frames, _ = line_frames(spark, root)
-    return _shown(S.feature_stats(S.to_series(frames, ["episode_index"], LINE_FEATURES), ["episode_index"]), ["episode_index"])
+    return _shown(S.frame_stats(frames, ["episode_index"], LINE_FEATURES), ["episode_index"])
 
 
 @query("f01_feature_stats_vector", f"WITH {VECTORS}, {VECTOR_TALL} SELECT episode_index, feature, dim, {_agg_sql()} FROM vt GROUP BY 1, 2, 3")
@@ -86,8 +86,7 @@ def exact_quantiles(spark, root):
 def small_group_fallback(spark, root):
     """Per-episode quantiles; episodes of one frame take the mean."""
     frames, _ = line_frames(spark, root)
-    tall = S.to_series(frames, ["episode_index"], LINE_FEATURES)
-    return _shown_q(S.histogram_quantiles(tall, ["episode_index"]), ["episode_index"], digits=8)
+    return _shown_q(S.episode_quantiles(frames, LINE_FEATURES), ["episode_index"], digits=8)
 
 
 _MERGED = f"""m AS (SELECT feature, dim, sum(count) AS count, min(min) AS min, max(max) AS max, sum(count * mean) / sum(count) AS mean,
@@ -99,8 +98,7 @@ _MERGED = f"""m AS (SELECT feature, dim, sum(count) AS count, min(min) AS min, m
 @query("f04_merge_stats", f"WITH {LINES}, {LINE_TALL}, {_hist_sql('lt', 'episode_index, ')}, {_MERGED}")
 def merge_stats(spark, root):
     frames, _ = line_frames(spark, root)
-    tall = S.to_series(frames, ["episode_index"], LINE_FEATURES)
-    return _shown_q(S.merge_stats(S.histogram_quantiles(tall, ["episode_index"])))
+    return _shown_q(S.merge_stats(S.episode_quantiles(frames, LINE_FEATURES), derived=True))
 
 
 @query("f05_stats_by_axis_dim", f"WITH {VECTORS}, {VECTOR_TALL} SELECT feature, dim, {_agg_sql()} FROM vt GROUP BY 1, 2")
@@ -148,8 +146,8 @@ def augment_quantiles(spark, root):
 def update_stats(spark, root):
     """Statistics of finished lines, updated by those of open ones, equal the statistics of all."""
     lines = spark.read.parquet(f"{root}/lineitem.parquet")
-    old = S.feature_stats(S.to_series(lines.filter("l_linestatus = 'F'"), [], LINE_FEATURES))
-    new = S.feature_stats(S.to_series(lines.filter("l_linestatus <> 'F'"), [], LINE_FEATURES))
+    old = S.frame_stats(lines.filter("l_linestatus = 'F'"), [], LINE_FEATURES)
+    new = S.frame_stats(lines.filter("l_linestatus <> 'F'"), [], LINE_FEATURES)
     return _shown(S.update_stats(old, new))
 
 
@@ -174,7 +172,7 @@ def stats_to_tall(spark, root):
 def tall_to_stats(spark, root):
     frames, _ = line_frames(spark, root)
     keys = ["episode_index"]
-    stats = S.feature_stats(S.to_series(frames, keys, LINE_FEATURES), keys)
+    stats = S.frame_stats(frames, keys, LINE_FEATURES)
     return _shown(S.tall_to_stats(S.stats_to_tall(stats, keys), keys), keys)
 
 
@@ -187,9 +185,9 @@ _LN = f"""s AS (SELECT {_LSTAT} FROM lineitem), l AS (SELECT * FROM lineitem CRO
 _LKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def _line_stats(lines):
-    tall = S.to_series(lines, [], LINE_FEATURES)
-    return S.feature_stats(tall).join(S.exact_quantiles(tall), ["feature", "dim"])
+def _line_stats(lines, quantiles):
+    stats = S.frame_stats(lines, [], LINE_FEATURES)
+    return stats.join(S.exact_quantiles(S.to_series(lines, [], LINE_FEATURES)), ["feature", "dim"]) if quantiles else stats
 
 
 def _state(lines):
@@ -204,9 +202,9 @@ def _four_sql(fn, digits=6):
     return ", ".join(f"round({fn(f)}, {digits}) + 0.0 AS s{i}" for i, f in enumerate(LINE_FEATURES))
 
 
-def _vector_stats(lines):
+def _vector_stats(lines, quantiles=False):
     """The statistics of the four features as one row of vectors."""
-    return G.stats_row(_line_stats(lines), {"state": [(f, 0) for f in LINE_FEATURES]})
+    return G.stats_row(_line_stats(lines, quantiles), {"state": [(f, 0) for f in LINE_FEATURES]})
 
 
 @query("g01_normalize_mean_std", f"WITH {_LN} SELECT {', '.join(_LKEYS)}, {_four_sql(lambda f: f'({f} - {f}_mean) / ({f}_std + 1e-8::DOUBLE)')} FROM l")
@@ -231,14 +229,14 @@ def normalize_quantile10(spark, root):
 
 def _normalized(spark, root, mode):
     lines = spark.read.parquet(f"{root}/lineitem.parquet")
-    out = G.normalize(_state(lines), _vector_stats(lines), {"state": mode})
+    out = G.normalize(_state(lines), _vector_stats(lines, mode.startswith("QUANTILE")), {"state": mode})
     return out.select(*_LKEYS, *_four(F.col("state")))
 
 
 @query("g01_unnormalize", f"SELECT {', '.join(_LKEYS)}, {_four_sql(lambda f: f, 4)} FROM lineitem")
 def unnormalize(spark, root):
     lines = spark.read.parquet(f"{root}/lineitem.parquet")
-    stats = _vector_stats(lines)
+    stats = _vector_stats(lines, True)
     out = G.unnormalize(G.normalize(_state(lines), stats, {"state": "QUANTILES"}), stats, {"state": "QUANTILES"})
     return out.select(*_LKEYS, *_four(F.col("state"), 4))
 
@@ -246,7 +244,7 @@ def unnormalize(spark, root):
 @query("g02_normalize_clipped", f"WITH {_LN} SELECT {', '.join(_LKEYS)}, {_four_sql(lambda f: f'2 * (least(greatest({f}, {f}_q01), {f}_q99) - {f}_q01) / greatest({f}_q99 - {f}_q01, 1e-8::DOUBLE) - 1')} FROM l")
 def normalize_clipped(spark, root):
     lines = spark.read.parquet(f"{root}/lineitem.parquet")
-    out = G.normalize(_state(lines), _vector_stats(lines), {"state": "QUANTILES"}, clipped=True)
+    out = G.normalize(_state(lines), _vector_stats(lines, True), {"state": "QUANTILES"}, clipped=True)
     return out.select(*_LKEYS, *_four(F.col("state")))
 
 

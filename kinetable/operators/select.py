@@ -112,7 +112,8 @@ def sample_evenly(frames: DataFrame, low: int = 100, high: int = 10_000, power:
 
 
 def sampler_weights(
-    offline: DataFrame, online: DataFrame | None, online_ratio: float | None, drop_offline: int = 0, drop_online: int = 0
+    offline: DataFrame, online: DataFrame | None, online_ratio: float | None, drop_offline: int = 0, drop_online: int = 0,
+    columns: Sequence[str] = ("episode_index", "frame_index"),
 ) -> DataFrame:
     """Probability of each frame when a share of the draws is online; dropped tails get 0.
 
@@ -120,10 +121,10 @@ def sampler_weights(
     """
     if (online is None) != (online_ratio is None):
         raise ValueError("give the online frames and their ratio together")
-    columns = ["episode_index", "frame_index", "length"]
-    rows = offline.select(*columns, F.lit("offline").alias("source"), F.lit(drop_offline).alias("_drop"))
+    kept = [*dict.fromkeys([*columns, "frame_index", "length"])]
+    rows = offline.select(*kept, F.lit("offline").alias("source"), F.lit(drop_offline).alias("_drop"))
     if online is not None:
-        rows = rows.unionByName(online.select(*columns, F.lit("online").alias("source"), F.lit(drop_online).alias("_drop")))
+        rows = rows.unionByName(online.select(*kept, F.lit("online").alias("source"), F.lit(drop_online).alias("_drop")))
     rows = rows.withColumn("_live", F.col("frame_index") < F.col("length") - F.col("_drop"))
     share = F.when(F.col("source") == "online", float(online_ratio or 0.0)).otherwise(0.0 if online_ratio is None else 1.0 - online_ratio)
     live = rows.groupBy("source").agg(F.sum(F.col("_live").cast("bigint")).alias("_n"))

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetable.plans.segments import number_rows, salted_join
+from kinetable.plans.segments import group_bound, number_rows, salted_join, segment_rows
+from kinetable.session import materialize
 
 QUANTILES = (0.01, 0.10, 0.50, 0.90, 0.99)
 BINS = 5000
@@ -50,24 +51,64 @@ def feature_stats(tall: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def frame_stats(frames: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """``feature_stats`` straight from the frames: scalars are aggregated side by side, vectors as tall rows."""
+    kinds = dict(frames.dtypes)
+    scalars = [f for f in features if kinds[f] != "string" and not kinds[f].startswith("array")]
+    vectors = [f for f in features if kinds[f].startswith("array")]
+    parts = []
+    if scalars:
+        entries = []
+        for f in scalars:
+            x = F.col(f).cast("double")
+            entries.append(F.struct(
+                F.lit(f).alias("feature"), F.lit(0).alias("dim"), F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"),
+                F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")))
+        wide = frames.groupBy(*keys).agg(F.array(*entries).alias("_s")) if keys else frames.agg(F.array(*entries).alias("_s"))
+        parts.append(wide.select(*keys, F.inline("_s")))
+    if vectors:
+        parts.append(feature_stats(to_series(frames, keys, vectors), keys))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def histogram_quantiles(
-    tall: DataFrame, keys: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES, bins: int = BINS
+    tall: DataFrame, keys: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES, bins: int = BINS, at_most: int | None = None
 ) -> DataFrame:
     """``feature_stats`` plus quantiles read from a histogram of ``bins`` equal bins.
 
     The bins span min - 1e-10 to max + 1e-10; a quantile is interpolated inside the first bin
     whose cumulated count reaches it. With one row every quantile is the mean.
+
+    ``at_most`` is a known bound on the rows of a group. Groups of at most one segment are
+    binned and cumulated where one shuffle has put them. Otherwise counts per bin are
+    aggregated on the map side first, whatever the size of a group.
     """
-    stats = feature_stats(tall, keys)
     group = [*keys, *SERIES]
+    if keys and at_most is not None and at_most <= segment_rows(tall):
+        return _small_group_quantiles(tall, group, quantiles, bins)
+    stats = feature_stats(tall, keys)
     edges = stats.select(*group, "count", (F.col("min") - EDGE).alias("_lo"), (F.col("max") + EDGE).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    raw_bin = F.floor((F.col("value") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo")))
-    placed = salted_join(tall, edges, group).withColumn(
-        "_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.greatest(raw_bin, F.lit(0)), F.lit(bins - 1))).otherwise(0))
+    joined = salted_join(tall, edges, group) if keys else tall.join(edges, group)
+    placed = joined.withColumn("_bin", _bin_of(bins))
     counts = placed.groupBy(*group, "_bin").agg(
         F.count(F.lit(1)).alias("_n"), F.first("count").alias("_total"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     filled = counts.withColumn("_sum", F.sum("_n").over(Window.partitionBy(*group).orderBy("_bin")))
+    found = filled.groupBy(*group).agg(*_quantile_picks(quantiles, bins))
+    out = stats.join(found, group)
+    return out.withColumns({
+        quantile_name(q): F.when(F.col("count") < 2, F.col("mean")).otherwise(F.col(quantile_name(q))) for q in quantiles
+    })
+
+
+def _bin_of(bins: int) -> Column:
+    """Bin of ``value`` between ``_lo`` and ``_hi``."""
+    raw = F.floor((F.col("value") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo")))
+    return F.when(F.col("_hi") > F.col("_lo"), F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))).otherwise(0)
+
+
+def _quantile_picks(quantiles: Sequence[float], bins: int) -> list[Column]:
+    """Aggregates over rows ``(_bin, _n in the bin, _sum up to the bin, _total, _lo, _hi)``."""
+    width = (F.col("_hi") - F.col("_lo")) / bins
     picks = []
     for q in quantiles:
         target = F.lit(float(q)) * F.col("_total")
@@ -75,8 +116,20 @@ def histogram_quantiles(
         value = F.when(F.col("_bin") == 0, F.col("_lo")).otherwise(inside)
         first = F.min(F.when(F.col("_sum") >= target, F.struct(F.col("_bin"), value.alias("v"))))
         picks.append(first["v"].alias(quantile_name(q)))
-    found = filled.groupBy(*group).agg(*picks)
-    out = stats.join(found, group)
+    return picks
+
+
+def _small_group_quantiles(tall: DataFrame, group: list[str], quantiles: Sequence[float], bins: int) -> DataFrame:
+    whole = Window.partitionBy(*group)
+    rows = tall.filter(F.col("value").isNotNull()).withColumns({
+        "_total": F.count("value").over(whole), "_lo": F.min("value").over(whole) - EDGE, "_hi": F.max("value").over(whole) + EDGE})
+    rows = rows.withColumn("_bin", _bin_of(bins))
+    upto = whole.orderBy("_bin").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = whole.orderBy("_bin").rangeBetween(Window.currentRow, Window.currentRow)
+    rows = rows.withColumns({"_sum": F.count(F.lit(1)).over(upto), "_n": F.count(F.lit(1)).over(same)})
+    out = rows.groupBy(*group).agg(
+        F.count("value").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("std"), *_quantile_picks(quantiles, bins))
     return out.withColumns({
         quantile_name(q): F.when(F.col("count") < 2, F.col("mean")).otherwise(F.col(quantile_name(q))) for q in quantiles
     })
@@ -99,15 +152,18 @@ def exact_quantiles(tall: DataFrame, keys: Sequence[str] = (), quantiles: Sequen
     ])
 
 
-def merge_stats(stats: DataFrame, keys: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+def merge_stats(stats: DataFrame, keys: Sequence[str] = (), quantiles: Sequence[float] = QUANTILES, derived: bool = False) -> DataFrame:
     """Combine statistics rows: weighted mean, parallel variance, min / max, count-weighted quantiles.
 
-    A quantile appears only where every merged row has it.
+    A quantile appears only where every merged row has it. The variance is centred, which takes
+    two passes over the statistics; ``derived`` marks rows that come from a scan of the frames
+    and writes them once, so that the frames are not read twice.
     """
+    stats = materialize(stats) if derived else stats
     group = [*keys, *SERIES]
     names = [quantile_name(q) for q in quantiles if quantile_name(q) in stats.columns]
     centre = stats.groupBy(*group).agg((F.sum(F.col("count") * F.col("mean")) / F.sum("count")).alias("_centre"))
-    rows = salted_join(stats, centre, group)
+    rows = salted_join(stats, centre, group) if keys else stats.join(centre, group)
     off = F.col("mean") - F.col("_centre")
     variance = F.sum(F.col("count") * (F.col("std") * F.col("std") + off * off)) / F.sum("count")
     return rows.groupBy(*group).agg(
@@ -130,8 +186,13 @@ def augment_quantiles(frames: DataFrame, stats: DataFrame, features: Sequence[st
     """Statistics with quantiles: unchanged if present, else recomputed per episode and merged."""
     if has_quantiles(stats):
         return stats
+    return merge_stats(episode_quantiles(frames, features), derived=True)
+
+
+def episode_quantiles(frames: DataFrame, features: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """Statistics with quantiles of every episode."""
     tall = to_series(frames, ["episode_index"], features)
-    return merge_stats(histogram_quantiles(tall, ["episode_index"]))
+    return histogram_quantiles(tall, ["episode_index"], quantiles, at_most=group_bound(frames, "frame_index"))
 
 
 def stats_by_axis(frames: DataFrame, column: str, axis: str, keys: Sequence[str] = ()) -> DataFrame:
