@@ -58,12 +58,8 @@ _PROPORTIONS = f"""{RUNS}, tm AS (SELECT iv.*, floor(a."timestamp")::BIGINT AS t
 
 def _timed_intervals(spark, root):
     frames, _ = event_frames(spark, root)
-    times = frames.select("episode_index", "frame_index", format_mmss(F.col("timestamp")).alias("t"))
-    out = _intervals(frames)
-    for edge in ("start", "end"):
-        ends = times.select("episode_index", F.col("frame_index").alias(f"{edge}_frame"), parse_mmss(F.col("t")).alias(edge))
-        out = out.join(ends, ["episode_index", f"{edge}_frame"])
-    return out
+    runs = P.label_runs(frames, "task", F.col("task").isin(*NAMES), time="timestamp")
+    return runs.withColumns({c: parse_mmss(format_mmss(F.col(c))) for c in ("start", "end")})
 
 
 @query("f10_temporal_proportions", f"""WITH {EVENTS}, {_PROPORTIONS} SELECT name, round(mean_share, 9) AS mean_share, round(proportion, 9) AS proportion, list_position(['click', 'view', 'purchase'], name)::BIGINT - 1 AS stage FROM pp""")

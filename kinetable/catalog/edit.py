@@ -195,6 +195,23 @@ def files_for_episodes(spark, root):
     return files(placed, frames.filter("value > 150"))
 
 
+@query("b20_check_files", f"""WITH RECURSIVE {_FILES}, w AS (SELECT DISTINCT chunk_index, file_index FROM af WHERE episode_index IN (SELECT episode_index FROM fe WHERE value > 300))
+  SELECT DISTINCT format('data/chunk_index={{}}/file_index={{}}', chunk_index, file_index) AS path FROM af WHERE (chunk_index, file_index) NOT IN (SELECT (chunk_index, file_index) FROM w)""")
+def check_files(spark, root):
+    """Only episodes with a value above 300 are written; the files that hold none of them are missing."""
+    from kinetable.operators.validate import check_files as check
+    from kinetable.session import scratch_path
+    from kinetable.sources.layout import write_frames
+
+    frames, placed = _files(spark, root)
+    slim = frames.select("episode_index", "frame_index", "index", "value")
+    written = slim.join(frames.filter("value > 300").select("episode_index").distinct(), "episode_index", "left_semi")
+    path = scratch_path(spark, "files")
+    write_frames(written, placed, f"{path}/data")
+    expected = placed.select(F.format_string("data/chunk_index=%d/file_index=%d", "chunk_index", "file_index").alias("path"))
+    return check(expected, path, r"(data/chunk_index=\d+/file_index=\d+)/")
+
+
 @query("a10_append_episodes", f"""WITH {_TWO} SELECT l_orderkey, ep AS episode_index, count(*) AS length, min(ix) AS dataset_from_index, max(ix) + 1 AS dataset_to_index, src::BIGINT AS file_index FROM mm GROUP BY ALL""")
 def append_episodes(spark, root):
     from kinetable.sources.layout import append_episodes as append

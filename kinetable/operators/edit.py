@@ -29,9 +29,8 @@ def _renumber(frames: DataFrame, mapping: DataFrame) -> DataFrame:
     }).drop("_new_episode", "_new_from", "_length")
 
 
-def reindex(dataset: EpisodicDataset, kept: DataFrame) -> EpisodicDataset:
-    """The dataset with only the kept episodes, all numbers dense again."""
-    chosen = dataset.episodes.join(kept.select("episode_index"), "episode_index", "left_semi")
+def reindex(dataset: EpisodicDataset, chosen: DataFrame) -> EpisodicDataset:
+    """The dataset with only the chosen of its episode rows, all numbers dense again."""
     placed = number_rows(
         chosen, [], ["episode_index"], "_new_episode", at_most=group_bound(chosen, "episode_index"), sums={"_new_to": "length"})
     placed = placed.withColumn("_new_from", F.col("_new_to") - F.col("length"))

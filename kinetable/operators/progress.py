@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 
 from kinetable.functions.numbers import clip
 from kinetable.operators.windows import EPISODE, FRAME
-from kinetable.plans.segments import SEG, bounded, group_bound, number_rows, running, salted_join, segment_rows, spread_join
+from kinetable.plans.segments import SEG, bounded, group_bound, in_one_segment, number_rows, running, salted_join, segment_rows, spread_join
 
 AFTER_LAST = 0.999
 
 
-def label_runs(frames: DataFrame, label: str, keep: Column | None = None) -> DataFrame:
-    """Maximal runs of one label as intervals; ``keep`` leaves other frames uncovered."""
+def label_runs(frames: DataFrame, label: str, keep: Column | None = None, time: str | None = None) -> DataFrame:
+    """Maximal runs of one label as intervals; ``keep`` leaves other frames uncovered.
+
+    With a ``time`` column the intervals get the ``start`` and ``end`` of their first and last frame.
+    """
     def edge(w):
         return {"_starts": ~F.col(label).eqNullSafe(F.lag(label, 1).over(w)) | (F.col(FRAME) == 0)}
 
-    rows = bounded(frames.select("episode_index", FRAME, label), EPISODE, FRAME, 1, 0, edge)
+    rows = bounded(frames.select("episode_index", FRAME, label, *([time] if time else [])), EPISODE, FRAME, 1, 0, edge)
     rows = running(rows, EPISODE, FRAME, {"_run": ("sum", F.col("_starts").cast("bigint"))})
     rows = rows if keep is None else rows.filter(keep)
+    times = [F.min_by(time, FRAME).alias("start"), F.max_by(time, FRAME).alias("end")] if time else []
     runs = rows.groupBy("episode_index", "_run").agg(
-        F.first(label).alias("name"), F.min(FRAME).alias("start_frame"), F.max(FRAME).alias("end_frame"))
+        F.first(label).alias("name"), F.min(FRAME).alias("start_frame"), F.max(FRAME).alias("end_frame"), *times)
     return runs.withColumnRenamed("_run", "position")
 
 
@@ -64,9 +68,10 @@ def stage_and_tau(frames: DataFrame, intervals: DataFrame, names: Sequence[str])
     covers = covers.groupBy("episode_index", FRAME).agg(F.min_by(F.struct("s", "e", "stage"), "rank").alias("_cover"))
     ends = lists.groupBy("episode_index").agg(
         F.min_by("start_frame", "position").alias("_first"), F.max_by("end_frame", "position").alias("_last"))
-    lengths = frames.groupBy("episode_index").agg((F.max(FRAME) + 1).alias("_length"))
-    ends = lengths.join(ends, "episode_index", "left")
-    rows = spread_join(frames, ends, "episode_index", FRAME, "_length").join(covers, ["episode_index", FRAME], "left")
+    if not in_one_segment(frames, FRAME):
+        lengths = frames.groupBy("episode_index").agg((F.max(FRAME) + 1).alias("_length"))
+        ends = lengths.join(ends, "episode_index", "left")
+    rows = spread_join(frames, ends, "episode_index", FRAME, "_length", "left").join(covers, ["episode_index", FRAME], "left")
     span = F.col("_cover.e") - F.col("_cover.s")
     share = F.when(span <= 0, 1.0).otherwise(clip((F.col(FRAME) - F.col("_cover.s")) / span, 0.0, 1.0))
     outside = F.col("_first").isNull() | (F.col(FRAME) < F.col("_first"))

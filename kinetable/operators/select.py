@@ -126,14 +126,16 @@ def sampler_weights(
     if online is not None:
         rows = rows.unionByName(online.select(*kept, F.lit("online").alias("source"), F.lit(drop_online).alias("_drop")))
     rows = rows.withColumn("_live", F.col("frame_index") < F.col("length") - F.col("_drop"))
-    share = F.when(F.col("source") == "online", float(online_ratio or 0.0)).otherwise(0.0 if online_ratio is None else 1.0 - online_ratio)
-    live = rows.groupBy("source").agg(F.sum(F.col("_live").cast("bigint")).alias("_n"))
-    rows = rows.join(live, "source").withColumn("_w", F.when(F.col("_live"), share / F.col("_n")).otherwise(0.0))
-    total = live.select((share * (F.col("_n") > 0).cast("double")).alias("_s")).agg(F.sum("_s").alias("_total"))
-    everything = rows.groupBy("source").count().agg(F.sum("count").alias("_all"))
-    rows = rows.crossJoin(total).crossJoin(everything)  # one row each
-    weight = F.when(F.col("_total") > 0, F.col("_w") / F.col("_total")).otherwise(1.0 / F.col("_all"))
-    return rows.select(*columns, "source", weight.alias("weight"))
+    online_share = float(online_ratio or 0.0)
+    offline_share = 0.0 if online_ratio is None else 1.0 - online_share
+    is_online, live = F.col("source") == "online", F.col("_live").cast("bigint")
+    counts = rows.agg(
+        F.sum(F.when(is_online, live)).alias("_on"), F.sum(F.when(~is_online, live)).alias("_off"), F.count(F.lit(1)).alias("_all"))
+    total = F.when(F.col("_on") > 0, online_share).otherwise(0.0) + F.when(F.col("_off") > 0, offline_share).otherwise(0.0)
+    raw = F.when(is_online, F.lit(online_share) / F.col("_on")).otherwise(F.lit(offline_share) / F.col("_off"))
+    rows = rows.crossJoin(counts)  # one row
+    weight = F.when(total > 0, F.when(F.col("_live"), raw).otherwise(0.0) / total).otherwise(1.0 / F.col("_all"))
+    return rows.select(*kept, "source", weight.alias("weight"))
 
 
 def mix_batches(online: DataFrame, offline: DataFrame, key: str, batch: int, seed: int) -> DataFrame:

@@ -105,8 +105,11 @@ def check_mergeable(infos: DataFrame) -> DataFrame:
     return out.withColumn("mergeable", (F.col("n_fps") <= 1) & (F.col("n_robot_types") <= 1) & (F.col("n_features") <= 1))
 
 
-def check_files(expected: DataFrame, root: str) -> DataFrame:
-    """Expected relative paths that are not under ``root``; only names are listed, no content is read."""
+def check_files(expected: DataFrame, root: str, pattern: str = r"((?:data|videos)/.*)$") -> DataFrame:
+    """Expected relative paths that are not under ``root``; only names are listed, no content is read.
+
+    ``pattern`` cuts the relative path out of a listed one.
+    """
     listing = expected.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    found = listing.select(F.regexp_extract("path", r"((?:data|videos)/.*)$", 1).alias("path"))
+    found = listing.select(F.regexp_extract("path", pattern, 1).alias("path"))
     return expected.select("path").distinct().join(found, "path", "left_anti")

@@ -41,7 +41,7 @@ def index_frames(
     ``frame_index / fps`` when ``fps`` is given and no ``timestamp`` column exists.
     """
     longest, total, count = group_sizes(rows, [key])
-    frames = number_rows(rows, [key], order, "frame_index", at_most=longest)
+    frames = number_rows(rows, [key], order, "frame_index", at_most=longest, total=total)
     episodes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("length"), *episode_aggs)
     episodes = number_rows(episodes, [], [key], "episode_index", at_most=count, sums={"dataset_to_index": "length"})
     episodes = episodes.withColumn("dataset_from_index", F.col("dataset_to_index") - F.col("length"))

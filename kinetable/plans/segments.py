@@ -50,7 +50,8 @@ def note_bound(df: DataFrame, position: str, rows: int | None) -> DataFrame:
     return df if rows is None else df.withMetadata(position, {GROUP_ROWS: int(rows)})
 
 
-def _one_segment(df: DataFrame, position: str | Column) -> bool:
+def in_one_segment(df: DataFrame, position: str | Column) -> bool:
+    """Whether every group is known to fit one segment."""
     known = group_bound(df, position) if isinstance(position, str) else None
     return known is not None and known <= segment_rows(df)
 
@@ -73,7 +74,7 @@ def bounded(
     ``pos`` is dense from 0 inside ``keys``. Inside the window handed to ``build`` every
     row of the segment finds its neighbours up to the reach, or the true end of the group.
     """
-    if _one_segment(df, pos):
+    if in_one_segment(df, pos):
         return df.withColumns(build(Window.partitionBy(*keys).orderBy(pos)))
     size = segment_rows(df)
     first = F.floor(F.greatest(F.lit(0), F.col(pos) - ahead) / size)
@@ -99,7 +100,7 @@ def running(
     ``min`` and ``last`` (latest non-null). ``following`` runs from the end instead;
     ``strict`` leaves the current row out.
     """
-    if _one_segment(df, pos):
+    if in_one_segment(df, pos):
         order = F.col(pos).desc() if following else F.col(pos).asc()
         whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
         return df.withColumns({name: _fold(kind, column, whole) for name, (kind, column) in values.items()})
@@ -164,7 +165,7 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int, int]:
 
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, *,
-    at_most: int | None = None, derived: bool = False, sums: dict[str, str] | None = None,
+    at_most: int | None = None, total: int | None = None, derived: bool = False, sums: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row inside ``keys`` under ``order`` (a total order).
 
@@ -172,24 +173,24 @@ def number_rows(
     key and order, so a hot group spreads over many tasks, and each row's place in its
     partition is shifted by the rows of the same group in earlier partitions.
 
-    ``at_most`` is a known bound on the group size and saves the job that measures it.
+    ``at_most`` is a known bound on the group size and saves the job that measures it; ``total``
+    is the number of rows in all, if known, and sets the number of ranges.
     ``derived`` marks a small result of a large plan: it is written once, then measured.
     ``sums`` maps new columns to columns summed up to and including each row.
     """
     limit = max_group_rows(df)
     if at_most is not None:
-        biggest, parts = at_most, None
+        biggest = at_most
     else:
         df = materialize(df) if derived else df
         biggest, total, _ = group_sizes(df, keys)
-        parts = -(-total // limit)
     if biggest <= limit:
         window = Window.partitionBy(*keys).orderBy(*order)
         so_far = window.rowsBetween(Window.unboundedPreceding, 0)
         columns = {out: F.row_number().over(window).cast("bigint") - 1}
         columns |= {name: F.sum(column).over(so_far) for name, column in (sums or {}).items()}
         return note_bound(df.withColumns(columns), out, biggest)
-    numbered = note_bound(_number_by_range(df, keys, order, out, parts or 1), out, biggest)
+    numbered = note_bound(_number_by_range(df, keys, order, out, -(-(total or 1) // limit)), out, biggest)
     if sums:
         numbered = running(numbered, keys, out, {name: ("sum", F.col(column)) for name, column in sums.items()})
     return numbered
@@ -223,7 +224,7 @@ def spread_join(frames: DataFrame, groups: DataFrame, key: str, pos: str, length
     ``groups`` has one row per ``key`` with its ``length``; it is repeated once per segment,
     which is one row per ``segment_rows`` frames.
     """
-    if _one_segment(frames, pos):
+    if in_one_segment(frames, pos):
         return frames.join(groups, key, how)
     size = segment_rows(frames)
     last = F.floor(F.greatest(F.col(length) - 1, F.lit(0)) / size)

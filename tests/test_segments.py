@@ -50,3 +50,24 @@ def test_running_and_bounded_on_hot_group(spark, hot, small_segments):
     rest = by.transform("sum") - by.cumsum()
     assert (pdf["rest"].fillna(0) == rest).all()
     assert (pdf["back"].fillna(-1) == by.shift(9).fillna(-1)).all() and (pdf["ahead"].fillna(-1) == by.shift(-12).fillna(-1)).all()
+
+
+def test_ema_of_long_episodes(spark):
+    from kinetable.operators.windows import ema
+
+    rows = spark.range(3000).select(
+        (F.col("id") % 2).alias("episode_index"), F.floor(F.col("id") / 2).alias("frame_index"), ((F.col("id") * 37) % 101).cast("double").alias("x"))
+    for span in (1, 3, 50, 5000):
+        pdf = ema(rows, "x", span, "y").toPandas().sort_values(["episode_index", "frame_index"])
+        want = pdf.groupby("episode_index")["x"].transform(lambda s, a=2 / (span + 1): s.ewm(alpha=a, adjust=False).mean())
+        assert abs(pdf["y"] - want).max() < 1e-9
+
+
+def test_quantiles_agree_between_plans(spark, hot):
+    from kinetable.operators import stats as S
+
+    tall = S.to_series(hot, ["key"], ["x"])
+    few = S.histogram_quantiles(tall, ["key"], at_most=900).toPandas().sort_values("key").reset_index(drop=True)
+    many = S.histogram_quantiles(tall, ["key"]).toPandas().sort_values("key").reset_index(drop=True)
+    for column in ("count", "min", "max", "mean", "std", "q01", "q10", "q50", "q90", "q99"):
+        assert abs(few[column] - many[column]).max() < 1e-9
