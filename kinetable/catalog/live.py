@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from kinetable.catalog import EVENTS, query
 from kinetable.functions.numbers import tidy
 from kinetable.plans.frames import event_frames
-from kinetable.plans.segments import number_rows
 from kinetable.session import scratch_path
 from kinetable.streaming import batches as M
 from kinetable.streaming import operators as J

@@ -153,7 +153,7 @@ def add_domain_id(spark, root):
     return out.select(*_LKEYS, F.col("domain_id").cast("bigint").alias("domain_id"), F.col("fixed_id").cast("bigint").alias("fixed_id"))
 
 
-@query("b13_pad_or_trim_vector", f"""WITH {VECTORS}, s AS (SELECT unnest([40, 80]) AS size) SELECT vec_id, size, d AS place, coalesce(round(state[d + 1], 8), 0) AS value, d < 64 AS valid FROM fv CROSS JOIN s, LATERAL (SELECT unnest(generate_series(0, size - 1)) AS d)""")
+@query("b13_pad_or_trim_vector", f"""WITH {VECTORS}, s AS (SELECT unnest([40, 80])::BIGINT AS size) SELECT vec_id, size, d AS place, coalesce(round(state[d + 1], 8), 0) AS value, d < 64 AS valid FROM fv CROSS JOIN s, LATERAL (SELECT unnest(generate_series(0, size - 1)) AS d)""")
 def pad_or_trim_vector(spark, root):
     frames, _ = vector_frames(spark, root)
     parts = [
@@ -164,7 +164,7 @@ def pad_or_trim_vector(spark, root):
     return out.select("vec_id", F.col("size").cast("bigint").alias("size"), F.col("place").cast("bigint").alias("place"), tidy("e.v", 8).alias("value"), F.col("e.m").alias("valid"))
 
 
-@query("b14_fit_horizon", f"""WITH {VECTORS}, h AS (SELECT unnest([5, 12]) AS steps) SELECT vec_id, steps, step, round(state[least(step, 7) * 8 + 1], 8) AS first_value, round(state[least(step, 7) * 8 + 8], 8) AS last_value
+@query("b14_fit_horizon", f"""WITH {VECTORS}, h AS (SELECT unnest([5, 12])::BIGINT AS steps) SELECT vec_id, steps, step, round(state[least(step, 7) * 8 + 1], 8) AS first_value, round(state[least(step, 7) * 8 + 8], 8) AS last_value
   FROM fv CROSS JOIN h, LATERAL (SELECT unnest(generate_series(0, steps - 1)) AS step)""")
 def fit_horizon(spark, root):
     """Each vector of 64 taken as a chunk of 8 steps of 8 values."""

@@ -114,7 +114,7 @@ def stride_order(spark, root):
 
 @query("c11_frame_patterns", f"""WITH {EVENTS}, p AS (SELECT '1_frame' AS pattern, 0 AS slot, 0 AS o UNION ALL SELECT '2_frames', unnest([0, 1]), unnest([-1, 0])
    UNION ALL SELECT '2_frames_4_space', unnest([0, 1]), unnest([-5, 0]) UNION ALL SELECT '6_frames', unnest([0, 1, 2, 3, 4, 5]), unnest([-5, -4, -3, -2, -1, 0]))
-  SELECT a."index", pattern, slot, b.value FROM fe a CROSS JOIN p JOIN fe b ON b."index" = a."index" + o WHERE a.frame_index >= 5""")
+  SELECT a."index", pattern, slot::BIGINT AS slot, b.value FROM fe a CROSS JOIN p JOIN fe b ON b."index" = a."index" + o WHERE a.frame_index >= 5""")
 def frame_patterns(spark, root):
     frames, _ = event_frames(spark, root)
     out = C.frame_patterns(frames.select("index", "value"), frames)

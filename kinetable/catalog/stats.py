@@ -27,7 +27,7 @@ def _agg_sql(value="value"):
 
 
 LINE_TALL = "lt AS (" + " UNION ALL ".join(
-    f"SELECT episode_index, \"index\", '{f}' AS feature, 0 AS dim, {f} AS value FROM fl" for f in LINE_FEATURES) + ")"
+    f"SELECT episode_index, \"index\", '{f}' AS feature, 0::BIGINT AS dim, {f} AS value FROM fl" for f in LINE_FEATURES) + ")"
 VECTOR_TALL = """vt AS (SELECT episode_index, frame_index, length, 'state' AS feature, d - 1 AS dim, state[d] AS value
   FROM fv CROSS JOIN (SELECT unnest(generate_series(1, 64)) AS d))"""
 
@@ -74,7 +74,7 @@ def histogram_quantiles(spark, root):
     return _shown_q(S.histogram_quantiles(S.to_series(lines, [], LINE_FEATURES)), digits=8)
 
 
-@query("f02_exact_quantiles", f"""WITH {EVENTS} SELECT episode_index, 'value' AS feature, 0 AS dim,
+@query("f02_exact_quantiles", f"""WITH {EVENTS} SELECT episode_index, 'value' AS feature, 0::BIGINT AS dim,
   {', '.join(f'round(quantile_cont(value, {q}), 6) + 0.0 AS {n}' for q, n in zip(S.QUANTILES, QN))} FROM fe GROUP BY 1""")
 def exact_quantiles(spark, root):
     frames, _ = event_frames(spark, root)
@@ -114,7 +114,7 @@ def stats_by_row(spark, root):
     return out.select("episode_index", "frame_index", "count", *[tidy(n, 7).alias(n) for n in BASE[1:]])
 
 
-@query("f05_stats_by_axis_all", f"WITH {VECTORS}, {VECTOR_TALL} SELECT 'state' AS feature, -1 AS dim, {_agg_sql()} FROM vt")
+@query("f05_stats_by_axis_all", f"WITH {VECTORS}, {VECTOR_TALL} SELECT 'state' AS feature, -1::BIGINT AS dim, {_agg_sql()} FROM vt")
 def stats_by_all(spark, root):
     frames, _ = vector_frames(spark, root)
     return _shown(S.stats_by_axis(frames, "state", "all"))

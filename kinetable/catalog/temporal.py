@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinetable.catalog import EVENTS, LINES, VECTORS, query
+from kinetable.catalog import EVENTS, LINES, query
 from kinetable.functions.numbers import clip, hash_int, tidy
 from kinetable.operators import windows as W
-from kinetable.plans.frames import event_frames, line_frames, vector_frames
-from kinetable.plans.segments import number_rows, running
+from kinetable.plans.frames import event_frames, line_frames
+from kinetable.plans.segments import number_rows
 
 KEYS = ["episode_index", "frame_index"]
 _AT = "PARTITION BY episode_index ORDER BY frame_index"
@@ -427,7 +427,7 @@ def cap_relative_target(spark, root):
 
 @query("flagship_window_normalized", f"""WITH {EVENTS}, t AS (SELECT task, row_number() OVER (ORDER BY min("index")) - 1 AS task_index FROM fe GROUP BY 1),
   s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM fe),
-  w AS (SELECT fe.*, avg(value) OVER ({_AT} ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING) AS dummy, {_sql_at('value', -2)} AS a, {_sql_at('value', -1)} AS b,
+  w AS (SELECT fe.*, {_sql_at('value', -2)} AS a, {_sql_at('value', -1)} AS b,
    {_sql_at('value', 1)} AS c, {_sql_at('value', 4)} AS d FROM fe)
   SELECT w."index", w.episode_index, task_index, round((a - m) / (sd + 1e-8), 6) + 0.0 AS n_m2, round((b - m) / (sd + 1e-8), 6) + 0.0 AS n_m1,
   round((value - m) / (sd + 1e-8), 6) + 0.0 AS n_0, round((c - m) / (sd + 1e-8), 6) + 0.0 AS n_p1, round((d - m) / (sd + 1e-8), 6) + 0.0 AS n_p4

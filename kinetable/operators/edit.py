@@ -84,6 +84,8 @@ def check_deletion(dataset: EpisodicDataset, unwanted: DataFrame) -> None:
 
 def split_bounds(total: int, fractions: dict[str, float]) -> dict[str, tuple[int, int]]:
     """Episode ranges of named shares; empty ones are skipped, the last named runs to the end."""
+    if not fractions:
+        raise ValueError("no splits given")
     if sum(fractions.values()) > 1.0:
         raise ValueError("fractions add up to more than 1")
     out, start, last = {}, 0, list(fractions)[-1]
@@ -108,6 +110,8 @@ def split_dataset(dataset: EpisodicDataset, splits: dict[str, float] | DataFrame
             name = F.when(F.col("episode_index").between(start, end - 1), split).otherwise(name)
         assigned = dataset.episodes.withColumn("split", name).filter(F.col("split").isNotNull())
     else:
+        if not splits.limit(1).count():
+            raise ValueError("no splits given")
         twice = splits.groupBy("episode_index").count().filter("count > 1")
         if twice.limit(1).count():
             raise ValueError("an episode is in more than one split")

@@ -238,6 +238,16 @@ def stats_to_wide(stats: DataFrame, features: Sequence[str], names: Sequence[str
     return stats.groupBy(*keys).agg(*picks)
 
 
+def wide_to_stats(episodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``stats/<feature>/<stat>`` vector columns back to rows ``(keys..., feature, dim, stat, value)``."""
+    entries = []
+    for column in (c for c in episodes.columns if c.startswith("stats/")):
+        feature, stat = column[len("stats/"):].rsplit("/", 1)
+        entries.append(F.struct(F.lit(feature).alias("feature"), F.lit(stat).alias("stat"), F.col(f"`{column}`").cast("array<double>").alias("v")))
+    rows = episodes.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.feature", "e.stat", F.posexplode("e.v").alias("dim", "value"))
+    return rows.select(*keys, "feature", "dim", "stat", "value")
+
+
 def image_stats(images: DataFrame, keys: Sequence[str], pixels: str, height: int, width: int, channels: int) -> DataFrame:
     """Per-channel statistics in [0, 1] of raw interleaved 8-bit images; ``count`` counts images.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetable.plans.frames import EpisodicDataset, episode_offsets
-from kinetable.plans.segments import running, spread_join
+from kinetable.plans.segments import SEG, note_bound, running, segment_of, spread_join
 
 IN_LIST = 1000
 # Path templates of the stored files.
@@ -120,10 +120,9 @@ def write_frames(frames: DataFrame, placed: DataFrame, path: str, mode: str = "o
 
     Rows are spread by file and segment, so a file of one huge episode is written by many tasks.
     """
-    from kinetable.plans.segments import SEG, segment_of
-
     slim = placed.select("episode_index", F.col("length").alias("_length"), "chunk_index", "file_index")
     rows = spread_join(frames, slim, "episode_index", "frame_index", "_length").drop("_length")
+    rows = rows.withMetadata("frame_index", {}).withMetadata("index", {})  # later appends may hold longer episodes
     rows = rows.withColumn(SEG, segment_of(rows, "frame_index"))
     rows = rows.repartition("chunk_index", "file_index", SEG).sortWithinPartitions("chunk_index", "file_index", "index").drop(SEG)
     rows.write.mode(mode).partitionBy("chunk_index", "file_index").parquet(path)
@@ -141,17 +140,36 @@ def write_dataset(dataset: EpisodicDataset, root: str, mode: str = "overwrite")
         dataset.stats.write.mode("overwrite").parquet(f"{root}/meta/stats.parquet")
 
 
+def noted(frames: DataFrame, episodes: DataFrame) -> EpisodicDataset:
+    """Frames and episodes with the group sizes the episode rows tell, which pick the window plans."""
+    longest, total, count = episodes.agg(F.max("length"), F.sum("length"), F.count(F.lit(1))).first()
+    frames = note_bound(note_bound(frames, "frame_index", longest), "index", total)
+    return EpisodicDataset(frames, note_bound(episodes, "episode_index", count))
+
+
 def read_dataset(spark: SparkSession, root: str) -> EpisodicDataset:
     """A dataset written by ``write_dataset``."""
     frames = spark.read.parquet(f"{root}/data").drop("chunk_index", "file_index")
-    return EpisodicDataset(frames, read_episodes(spark, f"{root}/meta/episodes"), read_tasks(spark, f"{root}/meta/tasks.parquet"))
+    dataset = noted(frames, read_episodes(spark, f"{root}/meta/episodes"))
+    dataset.tasks = read_tasks(spark, f"{root}/meta/tasks.parquet")
+    return dataset
 
 
 def read_stored_dataset(spark: SparkSession, root: str) -> EpisodicDataset:
     """A dataset stored as numbered files under ``chunk-*`` directories."""
-    return EpisodicDataset(
-        read_frames(spark, f"{root}/data/chunk-*/file-*.parquet"), read_episodes(spark, f"{root}/meta/episodes/chunk-*/file-*.parquet"),
-        read_tasks(spark, f"{root}/meta/tasks.parquet"))
+    frames = read_frames(spark, f"{root}/data/chunk-*/file-*.parquet")
+    dataset = noted(frames, read_episodes(spark, f"{root}/meta/episodes/chunk-*/file-*.parquet"))
+    dataset.tasks = read_tasks(spark, f"{root}/meta/tasks.parquet")
+    return dataset
+
+
+def write_stats_json(stats: DataFrame, path: str) -> None:
+    """Rows ``(feature, dim, stat, value)`` as one nested JSON object, vectors in dimension order."""
+    vectors = stats.groupBy("feature", "stat").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("e"))
+    per_stat = vectors.select("feature", F.struct("stat", F.col("e.value").alias("v")).alias("s"))
+    per_feature = per_stat.groupBy("feature").agg(F.map_from_entries(F.collect_list("s")).alias("stats"))
+    whole = per_feature.agg(F.map_from_entries(F.collect_list(F.struct("feature", "stats"))).alias("m"))  # one entry per feature
+    whole.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_stats_json(spark: SparkSession, path: str) -> DataFrame:
@@ -183,6 +201,17 @@ def resume_shards(expected: DataFrame, completed: DataFrame, key: str, valid: Co
     return expected.join(completed.filter(valid).select(key).distinct(), key, "left_anti")
 
 
+def write_shards(rows: DataFrame, shard: str, path: str) -> None:
+    """Write the shards at hand, each replacing only its own earlier output, so a retry is harmless."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(shard).parquet(path)
+
+
+def completed_shards(spark: SparkSession, path: str, shard: str) -> DataFrame:
+    """Shards with output, and their rows."""
+    return spark.read.parquet(path).groupBy(shard).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def collect_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Union of the CSV result tables under a directory, columns matched by position of the header."""
     return spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true").csv(path)

@@ -35,7 +35,8 @@ def start(stream: DataFrame, path: str, step: Step, state_schema=None, **trigger
         if output is not None:
             output.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/progress").trigger(**trigger).start()
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/progress")
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def drain(stream: DataFrame, path: str, step: Step, state_schema=None) -> None:

@@ -62,7 +62,8 @@ def latest(stream: DataFrame, source: str, step: str, columns: Sequence[str], pa
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/{number}")
 
-    return newest.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(**trigger).start()
+    writer = newest.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/progress")
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def retain_last_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], capacity: int) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kinetable.operators import edit as I
+from kinetable.operators import stats as S
 from kinetable.operators import validate as X
 from kinetable.plans.frames import EpisodicDataset, event_frames
 from kinetable.sources import images as M
@@ -74,6 +75,44 @@ def test_info_and_stats(spark, tmp_path):
     assert rows[("state", "mean", 1)] == 1.5 and rows[("state", "count", 0)] == 10 and rows[("img", "mean", 1)] == 0.2
 
 
+def test_stats_forms(spark, tmp_path, data):
+    frames, _ = event_frames(spark, data)
+    stats = S.feature_stats(S.to_series(frames, ["episode_index"], ["value", "timestamp"]), ["episode_index"])
+    wide = S.stats_to_wide(stats, ["value", "timestamp"], ["mean", "max"], ["episode_index"])
+    back = S.wide_to_stats(wide, ["episode_index"])
+    want = S.stats_to_tall(stats, ["episode_index"]).filter("stat in ('mean', 'max')").select(*back.columns)
+    assert back.count() == want.count() and back.exceptAll(want).count() == 0
+    whole = S.stats_to_tall(S.feature_stats(S.to_series(frames, [], ["value"]))).select("feature", "dim", "stat", "value")
+    L.write_stats_json(whole, str(tmp_path / "s.json"))
+    again = L.read_stats_json(spark, str(tmp_path / "s.json"))
+    assert {tuple(r) for r in again.select(*whole.columns).collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_shards_are_idempotent(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = spark.range(12).withColumn("shard", F.col("id") % 4)
+    L.write_shards(rows.filter("shard < 3"), "shard", path)
+    L.write_shards(rows.filter("shard = 1"), "shard", path)
+    done = L.completed_shards(spark, path, "shard")
+    assert {(r["shard"], r["rows"]) for r in done.collect()} == {(0, 3), (1, 3), (2, 3)}
+    todo = L.resume_shards(spark.range(4).withColumnRenamed("id", "shard"), done, "shard", F.col("rows") == 3)
+    assert [r["shard"] for r in todo.collect()] == [3]
+
+
+def test_sharded_shuffle(spark):
+    from kinetable.operators.select import shuffle_sharded
+
+    frames = spark.range(2000).withColumnRenamed("id", "index")
+    out = shuffle_sharded(frames, 4, 50, 3).toPandas().sort_values(["shard", "position"])
+    assert sorted(out["index"]) == list(range(2000))
+    for _, part in out.groupby("shard"):
+        assert list(part["position"]) == list(range(len(part)))
+        rank = part["index"].rank().to_numpy() - 1
+        assert (rank <= part["position"].to_numpy() + 50).all() and list(part["index"]) != sorted(part["index"])
+    again = shuffle_sharded(frames.repartition(3), 4, 50, 3).toPandas().sort_values(["shard", "position"])
+    assert list(again["index"]) == list(out["index"])
+
+
 def test_round_trip_keeps_rows(spark, tmp_path, data):
     frames, episodes = event_frames(spark, data)
     placed = I.assign_files(episodes.withColumn("bytes", F.col("length") * 48.0), "bytes", 6000.0)
