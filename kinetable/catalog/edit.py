@@ -8,7 +8,7 @@ from kinetable.catalog import EVENTS, LINES, query
 from kinetable.functions.numbers import tidy
 from kinetable.operators import edit as I
 from kinetable.operators import stats as S
-from kinetable.operators.relate import register_tasks
+from kinetable.operators.relate import register_tasks, with_task_index
 from kinetable.plans.frames import LINE_ORDER, EpisodicDataset, event_frames, index_frames, line_frames
 
 FEATURES = ["l_quantity", "l_tax"]
@@ -16,7 +16,7 @@ FEATURES = ["l_quantity", "l_tax"]
 
 def _dataset(frames, episodes):
     tasks = register_tasks(frames)
-    frames = frames.join(tasks, "task").drop("task")
+    frames = with_task_index(frames, tasks).drop("task")
     return EpisodicDataset(frames, episodes, tasks)
 
 

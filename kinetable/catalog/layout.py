@@ -9,7 +9,7 @@ from kinetable.functions.numbers import tidy
 from kinetable.functions.text import path_flag
 from kinetable.operators import edit as I
 from kinetable.operators import stats as S
-from kinetable.operators.relate import register_tasks
+from kinetable.operators.relate import register_tasks, with_task, with_task_index
 from kinetable.plans.frames import EpisodicDataset, event_frames, line_frames
 from kinetable.session import scratch_path
 from kinetable.sources import layout as L
@@ -31,7 +31,7 @@ def _written(spark, root):
     frames, episodes = event_frames(spark, root)
     frames = frames.select("episode_index", "frame_index", "index", "timestamp", "task", "value")
     tasks = register_tasks(frames)
-    frames = frames.join(tasks, "task").drop("task")
+    frames = with_task_index(frames, tasks).drop("task")
     episodes = episodes.withColumn("bytes", F.col("length") * 48.0)
     placed = I.assign_files(episodes, "bytes", 12000.0, chunk_size=10).drop("bytes")
     stats = S.feature_stats(S.to_series(frames, ["episode_index"], ["value"]), ["episode_index"])
@@ -44,7 +44,7 @@ def _written(spark, root):
 @query("a01_write_and_read", f"""WITH {EVENTS}, tk AS (SELECT task, row_number() OVER (ORDER BY min("index")) - 1 AS task_index FROM fe GROUP BY 1) SELECT "index", episode_index, frame_index, task, value FROM fe JOIN tk USING (task)""")
 def write_and_read(spark, root):
     dataset = L.read_dataset(spark, _written(spark, root))
-    return dataset.frames.join(dataset.tasks, "task_index").select("index", "episode_index", "frame_index", "task", "value")
+    return with_task(dataset.frames, dataset.tasks).select("index", "episode_index", "frame_index", "task", "value")
 
 
 @query("a02_read_episodes", f"""WITH {EVENTS} SELECT episode_index, user_id, count(*) AS length, min("index") AS dataset_from_index, max("index") + 1 AS dataset_to_index FROM fe GROUP BY 1, 2""")
@@ -84,12 +84,12 @@ def compact_legacy(spark, root):
     tasks = register_tasks(frames)
     path = scratch_path(spark, "legacy")
     names = frames.groupBy("episode_index").agg(F.array_sort(F.collect_set("task")).alias("tasks"))
-    old = frames.join(tasks, "task").select("episode_index", "frame_index", "value", "task_index", F.col("episode_index").alias("episode"))
+    old = with_task_index(frames, tasks).select("episode_index", "frame_index", "value", "task_index", F.col("episode_index").alias("episode"))
     old.repartition("episode", F.floor(F.col("frame_index") / 65536)).write.partitionBy("episode").parquet(f"{path}/data")
     episodes.join(names, "episode_index").select("episode_index", "tasks", "length").write.json(f"{path}/meta/episodes.jsonl")
     tasks.write.json(f"{path}/meta/tasks.jsonl")
     dataset = L.compact_legacy(spark, path)
-    rows = dataset.frames.join(dataset.tasks, "task_index").join(dataset.episodes.drop("tasks"), "episode_index")
+    rows = with_task(dataset.frames, dataset.tasks).join(dataset.episodes.drop("tasks"), "episode_index")
     return rows.select("index", "episode_index", "frame_index", "task", "value", "dataset_from_index", "length")
 
 

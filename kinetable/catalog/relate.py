@@ -9,6 +9,7 @@ from kinetable.functions.calibration import calibrate, uncalibrate
 from kinetable.functions.numbers import tidy
 from kinetable.operators import relate as R
 from kinetable.plans.frames import event_frames, line_frames, turn_frames
+from kinetable.plans.segments import join_small
 
 TASKS = """tk AS (SELECT task, row_number() OVER (ORDER BY min("index")) - 1 AS task_index FROM fe GROUP BY task)"""
 
@@ -17,7 +18,7 @@ TASKS = """tk AS (SELECT task, row_number() OVER (ORDER BY min("index")) - 1 AS
 def with_task(spark, root):
     frames, _ = event_frames(spark, root)
     tasks = R.register_tasks(frames)
-    plain = frames.join(tasks, "task").select("index", "task_index")
+    plain = R.with_task_index(frames, tasks).select("index", "task_index")
     return R.with_task(plain, tasks)
 
 
@@ -54,7 +55,7 @@ def remap_tasks(spark, root):
     frames, _ = line_frames(spark, root)
     old = R.register_tasks(frames)
     new = R.register_tasks(frames, order="task")
-    return R.remap_tasks(frames.join(old, "task").select("index", "task_index"), old, new).select("index", "task_index")
+    return R.remap_tasks(R.with_task_index(frames, old).select("index", "task_index"), old, new).select("index", "task_index")
 
 
 @query("d05_locate_episode", f"""WITH {LINES}, e AS (SELECT episode_index, min("index") AS lo, max("index") + 1 AS hi FROM fl GROUP BY 1)
@@ -147,7 +148,7 @@ def _calibrated_lines(spark, root):
     nation = spark.read.parquet(f"{root}/supplier.parquet").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     mode = F.when(F.col("s_nationkey") % 3 == 0, "RANGE_M100_100").when(F.col("s_nationkey") % 3 == 1, "RANGE_0_100").otherwise("DEGREES")
     ranges = ranges.join(nation, "l_suppkey").select("l_suppkey", "lo", "hi", mode.alias("mode"), (F.col("s_nationkey") % 2 == 1).alias("flip"), F.lit(4096.0).alias("res"))
-    return lines.join(ranges, "l_suppkey"), [F.col(c) for c in ("lo", "hi", "mode", "flip", "res")]
+    return join_small(lines, ranges, ["l_suppkey"], derived=True), [F.col(c) for c in ("lo", "hi", "mode", "flip", "res")]
 
 
 @query("d12_join_progress", f"""WITH {EVENTS}, p AS (SELECT "index", CASE WHEN task = 'click' THEN value END AS sparse, CASE WHEN task <> 'error' THEN value / 2 END AS dense FROM fe WHERE task <> 'view')

@@ -434,11 +434,11 @@ def cap_relative_target(spark, root):
   FROM w JOIN t USING (task) CROSS JOIN s""")
 def flagship(spark, root):
     """Index, window, statistics, normalise, and task join in one plan."""
-    from kinetable.operators.relate import register_tasks, with_task
+    from kinetable.operators.relate import register_tasks, with_task, with_task_index
 
     frames, _ = event_frames(spark, root)
     tasks = register_tasks(frames)
-    frames = frames.join(tasks, "task")
+    frames = with_task_index(frames, tasks)
     out = W.delta_window(frames.select(*KEYS, "index", "task_index", "value"), {"value": _OFFSETS})
     moments = frames.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     out = with_task(out, tasks).crossJoin(moments)  # one row of statistics

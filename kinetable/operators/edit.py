@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kinetable.operators.relate import remap_tasks
 from kinetable.operators.stats import merge_stats
 from kinetable.plans.frames import EpisodicDataset
-from kinetable.plans.segments import MAX_GROUP_ROWS, group_bound, number_rows, running, spread_join
+from kinetable.plans.segments import MAX_GROUP_ROWS, group_bound, join_small, number_rows, running, spread_join
 
 
 def _renumber(frames: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def merge_datasets(sources: Sequence[EpisodicDataset]) -> EpisodicDataset:
     old_tasks = _tagged([s.tasks.select("task", "task_index") for s in sources], "_source")
 
     def shift(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-        joined = rows.join(offsets, "_source")
+        joined = join_small(rows, offsets, ["_source"], at_most=len(sources))
         return joined.withColumns({c: F.col(c) + F.col(o) for c, o in columns.items() if c in rows.columns}).drop("_e0", "_i0")
 
     frames = remap_tasks(_tagged([s.frames for s in sources], "_source"), old_tasks, tasks, keys=("_source",))

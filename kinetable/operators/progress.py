@@ -116,7 +116,7 @@ def temporal_proportions(intervals: DataFrame, names: Sequence[str] | None = Non
     spans = intervals.withColumn("_d", F.col("end") - F.col("start"))
     per_name = spans.groupBy("episode_index", "name").agg(F.max_by("_d", "position").alias("_d"), F.sum("_d").alias("_all"))
     totals = per_name.groupBy("episode_index").agg(F.sum("_all").alias("_total"))
-    shares = salted_join(per_name, totals, ["episode_index"]).filter("_total > 0")
+    shares = per_name.join(totals, "episode_index").filter("_total > 0")
     means = shares.groupBy("name").agg(F.avg(F.col("_d") / F.col("_total")).alias("mean_share"))
     out = means.crossJoin(means.agg(F.sum("mean_share").alias("_sum")))  # one row
     out = out.withColumn("proportion", F.when(F.col("_sum") > 0, F.col("mean_share") / F.col("_sum")).otherwise(F.col("mean_share")))

@@ -1,7 +1,6 @@
 """Joins of frames to tasks, episodes, files, times and annotations.
 
-No side is broadcast by hint: Spark broadcasts a side only when its measured size is
-under ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges, with skew splitting, beyond.
+Task tables are broadcast after a check of their rows, so that frames stay where they are.
 """
 
 from __future__ import annotations
@@ -9,19 +8,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.plans.segments import number_rows, running
+from kinetable.plans.segments import group_bound, join_small, number_rows, running
 
 
 def with_task(frames: DataFrame, tasks: DataFrame) -> DataFrame:
     """Add the task text of ``task_index``."""
-    return frames.join(tasks.select("task_index", "task"), "task_index")
+    return join_small(frames, tasks.select("task_index", "task"), ["task_index"], at_most=group_bound(tasks, "task_index"))
+
+
+def with_task_index(frames: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Add the id of the task text."""
+    return join_small(frames, tasks.select("task", "task_index"), ["task"], at_most=group_bound(tasks, "task_index"))
 
 
 def with_subtask(frames: DataFrame, subtasks: DataFrame | None) -> DataFrame:
     """Add ``subtask``; frames without a known one keep null. No-op without column or table."""
     if subtasks is None or "subtask_index" not in frames.columns:
         return frames
-    return frames.join(subtasks.select("subtask_index", "subtask"), "subtask_index", "left")
+    known = subtasks.select("subtask_index", "subtask")
+    return join_small(frames, known, ["subtask_index"], "left", at_most=group_bound(subtasks, "subtask_index"))
 
 
 def register_tasks(frames: DataFrame, existing: DataFrame | None = None, text: str = "task", order: str = "index") -> DataFrame:
@@ -45,7 +50,8 @@ def remap_tasks(frames: DataFrame, source: DataFrame, target: DataFrame, keys: t
     texts = source.select(*keys, F.col("task_index"), "task")
     ids = target.select("task", F.col("task_index").alias("_new"))
     mapping = texts.join(ids, "task").select(*keys, "task_index", "_new")
-    return frames.join(mapping, [*keys, "task_index"]).drop("task_index").withColumnRenamed("_new", "task_index")
+    at_most = None if keys else group_bound(source, "task_index")
+    return join_small(frames, mapping, [*keys, "task_index"], at_most=at_most).drop("task_index").withColumnRenamed("_new", "task_index")
 
 
 def locate_episode(points: DataFrame, episodes: DataFrame, at: str) -> DataFrame:

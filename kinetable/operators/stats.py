@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetable.plans.segments import group_bound, number_rows, salted_join, segment_rows
+from kinetable.plans.segments import group_bound, join_small, number_rows, segment_rows
 from kinetable.session import materialize
 
 QUANTILES = (0.01, 0.10, 0.50, 0.90, 0.99)
@@ -86,10 +86,9 @@ def histogram_quantiles(
     group = [*keys, *SERIES]
     if keys and at_most is not None and at_most <= segment_rows(tall):
         return _small_group_quantiles(tall, group, quantiles, bins)
-    stats = feature_stats(tall, keys)
+    stats = materialize(feature_stats(tall, keys))  # read twice below
     edges = stats.select(*group, "count", (F.col("min") - EDGE).alias("_lo"), (F.col("max") + EDGE).alias("_hi"))
-    joined = salted_join(tall, edges, group) if keys else tall.join(edges, group)
-    placed = joined.withColumn("_bin", _bin_of(bins))
+    placed = join_small(tall, edges, group).withColumn("_bin", _bin_of(bins))
     counts = placed.groupBy(*group, "_bin").agg(
         F.count(F.lit(1)).alias("_n"), F.first("count").alias("_total"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     filled = counts.withColumn("_sum", F.sum("_n").over(Window.partitionBy(*group).orderBy("_bin")))
@@ -163,7 +162,7 @@ def merge_stats(stats: DataFrame, keys: Sequence[str] = (), quantiles: Sequence[
     group = [*keys, *SERIES]
     names = [quantile_name(q) for q in quantiles if quantile_name(q) in stats.columns]
     centre = stats.groupBy(*group).agg((F.sum(F.col("count") * F.col("mean")) / F.sum("count")).alias("_centre"))
-    rows = salted_join(stats, centre, group) if keys else stats.join(centre, group)
+    rows = join_small(stats, centre, group, derived=True)
     off = F.col("mean") - F.col("_centre")
     variance = F.sum(F.col("count") * (F.col("std") * F.col("std") + off * off)) / F.sum("count")
     return rows.groupBy(*group).agg(

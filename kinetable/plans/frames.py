@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.plans.segments import group_sizes, note_bound, number_rows, running, spread_join
+from kinetable.plans.segments import broadcast_rows, group_sizes, note_bound, number_rows, running, spread_join
 
 
 @dataclass
@@ -45,7 +45,10 @@ def index_frames(
     episodes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("length"), *episode_aggs)
     episodes = number_rows(episodes, [], [key], "episode_index", at_most=count, sums={"dataset_to_index": "length"})
     episodes = episodes.withColumn("dataset_from_index", F.col("dataset_to_index") - F.col("length"))
-    out = spread_join(frames, episodes, key, "frame_index", "length")
+    if count <= broadcast_rows(rows):
+        out = frames.join(F.broadcast(episodes), key)
+    else:
+        out = spread_join(frames, episodes, key, "frame_index", "length")
     out = out.withColumn("index", F.col("dataset_from_index") + F.col("frame_index"))
     out = note_bound(out, "index", total)
     if fps and "timestamp" not in rows.columns:

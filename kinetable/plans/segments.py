@@ -28,6 +28,7 @@ SEG = "_segment"
 _OWN = "_own"
 SEGMENT_ROWS = 65_536
 MAX_GROUP_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 GROUP_ROWS = "groupRows"
 
 
@@ -39,6 +40,10 @@ def max_group_rows(df: DataFrame) -> int:
     return setting(df.sparkSession, "maxGroupRows", MAX_GROUP_ROWS)
 
 
+def broadcast_rows(df: DataFrame) -> int:
+    return setting(df.sparkSession, "broadcastRows", BROADCAST_ROWS)
+
+
 def group_bound(df: DataFrame, *positions: str) -> int | None:
     """Largest group size noted on any of the position columns."""
     noted = [df.schema[p].metadata.get(GROUP_ROWS) for p in positions if p in df.columns]
@@ -222,8 +227,12 @@ def spread_join(frames: DataFrame, groups: DataFrame, key: str, pos: str, length
     """Join one row per group to its frames, cut by segment so that a hot group is split.
 
     ``groups`` has one row per ``key`` with its ``length``; it is repeated once per segment,
-    which is one row per ``segment_rows`` frames.
+    which is one row per ``segment_rows`` frames. When ``key`` is an episode number whose noted
+    range is small, the groups are few and are broadcast.
     """
+    few = group_bound(groups, key)
+    if few is not None and few <= broadcast_rows(frames):
+        return frames.join(F.broadcast(groups), key, how)
     if in_one_segment(frames, pos):
         return frames.join(groups, key, how)
     size = segment_rows(frames)
@@ -235,9 +244,26 @@ def spread_join(frames: DataFrame, groups: DataFrame, key: str, pos: str, length
 def salted_join(facts: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """Join a keyed table to facts with hot keys: the keyed side is repeated once per salt.
 
-    Rows without a dense position use this; a frame table uses ``spread_join``. Under the
-    auto-broadcast size the salt costs nothing, as Spark then shuffles no side.
+    Rows without a dense position use this; a frame table uses ``spread_join``.
     """
-    mixed = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
+    mixable = [name for name, kind in facts.dtypes if "map<" not in kind]
+    mixed = facts.withColumn("_salt", F.pmod(F.xxhash64(*mixable), F.lit(salts)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return mixed.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_small(
+    facts: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", *, at_most: int | None = None, derived: bool = False
+) -> DataFrame:
+    """Join a keyed table that is expected to be small without moving the facts.
+
+    Its rows are counted, unless ``at_most`` bounds them; ``derived`` marks the result of a large
+    plan, which is written once before it is counted. Up to ``broadcast_rows`` it is broadcast,
+    beyond that the join is salted.
+    """
+    if at_most is None:
+        small = materialize(small) if derived else small
+        at_most = small.count()
+    if at_most <= broadcast_rows(facts):
+        return facts.join(F.broadcast(small), list(keys), how)
+    return salted_join(facts, small, keys, how=how)

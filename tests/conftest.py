@@ -32,9 +32,11 @@ def duck(data):
 
 @pytest.fixture
 def small_segments(spark):
-    """Cut episodes every 7 frames and take groups above 10 rows as hot."""
+    """Cut episodes every 7 frames, take groups above 10 rows as hot and no table as small."""
+    spark.conf.set("spark.kinetable.broadcastRows", "0")
     spark.conf.set("spark.kinetable.segmentRows", "7")
     spark.conf.set("spark.kinetable.maxGroupRows", "10")
     yield
+    spark.conf.unset("spark.kinetable.broadcastRows")
     spark.conf.unset("spark.kinetable.segmentRows")
     spark.conf.unset("spark.kinetable.maxGroupRows")

@@ -14,7 +14,8 @@ CUT = [
     "e22_latch_reference", "e23_clip_and_check_jump", "e27_splice_append", "e28_latency_window", "e29_achieved_fps", "e30_ema",
     "c01_select_episodes", "c03_shuffle_frames", "c09_sample_chunks", "c12_trim_outliers", "d05_locate_episode", "d06_stage_and_tau", "d07_join_nearest",
     "f15_running_meter", "f02_exact_quantiles", "i01_merge_datasets", "i02_split_dataset", "i03_delete_episodes", "i05_modify_tasks", "j05_drop_late_actions",
-    "j01_stream_assemble_episodes", "j10_read_frames_stream",
+    "j01_stream_assemble_episodes", "j10_read_frames_stream", "d01_with_task", "d04_remap_tasks", "f03_small_group_fallback", "f04_merge_stats",
+    "f02_histogram_quantiles", "g07_progress_targets",
 ]
 
 
