@@ -10,9 +10,11 @@ from kinetable.functions.numbers import tidy
 from kinetable.operators import stats as S
 from kinetable.operators.select import sample_evenly
 from kinetable.plans.frames import event_frames, line_frames, vector_frames
+from kinetable.sources.layout import spread_splits
 
 BASE = ("count", "min", "max", "mean", "std")
 QN = ("q01", "q10", "q50", "q90", "q99")
+_LKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -70,7 +72,7 @@ def feature_stats_vector(spark, root):
 
 @query("f02_histogram_quantiles", f"WITH {LINES}, {LINE_TALL}, {_hist_sql('lt', '')} SELECT feature, dim, {_SHOW_B}, {_SHOW_Q8} FROM hq")
 def histogram_quantiles(spark, root):
-    lines = spark.read.parquet(f"{root}/lineitem.parquet")
+    lines = spread_splits(spark.read.parquet(f"{root}/lineitem.parquet").select(*_LKEYS, *LINE_FEATURES, "l_returnflag", "l_linestatus"))
     return _shown_q(S.histogram_quantiles(S.to_series(lines, [], LINE_FEATURES)), digits=8)
 
 
@@ -145,7 +147,7 @@ def augment_quantiles(spark, root):
 @query("f08_update_stats", f"""WITH {LINES}, {LINE_TALL} SELECT feature, dim, {_agg_sql()} FROM lt GROUP BY 1, 2""")
 def update_stats(spark, root):
     """Statistics of finished lines, updated by those of open ones, equal the statistics of all."""
-    lines = spark.read.parquet(f"{root}/lineitem.parquet")
+    lines = spread_splits(spark.read.parquet(f"{root}/lineitem.parquet").select(*_LKEYS, *LINE_FEATURES, "l_returnflag", "l_linestatus"))
     old = S.frame_stats(lines.filter("l_linestatus = 'F'"), [], LINE_FEATURES)
     new = S.frame_stats(lines.filter("l_linestatus <> 'F'"), [], LINE_FEATURES)
     return _shown(S.update_stats(old, new))
@@ -182,7 +184,6 @@ _LSTAT = ", ".join(
     f"""avg({f}) AS {f}_mean, stddev_pop({f}) AS {f}_std, min({f}) AS {f}_min, max({f}) AS {f}_max,
   quantile_cont({f}, 0.01) AS {f}_q01, quantile_cont({f}, 0.1) AS {f}_q10, quantile_cont({f}, 0.9) AS {f}_q90, quantile_cont({f}, 0.99) AS {f}_q99""" for f in LINE_FEATURES)
 _LN = f"""s AS (SELECT {_LSTAT} FROM lineitem), l AS (SELECT * FROM lineitem CROSS JOIN s)"""
-_LKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def _line_stats(lines, quantiles):
@@ -228,14 +229,14 @@ def normalize_quantile10(spark, root):
 
 
 def _normalized(spark, root, mode):
-    lines = spark.read.parquet(f"{root}/lineitem.parquet")
+    lines = spread_splits(spark.read.parquet(f"{root}/lineitem.parquet").select(*_LKEYS, *LINE_FEATURES, "l_returnflag", "l_linestatus"))
     out = G.normalize(_state(lines), _vector_stats(lines, mode.startswith("QUANTILE")), {"state": mode})
     return out.select(*_LKEYS, *_four(F.col("state")))
 
 
 @query("g01_unnormalize", f"SELECT {', '.join(_LKEYS)}, {_four_sql(lambda f: f, 4)} FROM lineitem")
 def unnormalize(spark, root):
-    lines = spark.read.parquet(f"{root}/lineitem.parquet")
+    lines = spread_splits(spark.read.parquet(f"{root}/lineitem.parquet").select(*_LKEYS, *LINE_FEATURES, "l_returnflag", "l_linestatus"))
     stats = _vector_stats(lines, True)
     out = G.unnormalize(G.normalize(_state(lines), stats, {"state": "QUANTILES"}), stats, {"state": "QUANTILES"})
     return out.select(*_LKEYS, *_four(F.col("state"), 4))
@@ -243,7 +244,7 @@ def unnormalize(spark, root):
 
 @query("g02_normalize_clipped", f"WITH {_LN} SELECT {', '.join(_LKEYS)}, {_four_sql(lambda f: f'2 * (least(greatest({f}, {f}_q01), {f}_q99) - {f}_q01) / greatest({f}_q99 - {f}_q01, 1e-8::DOUBLE) - 1')} FROM l")
 def normalize_clipped(spark, root):
-    lines = spark.read.parquet(f"{root}/lineitem.parquet")
+    lines = spread_splits(spark.read.parquet(f"{root}/lineitem.parquet").select(*_LKEYS, *LINE_FEATURES, "l_returnflag", "l_linestatus"))
     out = G.normalize(_state(lines), _vector_stats(lines, True), {"state": "QUANTILES"}, clipped=True)
     return out.select(*_LKEYS, *_four(F.col("state")))
 
@@ -269,7 +270,7 @@ def minmax_zero_safe(spark, root):
   SELECT {', '.join(_LKEYS)}, {_four_sql(lambda f: f'({f} - {f}_mean) / ({f}_std + 1e-8::DOUBLE)')} FROM l""")
 def swap_stats(spark, root):
     """The step of g01 with the statistics of another dataset."""
-    lines = spark.read.parquet(f"{root}/lineitem.parquet")
+    lines = spread_splits(spark.read.parquet(f"{root}/lineitem.parquet").select(*_LKEYS, *LINE_FEATURES, "l_returnflag", "l_linestatus"))
     step = lambda frames, stats: G.normalize(frames, stats, {"state": "MEAN_STD"})
     other = _vector_stats(lines.filter("l_returnflag = 'A'"))
     return step(_state(lines), other).select(*_LKEYS, *_four(F.col("state")))

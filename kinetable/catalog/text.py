@@ -8,6 +8,7 @@ from kinetable.catalog import EVENTS, VECTORS, query
 from kinetable.functions import text as H
 from kinetable.functions.scaling import discretize
 from kinetable.plans.frames import event_frames, vector_frames
+from kinetable.sources.layout import spread_splits
 
 _WS = r"\s\p{Z}\x0b\x1c-\x1f\x{85}"
 
@@ -18,7 +19,7 @@ def _clean(column):
 
 
 def _documents(spark, root):
-    return spark.read.parquet(f"{root}/documents.parquet")
+    return spread_splits(spark.read.parquet(f"{root}/documents.parquet"))
 
 
 @query("h01_clean_task", f"SELECT doc_id, {_clean('text')} AS task FROM documents")

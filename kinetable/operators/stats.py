@@ -30,13 +30,13 @@ def quantile_name(q: float) -> str:
 def to_series(frames: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Scalar and vector columns to tall rows; text columns are skipped."""
     kinds = dict(frames.dtypes)
-    parts = []
-    for name in features:
-        if kinds[name] == "string":
-            continue
-        vector = F.col(name) if kinds[name].startswith("array") else F.array(name)
-        parts.append(F.transform(vector, _entry(name)))
-    return frames.select(*keys, F.explode(F.concat(*parts)).alias("s")).select(*keys, "s.feature", "s.dim", "s.value")
+    vectors = [n for n in features if kinds[n].startswith("array")]
+    scalars = [n for n in features if n not in vectors and kinds[n] != "string"]
+    parts = [F.transform(n, _entry(n)) for n in vectors]
+    if scalars:  # no lambda, so that they stay in generated code
+        parts.append(F.array(*[
+            F.struct(F.lit(n).alias("feature"), F.lit(0).alias("dim"), F.col(n).cast("double").alias("value")) for n in scalars]))
+    return frames.select(*keys, F.inline(parts[0] if len(parts) == 1 else F.concat(*parts)))
 
 
 def _entry(name: str):

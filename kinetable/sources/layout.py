@@ -38,6 +38,15 @@ def read_frames(spark: SparkSession, path: str, schema: T.StructType | None = No
     return frames.join(wanted, "episode_index", "left_semi")
 
 
+FEW_SPLITS = 4
+
+
+def spread_splits(df: DataFrame) -> DataFrame:
+    """Spread an input of at most four splits over the cores; any larger input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= min(FEW_SPLITS, cores // 2) else df
+
+
 def without_stats(episodes: DataFrame) -> DataFrame:
     """Episode rows without the ``stats/...`` columns, which the scan then never reads."""
     return episodes.select(*[F.col(f"`{c}`") for c in episodes.columns if not c.startswith("stats/")])
