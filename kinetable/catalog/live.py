@@ -145,9 +145,8 @@ def stream_latency(spark, root):
 
 @query("j09_stream_fps", f"""WITH {EVENTS} SELECT event_id, round(CASE WHEN "timestamp" > 1e-6 THEN frame_index / "timestamp" ELSE 0 END, 9) AS fps FROM fe""")
 def stream_fps(spark, root):
-    rows = _events(spark, root).withColumn("t", F.col("micros") / F.lit(1e6))
-    step, schema = J.stream_fps("user_id", ORDER, "t")
-    path = _drain(spark, rows, step, schema)
+    step, schema = J.stream_fps("user_id", ORDER, "micros", 1e6)
+    path = _drain(spark, _events(spark, root), step, schema)
     return M.output(spark, path).select("event_id", tidy("achieved_fps", 9).alias("fps"))
 
 

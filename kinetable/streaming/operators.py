@@ -156,15 +156,15 @@ def stream_latency(source: str, order: Sequence[str], latency: str, size: int, q
     return step, ", ".join([f"{source} bigint", *[f"{o} bigint" for o in order], f"{latency} double", "_top double"])
 
 
-def stream_fps(source: str, order: Sequence[str], time: str) -> tuple[Step, str]:
-    """Average rate since the first row of the source."""
+def stream_fps(source: str, order: Sequence[str], time: str, per_second: float = 1.0) -> tuple[Step, str]:
+    """Average rate since the first row of the source; ``time`` counts ``per_second`` units a second."""
     def step(batch: DataFrame, state: DataFrame | None):
         rows = number_rows(batch, [source], order, POS)
-        firsts = rows.groupBy(source).agg(F.min_by(time, POS).alias("_first"))
+        firsts = rows.groupBy(source).agg(F.min_by(F.col(time).cast("double"), POS).alias("_first"))
         rows = _with_state(rows, state, source, {"t0": F.lit(None).cast("double"), "seen": F.lit(0).cast("bigint")})
         sizes = rows.groupBy(source).agg(F.max("_rows").alias("_r")).join(firsts, source)
         rows = spread_join(rows, sizes, source, POS, "_r").withColumn("t0", F.coalesce("t0", "_first"))
-        spent, before = F.col(time) - F.col("t0"), F.col("seen") + F.col(POS)
+        spent, before = (F.col(time) - F.col("t0")) / F.lit(per_second), F.col("seen") + F.col(POS)
         rows = rows.withColumns({"achieved_fps": F.when(spent > 1e-6, before / spent).otherwise(0.0), "_count": before + 1})
         fresh = rows.groupBy(source).agg(F.min("t0").alias("t0"), F.max("_count").alias("seen"))
         return rows.drop(POS, "_rows", "_r", "_first", "t0", "seen", "_count"), carried(state, fresh, [source])
