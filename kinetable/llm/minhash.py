@@ -12,10 +12,10 @@ collide once for each token they share. Pairs that can reach the similarity coll
   share one among their first ``coordinates - matches + 1``; only those are posted;
 * *star rounds*: each class counts its collisions with the first class of each of its lists, and
   its best partner is compared on full sets;
-* *skip merging*: what the star rounds left in several components is merged list by list; a heap
-  pops the lists' heads and jumps over members that cannot reach ``matches``. Members of one
-  component are not paired, so a group of copies costs its stars, never its pairs. A long list is
-  cut into blocks and each pair of blocks is a group of bounded size.
+* *skip merging*: in the lists that still span several components, the members outside the largest
+  one merge their posting lists and skip the members that an earlier list has counted. Members of
+  one component are not paired, so a group of copies costs its stars, never its pairs. A long list is cut
+  into blocks and each pair of blocks is a group of bounded size.
 
 All links are confirmed on the full sets. Links inside a component that is known already are not
 needed for the components and are not looked for.
@@ -23,12 +23,11 @@ needed for the components and are not looked for.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,50 +85,54 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, siz
     return joined.mapInArrow(make, "node long, shingles array<long>")
 
 
-def skip_merge(rows: list[list[int]], labels: list[int], needed: int) -> Iterator[tuple[int, int]]:
-    """Pairs of members with different labels that share at least ``needed`` tokens.
+def skip_merge(
+    token: int, labels: np.ndarray, flat: np.ndarray, starts: np.ndarray, prefix: np.ndarray, needed: int
+) -> Iterator[tuple[int, int]]:
+    """Pairs of members of one token's list, with different labels, that share ``needed`` tokens or more.
 
-    ``rows`` has each member's tokens. For a member, the posting lists of its tokens, cut to the
-    members after it, are merged with a heap; when the smallest head occurs too rarely, all lists
-    below the ``needed``-th head jump to that head by bisection.
+    Member ``i`` has the tokens ``flat[starts[i]:starts[i + 1]]``, the first ``prefix[i]`` of them
+    posted. Only members outside the list's largest component probe, as pairs inside one component
+    are not wanted. A probe first merges the lists of its posted tokens below ``token``: a member
+    met there shares an earlier list, which counts the pair, and is skipped. Only if some member is
+    left are all lists merged and the collisions counted.
     """
-    posts: dict[int, list[int]] = {}
-    for member, tokens in enumerate(rows):
-        for token in tokens:
-            posts.setdefault(token, []).append(member)
-    for member, tokens in enumerate(rows):
-        heap = []
-        for token in tokens:
-            own = posts[token]
-            at = bisect_left(own, member + 1)
-            if at < len(own):
-                heap.append((own[at], at, token))
-        heapq.heapify(heap)
-        while len(heap) >= needed:
-            head = heap[0][0]
-            popped = []
-            while heap and heap[0][0] == head:
-                popped.append(heapq.heappop(heap))
-            if len(popped) >= needed:
-                if labels[head] != labels[member]:
-                    yield member, head
-                target = head + 1
-            else:
-                while len(popped) < needed and heap:
-                    popped.append(heapq.heappop(heap))
-                if len(popped) < needed:
-                    break
-                target = popped[-1][0] if popped[-1][0] > head else head + 1
-            for _, at, token in popped:
-                own = posts[token]
-                at = bisect_left(own, target, at)
-                if at < len(own):
-                    heapq.heappush(heap, (own[at], at, token))
+    n = len(labels)
+    names, sizes = np.unique(labels, return_counts=True)
+    if len(names) < 2:
+        return
+    probing = labels != names[np.argmax(sizes)]
+    owner = np.repeat(np.arange(n), np.diff(starts))
+    posted = np.arange(len(flat)) - starts[owner] < prefix[owner]
+
+    def lists(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(flat[of], kind="stable")
+        return flat[of][order], owner[of][order]
+
+    heads, tails = lists(np.flatnonzero(posted)), lists(np.flatnonzero(~posted))
+
+    def hits(index: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(index[0], tokens, "left"), np.searchsorted(index[0], tokens, "right")
+        found = [index[1][i:j] for i, j in zip(low.tolist(), high.tolist()) if j > i]
+        return np.bincount(np.concatenate(found), minlength=n) if found else np.zeros(n, np.int64)
+
+    for probe in np.flatnonzero(probing).tolist():
+        wanted = labels != labels[probe]
+        wanted[:probe] &= ~probing[:probe]  # two probes meet once
+        row = flat[starts[probe] : starts[probe + 1]]
+        own = row[: prefix[probe]]
+        earlier = own[own < token]
+        if len(earlier):
+            wanted &= hits(heads, earlier) == 0
+        if not wanted.any():
+            continue
+        count = hits(heads, row) + hits(tails, row)
+        for other in np.flatnonzero(wanted & (count >= needed)).tolist():
+            yield probe, other
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
-    size: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 30, rounds: int = 2, block: int = 256,
+    size: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 30, rounds: int = 2, block: int = 1024,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -207,19 +210,23 @@ def _merged(alive: DataFrame, labels: DataFrame, matches: int, block: int) -> Da
     own = F.pmod(F.xxhash64("node"), "blocks")
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
     spread = cut.select("token", "node", "component", F.explode(others).alias("part"))
-    member = F.struct("node", "component", "tokens")
-    groups = spread.join(alive.select("node", "tokens"), "node").groupBy("token", "part.i", "part.j").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    member = F.struct("node", "component", "tokens", F.size("prefix").alias("posted"))
+    held = spread.join(alive.select("node", "tokens", "prefix"), "node")
+    groups = held.groupBy("token", "part.i", "part.j").agg(F.array_sort(F.collect_list(member)).alias("members"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = set()
-            for members in batch.column(0):
-                rows = members.as_py()
-                ids = [r["node"] for r in rows]
-                pairs.update((ids[x], ids[y]) for x, y in skip_merge([r["tokens"] for r in rows], [r["component"] for r in rows], matches))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return groups.select("members").mapInArrow(make, "a long, b long").distinct()
+            left, right = [], []
+            for token, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                node, component, tokens, posted = members.values.flatten()
+                ids, flat = node.to_numpy(), tokens.flatten().to_numpy()
+                starts = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
+                for x, y in skip_merge(token, component.to_numpy(), flat, starts, posted.to_numpy(), matches):
+                    left.append(ids[x])
+                    right.append(ids[y])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return groups.select("token", "members").mapInArrow(make, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
