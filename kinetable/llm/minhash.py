@@ -10,12 +10,15 @@ collide once for each token they share. Pairs that can reach the similarity coll
 * tokens of one class only are dropped, and a class with fewer than ``matches`` shared tokens;
 * *prefix*: with tokens ordered from rare to frequent, two classes that share ``matches`` of them
   share one among their first ``coordinates - matches + 1``; only those are posted;
-* *star rounds*: each class counts its collisions with the first class of each of its lists, and
-  its best partner is compared on full sets;
-* *skip merging*: in the lists that still span several components, the members outside the largest
-  one merge their posting lists and skip the members that an earlier list has counted. Members of
-  one component are not paired, so a group of copies costs its stars, never its pairs. A long list is cut
-  into blocks and each pair of blocks is a group of bounded size.
+* *stars*: each class counts its collisions with the first class of each of its lists, and its
+  best partner is compared on full sets, which gives components;
+* *families*: components whose members collide often enough with a leader are one family. In a
+  family the members outside its largest component are held against all others on full sets, in
+  pairs of blocks of bounded size, and only links that join components are returned. So a group of
+  copies costs its stars and never its pairs;
+* *skip merging*: in the lists that span several families, the members outside the largest one
+  merge their posting lists, skip the members that an earlier list has counted, and pairs with
+  enough collisions are compared on full sets. A long list is cut into blocks too.
 
 All links are confirmed on the full sets. Links inside a component that is known already are not
 needed for the components and are not looked for.
@@ -130,9 +133,34 @@ def skip_merge(
             yield probe, other
 
 
+def joining_links(labels: np.ndarray, flat: np.ndarray, starts: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between members of different labels that connect what no earlier one connected.
+
+    Member ``i`` has the set ``flat[starts[i]:starts[i + 1]]``. Members outside the largest label
+    probe; a probe merges the posting lists of its whole set, which gives its exact overlaps.
+    """
+    n = len(labels)
+    names, label, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    order = np.argsort(flat, kind="stable")
+    keys, holders = flat[order], np.repeat(np.arange(n), np.diff(starts))[order]
+    sizes = np.diff(starts)
+    group = label.copy()  # of each member, as links join them
+    for probe in np.flatnonzero(label != np.argmax(counts)).tolist():
+        if (group == group[probe]).all():
+            continue
+        row = flat[starts[probe] : starts[probe + 1]]
+        low, high = np.searchsorted(keys, row, "left"), np.searchsorted(keys, row, "right")
+        common = np.bincount(np.concatenate([holders[i:j] for i, j in zip(low.tolist(), high.tolist())]), minlength=n)
+        linked = (100 * common >= percent * (sizes + sizes[probe] - common)) & (group != group[probe])
+        for other in np.flatnonzero(linked).tolist():
+            if group[other] != group[probe]:
+                yield probe, other
+                group[group == group[other]] = group[probe]
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
-    size: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 30, rounds: int = 2, block: int = 1024,
+    size: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 30, block: int = 256,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -157,15 +185,13 @@ def near_duplicates(
         F.slice(F.col("ranked.token"), F.lit(1), F.size("ranked") - matches + 1).alias("prefix")), "prefixes")
     sets = stored(shingle_sets(docs, alive.join(classes.select("node", "digest"), "node"), doc_id, text, size), "sets")
     labels = alive.select("node", F.col("node").alias("component"))
-    links = None
-    for turn in range(rounds):
-        found = _confirmed(_star(alive, labels, matches, turn), sets, percent)
-        links = stored(found if links is None else links.union(found), "links")
-        labels = _labels(alive, links)
-    rest = stored(_merged(alive, labels, matches, block), "candidates")
-    if not rest.isEmpty():
-        links = links.union(_confirmed(rest, sets, percent))
-        labels = _labels(alive, links)
+    alone = alive.select("node", F.col("node").alias("component"))
+    links = stored(_confirmed(_star(alive, alone, matches, 0), sets, percent), "links")
+    labels = _labels(alive, links)
+    families = _labels(alive, labels.where("node != component").toDF("a", "b").union(_star(alive, labels, matches, 1)))
+    links = links.union(stored(_within(labels, families, sets, percent, block), "within"))
+    links = stored(links.union(_confirmed(_across(alive, families, matches, 4 * block), sets, percent)), "links")
+    labels = _labels(alive, links)
     again = known.groupBy("node").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high").select("node")
     leads = classes.select("digest", F.col("node").alias("lead"))
     same = known.join(again, "node").join(leads, "digest").select(F.col("node").alias("a"), F.col("lead").alias("b"))
@@ -203,8 +229,39 @@ def _star(alive: DataFrame, labels: DataFrame, matches: int, turn: int) -> DataF
     return best.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b"))
 
 
-def _merged(alive: DataFrame, labels: DataFrame, matches: int, block: int) -> DataFrame:
-    """Pairs from different components that collide often enough, by skip merging of every open list."""
+def _within(labels: DataFrame, families: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between the components of each family, found on the full sets.
+
+    Members outside a family's largest component are held against all others, in pairs of blocks.
+    A pair of blocks returns links that join components it has not joined yet, not all its links.
+    """
+    member = labels.join(families.withColumnRenamed("component", "family"), "node")
+    sizes = member.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = sizes.groupBy("family").agg(
+        F.max(F.struct("n", F.col("component").alias("at"))).alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    shape = shape.select("family", F.col("main.at").alias("main"), F.ceil((F.col("total") - F.col("main.n")) / block).alias("asking"), F.ceil(F.col("main.n") / block).alias("asked"))
+    placed = member.join(shape, "family").withColumn("hash", F.xxhash64("node"))
+    own = F.when(F.col("component") == F.col("main"), F.col("asking") + F.pmod("hash", "asked")).otherwise(F.pmod("hash", "asking"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("asking") + F.col("asked") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
+    spread = placed.select("family", "node", "component", F.explode(F.filter(every, lambda p: p["i"] < F.col("asking"))).alias("part"))
+    held = spread.join(sets, "node").select("family", "part.i", "part.j", F.struct("node", "component", "shingles").alias("member"))
+    groups = held.groupBy("family", "i", "j").agg(F.collect_list("member").alias("members"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = []
+            for members in batch.column(0):
+                node, component, shingles = members.values.flatten()
+                ids, flat = node.to_numpy(), shingles.flatten().to_numpy()
+                starts = np.concatenate([[0], np.cumsum(pc.list_value_length(shingles).to_numpy())])
+                pairs += [(ids[x], ids[y]) for x, y in joining_links(component.to_numpy(), flat, starts, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return groups.select("members").mapInArrow(make, "a long, b long").distinct()
+
+
+def _across(alive: DataFrame, labels: DataFrame, matches: int, block: int) -> DataFrame:
+    """Pairs from different families that collide often enough, by skip merging of every open list."""
     posts, spans = _open_posts(alive, labels)
     cut = posts.join(spans, "token").withColumn("blocks", F.ceil(F.col("members") / block))
     own = F.pmod(F.xxhash64("node"), "blocks")
