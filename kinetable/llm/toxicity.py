@@ -9,6 +9,7 @@ training a bucket is worth one number, its embedding times the softmax weights,
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a model is trained on at most; those with the smallest hash of their id.
-SAMPLE_DOCUMENTS = 6_000
+SAMPLE_DOCUMENTS = 5_000
 BUCKETS = 1 << 17
 CACHED_WORDS = 1_000_000
 
@@ -102,7 +103,7 @@ def train(
     if y.min() == y.max():
         return Model(np.zeros(1, np.float32), prior)
     number: dict[bytes, int] = {}
-    r, c, weight = [], [], []
+    r, c, weight = array("i"), array("i"), array("f")
     for d, text in enumerate(texts):
         found = bag(text)
         total = sum(found.values())
@@ -110,24 +111,26 @@ def train(
             r.append(d)
             c.append(number.setdefault(word, len(number)))
             weight.append(scale * times / total)
-    pooled = _Gather(np.asarray(r, np.int64), np.asarray(c, np.int64), np.asarray(weight), (len(texts), max(1, len(number))))
-    parts = [subwords(w, buckets) for w in number]
-    lengths = np.asarray([len(p) for p in parts], np.int64)
-    flat = np.asarray([b for p in parts for b in p], np.int64)
-    used, flat = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(parts)), lengths)
-    share_of_word = np.repeat(1.0 / np.maximum(lengths, 1), lengths)
+    pooled = _Gather(np.frombuffer(r, np.int32), np.frombuffer(c, np.int32), np.frombuffer(weight, np.float32), (len(texts), max(1, len(number))))
+    flat, lengths = array("i"), array("i")
+    for word in number:
+        found = subwords(word, buckets)
+        flat.extend(found)
+        lengths.append(len(found))
+    flat, lengths = np.frombuffer(flat, np.int32), np.frombuffer(lengths, np.int32)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     # A bucket that few documents hold says nothing of others: its vector stays zero.
-    holders = np.bincount(flat, np.bincount(pooled.c, minlength=len(parts))[owner], len(used))
+    holders = np.bincount(flat, np.bincount(pooled.c, minlength=len(lengths)).astype(np.float32)[owner], buckets)
     common = holders >= min(least, 1 + len(y) // 50)
-    place = np.cumsum(common) - 1
+    used, place = np.flatnonzero(common), (np.cumsum(common) - 1).astype(np.int32)
     kept = common[flat]
-    used, flat, owner, share_of_word = used[common], place[flat[kept]], owner[kept], share_of_word[kept]
+    flat, owner = place[flat[kept]], owner[kept]
+    share_of_word = (1.0 / np.maximum(lengths, 1)).astype(np.float32)[owner]
     # Frequent n-grams vary more from text to text: each bucket is weighted by one over the root of its rate.
-    rate_of_word = np.bincount(pooled.c, pooled.weight, len(parts)) / len(y) / scale
+    rate_of_word = np.bincount(pooled.c, pooled.weight, len(lengths)) / len(y) / scale
     rate_of = np.bincount(flat, share_of_word * rate_of_word[owner], max(1, len(used)))
     evened = 1.0 / np.sqrt(np.maximum(rate_of, 1e-9) * max(1, len(used)))
-    spelled = _Gather(owner, flat, share_of_word * evened[flat], (max(1, len(parts)), max(1, len(used))))
+    spelled = _Gather(owner, flat, share_of_word * evened[flat].astype(np.float32), (max(1, len(lengths)), max(1, len(used))))
     generator = np.random.default_rng(seed)
     params = [
         generator.normal(0, 0.1, (max(1, len(used)), width)),
