@@ -29,8 +29,10 @@ CACHED_WORDS = 1_000_000
 def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
     """Buckets of a word: the word in marks, and its n-grams of 3 to 5 characters."""
     marked = f"<{word.decode('utf-8', 'replace')}>"
-    grams = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-    return [xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % buckets for g in sorted(grams)]
+    size = len(marked)
+    grams = dict.fromkeys([marked, *[marked[i : i + n] for n in (3, 4, 5) for i in range(size - n + 1)]])
+    digest = xxhash.xxh32_intdigest
+    return [digest(g) % buckets for g in grams]
 
 
 def bag(text: str | None) -> Counter:
@@ -41,14 +43,20 @@ def bag(text: str | None) -> Counter:
 class Model:
     """Worth of each bucket and the bias, on the log-odds scale."""
 
-    worth: np.ndarray
+    worth: list[float]
     bias: float
 
+    def __post_init__(self):
+        self.worth = [float(x) for x in self.worth]  # look-ups of a few numbers are faster in a list
+
     def word(self, word: bytes) -> float:
-        if len(word) > 256:  # a run without blanks: its ends and its middle would drown each other
-            pieces = [word[i : i + 256] for i in range(0, len(word), 256)]
-            return float(np.mean([self.worth[subwords(p, len(self.worth))].mean() for p in pieces]))
-        return float(self.worth[subwords(word, len(self.worth))].mean())
+        worth = self.worth
+        buckets = len(worth)
+        if len(word) > 256:  # a run without blanks is scored in pieces
+            pieces = [self.word(word[i : i + 256]) for i in range(0, len(word), 256)]
+            return sum(pieces) / len(pieces)
+        found = subwords(word, buckets)
+        return sum([worth[b] for b in found]) / len(found)
 
     def score(self, text: str | None, known: dict[bytes, float]) -> float:
         total, n = 0.0, 0
@@ -183,9 +191,9 @@ _WORDS: dict[int, dict[bytes, float]] = {}
 
 
 def toxicity(text: Column, model) -> Column:
-    """Score of each whole text from 0 to 1; ``model`` is a broadcast of a :class:`Model` (half a megabyte)."""
+    """Score of each whole text from 0 to 1; ``model`` is a broadcast of a :class:`Model` (about a megabyte)."""
 
-    key = xxhash.xxh3_64_intdigest(model.value.worth.tobytes(), int(abs(model.value.bias) * 1e6))
+    key = xxhash.xxh3_64_intdigest(np.asarray([*model.value.worth, model.value.bias]).tobytes())
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
