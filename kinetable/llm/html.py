@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that the weights are counted on at most; those with the smallest hash of their id.
+#: Labelled pages that the weights are counted on, about; those whose hash falls into one of as many parts as it takes.
 SAMPLE_PAGES = 5_000
 
 # Elements of HTML by their role.
@@ -185,12 +185,13 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, page_id: str = "page_id", markup: str = "html", *, sample: int = SAMPLE_PAGES) -> Weights:
-    """Weights from at most ``sample`` pages that mark their main text with article or main.
+    """Weights from about ``sample`` pages that mark their main text with article or main.
 
     The pages are counted by tasks; what the driver reads is one row per region and tag name.
     """
     labelled = pages.where(F.lower(F.col(markup)).rlike("<(article|main)[ >]"))
-    chosen = labelled.select(F.xxhash64(page_id).alias("rank"), F.col(markup).alias("html")).orderBy("rank").limit(sample)
+    parts = max(1, -(-labelled.count() // sample))
+    chosen = labelled.where(F.pmod(F.xxhash64(page_id, markup), F.lit(parts)) == 0).select(F.col(markup).alias("html"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -201,7 +202,7 @@ def fit(pages: DataFrame, page_id: str = "page_id", markup: str = "html", *, sam
         kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["kind", "name", "inside", "n"])
 
-    counted = chosen.select("html").repartition(8).mapInArrow(make, "kind string, name string, inside boolean, n long")
+    counted = chosen.mapInArrow(make, "kind string, name string, inside boolean, n long")
     # Names are element names and marks of a fixed list, but a page may invent elements: the most frequent are enough.
     rows = counted.groupBy("kind", "name", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "name", "inside").limit(5_000).collect()
     return learn({(r["kind"], r["name"], r["inside"]): r["n"] for r in rows})

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that a model is trained on at most; those with the smallest hash of their id.
+#: Labelled documents that a model is trained on, about; those whose hash falls into one of as many parts as it takes.
 SAMPLE_DOCUMENTS = 5_000
 BUCKETS = 1 << 17
 CACHED_WORDS = 1_000_000
@@ -173,15 +173,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", *, sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """Train on at most ``sample`` labelled documents that are not held out.
+    """Train on about ``sample`` labelled documents that are not held out.
 
-    The sample is the labels with the smallest hash of their id; it is bounded, so it is broadcast
-    to the documents, and its texts are read to the driver to train. A row without a label or an
+    The labels are dealt by the hash of their id into parts of about that size, and one part is the
+    sample. It is bounded, so it is broadcast to the documents, and its texts are read to the
+    driver to train. A row without a label or an
     id is not learnt from, and an id with several labels counts as the largest.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = usable.groupBy(F.col(doc_id).alias("node")).agg(F.max(label).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("node"), "node").limit(sample)
+    parts = max(1, -(-chosen.count() // sample))
+    chosen = chosen.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0)
     slim = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
     rows = slim.join(F.broadcast(chosen), "node").select("node", "label", "text").dropDuplicates(["node"]).orderBy("node").collect()
     return train([r["text"] for r in rows], [int(r["label"]) for r in rows])
