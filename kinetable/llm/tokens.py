@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import normalizers
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 def byte_symbols() -> list[str]:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 #: Labelled documents that a model is trained on, about; those whose hash falls into one of as many parts as it takes.
 SAMPLE_DOCUMENTS = 5_000
 BUCKETS = 1 << 17
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
+_ENTRIES = 1 << 21
 
 
 def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -79,8 +80,12 @@ class _Gather:
         self.r, self.c, self.weight, self.shape = r, c, weight, shape
 
     def _run(self, to, frm, values, size):
-        columns = [np.bincount(to, self.weight * values[frm, k], size) for k in range(values.shape[1])]
-        return np.stack(columns, axis=1)
+        out = np.zeros((size, values.shape[1]))
+        for at in range(0, len(to), _ENTRIES):  # in slices: the temporary arrays stay small
+            part = slice(at, at + _ENTRIES)
+            for k in range(values.shape[1]):
+                out[:, k] += np.bincount(to[part], self.weight[part] * values[frm[part], k], size)
+        return out
 
     def __call__(self, values):
         return self._run(self.r, self.c, values, self.shape[0])
@@ -140,28 +145,25 @@ def train(
     evened = 1.0 / np.sqrt(np.maximum(rate_of, 1e-9) * max(1, len(used)))
     spelled = _Gather(owner, flat, share_of_word * evened[flat].astype(np.float32), (max(1, len(lengths)), max(1, len(used))))
     generator = np.random.default_rng(seed)
-    params = [
-        generator.normal(0, 0.1, (max(1, len(used)), width)),
-        generator.normal(0, 0.1, (width, 2)),
-        np.array([-prior / 2, prior / 2]),
-    ]
+    params = [generator.normal(0, 0.1, (max(1, len(used)), width)), generator.normal(0, 0.1, (width, 2))]
+    bias = np.array([-prior / 2, prior / 2])  # fixed: a text without words has the share of its class
     moments = [(np.zeros_like(p), np.zeros(1)) for p in params]
     target = np.eye(2)[y]
     weigh = np.where(y == 1, ((1 - share) / share) ** favour, 1.0)
     weigh = (weigh / weigh.sum())[:, None]
     for step in range(1, epochs + 1):
-        table, softmax, bias = params
+        table, softmax = params
         document = pooled(spelled(table))
         logits = document @ softmax + bias
         logits -= logits.max(axis=1, keepdims=True)
         odds = np.exp(logits)
         wrong = (odds / odds.sum(axis=1, keepdims=True) - target) * weigh
-        grads = [spelled.transposed(pooled.transposed(wrong @ softmax.T)) + decay * table, document.T @ wrong + decay * softmax, wrong.sum(axis=0)]
+        grads = [spelled.transposed(pooled.transposed(wrong @ softmax.T)) + decay * table, document.T @ wrong + decay * softmax]
         for p, g, (m, v) in zip(params, grads, moments):
             m += 0.1 * (g - m)
             v += 0.01 * (np.mean(g * g) - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
-    table, softmax, bias = params
+    table, softmax = params
     worth = np.zeros(buckets, np.float32)
     worth[used] = scale * (table * evened[:, None])[: len(used)] @ (softmax[:, 1] - softmax[:, 0])
     return Model(worth, float(bias[1] - bias[0]))
@@ -186,7 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = chosen.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0)
     slim = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
     rows = slim.join(F.broadcast(chosen), "node").select("node", "label", "text").dropDuplicates(["node"]).orderBy("node").collect()
-    return train([r["text"] for r in rows], [int(r["label"]) for r in rows])
+    found, known = [r["text"] for r in rows], [int(r["label"]) for r in rows]
+    del rows
+    return train(found, known)
 
 
 _WORDS: dict[int, dict[bytes, float]] = {}
