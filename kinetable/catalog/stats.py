@@ -8,7 +8,6 @@ from kinetable.catalog import EVENTS, LINES, VECTORS, query
 from kinetable.functions import scaling as G
 from kinetable.functions.numbers import tidy
 from kinetable.operators import stats as S
-from kinetable.operators.select import sample_evenly
 from kinetable.plans.frames import event_frames, line_frames, vector_frames
 from kinetable.sources.layout import spread_splits
 
@@ -132,7 +131,7 @@ def image_stats(spark, root):
     frames, _ = vector_frames(spark, root)
     level = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v + 1) * 128)))
     raw = F.unhex(F.array_join(F.transform("state", lambda v: F.lpad(F.hex(level(v)), 2, "0")), ""))
-    images = sample_evenly(frames).select("episode_index", raw.alias("pixels"))
+    images = frames.select("episode_index", raw.alias("pixels"))
     out = S.image_stats(images, ["episode_index"], "pixels", 4, 8, 2)
     return out.select("episode_index", F.col("dim").cast("bigint").alias("dim"), "count", *[tidy(n, 7).alias(n) for n in BASE[1:]])
 

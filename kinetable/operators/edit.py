@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kinetable.operators.relate import remap_tasks
 from kinetable.operators.stats import merge_stats
 from kinetable.plans.frames import EpisodicDataset
-from kinetable.plans.segments import MAX_GROUP_ROWS, group_bound, join_small, number_rows, running, spread_join
+from kinetable.plans.segments import MAX_GROUP_ROWS, group_bound, join_small, note_bound, number_rows, running, spread_join
 
 
 def _renumber(frames: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -66,7 +66,8 @@ def reindex_episodes(episodes: DataFrame, stats: DataFrame, mapping: DataFrame)
 
 
 def delete_episodes(dataset: EpisodicDataset, unwanted: DataFrame) -> EpisodicDataset:
-    """Drop the given episodes and close the gaps."""
+    """Drop the given episodes and close the gaps; see ``check_deletion`` for what is refused."""
+    check_deletion(dataset, unwanted)
     return reindex(dataset, dataset.episodes.join(unwanted.select("episode_index"), "episode_index", "left_anti"))
 
 
@@ -131,7 +132,13 @@ def split_dataset(dataset: EpisodicDataset, splits: dict[str, float] | DataFrame
 
 
 def _tagged(tables: Sequence[DataFrame], tag: str) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.withColumn(tag, F.lit(i).cast("bigint")) for i, t in enumerate(tables)])
+    """Union with the number of the table; a bound noted on a column becomes the sum of the tables' bounds, or goes."""
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.withColumn(tag, F.lit(i).cast("bigint")) for i, t in enumerate(tables)])
+    for column in out.columns:
+        bounds = [group_bound(t, column) for t in tables]
+        if any(b is not None for b in bounds):
+            out = note_bound(out, column, sum(bounds)) if all(b is not None for b in bounds) else out.withMetadata(column, {})
+    return out
 
 
 def union_tasks(sources: Sequence[DataFrame]) -> DataFrame:
@@ -180,17 +187,24 @@ def concat_common(sources: Sequence[DataFrame]) -> DataFrame:
 def modify_tasks(dataset: EpisodicDataset, default: str | None = None, overrides: DataFrame | None = None) -> EpisodicDataset:
     """One task per episode: its override, else the default, else its first task; ids in text order.
 
-    ``overrides`` has ``episode_index, new_task``; episodes carry their ``tasks`` list.
+    ``overrides`` has ``episode_index, new_task``; episodes carry their ``tasks`` list. Overrides
+    of unknown episodes and episodes left without a task are refused.
     """
     if default is None and overrides is None:
         raise ValueError("give a default task or overrides")
     rows = dataset.episodes
     choices = []
     if overrides is not None:
+        unknown = overrides.join(rows, "episode_index", "left_anti").count()
+        if unknown:
+            raise ValueError(f"{unknown} overrides are of episodes that do not exist")
         rows = rows.join(overrides.select("episode_index", "new_task"), "episode_index", "left")
         choices.append(F.col("new_task"))
     choices.append(F.lit(default) if default is not None else F.get("tasks", F.lit(0)))
     rows = rows.withColumn("_task", F.coalesce(*choices))
+    bare = rows.filter(F.col("_task").isNull()).count()
+    if bare:
+        raise ValueError(f"{bare} episodes would have no task")
     texts = rows.select(F.col("_task").alias("task")).distinct()
     tasks = number_rows(texts, [], ["task"], "task_index", derived=True)
     named = rows.join(tasks.withColumnRenamed("task", "_task"), "_task")

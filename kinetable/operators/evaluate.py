@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.functions.numbers import hash_order
 from kinetable.operators.windows import mask_after_done
 from kinetable.plans.segments import running
 
@@ -66,13 +65,15 @@ def reconstruction_quality(pairs: DataFrame, original: str, decoded: str, config
     return rows.groupBy(*config).agg(F.avg("_mse").alias("avg_mse"), F.avg(psnr).alias("avg_psnr"), F.count(F.lit(1)).alias("pairs"), *extra)
 
 
-def token_length_stats(rows: DataFrame, key: str, tokens: str, input_size: int, sample: int = 1000, seed: int = 42) -> DataFrame:
-    """Length statistics and compression ratio over at most ``sample`` rows chosen by hash."""
-    picked = rows.withColumn("_mix", hash_order(seed, key)).orderBy("_mix", key).limit(sample)
-    n = F.size(tokens)
-    return picked.agg(
+def token_length_stats(rows: DataFrame, tokens: str, input_size: int) -> DataFrame:
+    """Length statistics and compression ratio over all rows; a null list is not counted.
+
+    The percentile is exact: it merges how often each length occurs.
+    """
+    n = F.when(F.col(tokens).isNotNull(), F.size(tokens))
+    return rows.agg(
         (F.lit(float(input_size)) / F.avg(n)).alias("compression_ratio"), F.avg(n).alias("mean_token_length"),
-        F.percentile(n, 0.99).alias("p99_token_length"),  # over the bounded sample
+        F.percentile(n, 0.99).alias("p99_token_length"),
         F.min(n).cast("double").alias("min_token_length"), F.max(n).cast("double").alias("max_token_length"))
 
 

@@ -12,13 +12,13 @@ from kinetable.plans.segments import group_bound, join_small, number_rows, runni
 
 
 def with_task(frames: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Add the task text of ``task_index``."""
-    return join_small(frames, tasks.select("task_index", "task"), ["task_index"], at_most=group_bound(tasks, "task_index"))
+    """Add the task text of ``task_index``; frames with a null or unknown id keep a null task."""
+    return join_small(frames, tasks.select("task_index", "task"), ["task_index"], "left", at_most=group_bound(tasks, "task_index"))
 
 
 def with_task_index(frames: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Add the id of the task text."""
-    return join_small(frames, tasks.select("task", "task_index"), ["task"], at_most=group_bound(tasks, "task_index"))
+    """Add the id of the task text; frames with a null or unknown text keep a null id."""
+    return join_small(frames, tasks.select("task", "task_index"), ["task"], "left", at_most=group_bound(tasks, "task_index"))
 
 
 def with_subtask(frames: DataFrame, subtasks: DataFrame | None) -> DataFrame:
@@ -30,8 +30,8 @@ def with_subtask(frames: DataFrame, subtasks: DataFrame | None) -> DataFrame:
 
 
 def register_tasks(frames: DataFrame, existing: DataFrame | None = None, text: str = "task", order: str = "index") -> DataFrame:
-    """All tasks with dense ids: known ones keep theirs, new ones follow in first-seen order."""
-    seen = frames.groupBy(F.col(text).alias("task")).agg(F.min(order).alias("_first"))
+    """All tasks with dense ids: known ones keep theirs, new ones follow in first-seen order. Null is no task."""
+    seen = frames.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("task")).agg(F.min(order).alias("_first"))
     if existing is None:
         return number_rows(seen, [], ["_first"], "task_index", derived=True).select("task", "task_index")
     fresh = number_rows(seen.join(existing, "task", "left_anti"), [], ["_first"], "_no", derived=True)
@@ -46,12 +46,12 @@ def duplicate_tasks(names: DataFrame) -> DataFrame:
 
 
 def remap_tasks(frames: DataFrame, source: DataFrame, target: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Old task id to text to the id in the merged table."""
+    """Old task id to text to the id in the merged table; a null or unknown id becomes null."""
     texts = source.select(*keys, F.col("task_index"), "task")
     ids = target.select("task", F.col("task_index").alias("_new"))
     mapping = texts.join(ids, "task").select(*keys, "task_index", "_new")
     at_most = None if keys else group_bound(source, "task_index")
-    return join_small(frames, mapping, [*keys, "task_index"], at_most=at_most).drop("task_index").withColumnRenamed("_new", "task_index")
+    return join_small(frames, mapping, [*keys, "task_index"], "left", at_most=at_most).drop("task_index").withColumnRenamed("_new", "task_index")
 
 
 def locate_episode(points: DataFrame, episodes: DataFrame, at: str) -> DataFrame:

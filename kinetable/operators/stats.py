@@ -88,7 +88,8 @@ def histogram_quantiles(
         return _small_group_quantiles(tall, group, quantiles, bins)
     stats = materialize(feature_stats(tall, keys))  # read twice below
     edges = stats.select(*group, "count", (F.col("min") - EDGE).alias("_lo"), (F.col("max") + EDGE).alias("_hi"))
-    placed = join_small(tall, edges, group).withColumn("_bin", _bin_of(bins))
+    known = tall.filter(F.col("value").isNotNull())
+    placed = join_small(known, edges, group).withColumn("_bin", _bin_of(bins))
     counts = placed.groupBy(*group, "_bin").agg(
         F.count(F.lit(1)).alias("_n"), F.first("count").alias("_total"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     filled = counts.withColumn("_sum", F.sum("_n").over(Window.partitionBy(*group).orderBy("_bin")))
@@ -247,25 +248,28 @@ def wide_to_stats(episodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, "feature", "dim", "stat", "value")
 
 
-def image_stats(images: DataFrame, keys: Sequence[str], pixels: str, height: int, width: int, channels: int) -> DataFrame:
+def image_stats(images: DataFrame, keys: Sequence[str], pixels: str, height: int, width: int, channels: int, *, stride: int = 1) -> DataFrame:
     """Per-channel statistics in [0, 1] of raw interleaved 8-bit images; ``count`` counts images.
 
-    Images with a side of 300 or more are strided down to about 150.
+    All pixels count; a ``stride`` above 1 is a choice of the caller. Images without pixels are
+    left out. One image is in memory at a time beside its batch.
     """
-    longest = max(height, width)
-    step = int(longest / 150) if longest >= 300 else 1
     schema = images.select(*keys).schema.simpleString()[7:-1]
     schema += (", " if keys else "") + "dim int, n bigint, s double, ss double, lo double, hi double"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf[pdf[pixels].notna()]
             if not len(pdf):
                 continue
-            cube = np.frombuffer(b"".join(pdf[pixels]), np.uint8).reshape(len(pdf), height, width, channels)
-            cube = cube[:, ::step, ::step].reshape(len(pdf), -1, channels).astype(np.float64)
+            parts = []
+            for raw in pdf[pixels]:
+                image = np.frombuffer(raw, np.uint8).reshape(height, width, channels)[::stride, ::stride].reshape(-1, channels).astype(np.int64)
+                parts.append((image.sum(0), (image * image).sum(0), image.min(0), image.max(0), len(image)))
+            sums = [np.concatenate([p[i] for p in parts]).astype(np.float64) for i in range(4)]
             out = pd.DataFrame({
-                "dim": np.tile(np.arange(channels, dtype=np.int32), len(pdf)), "n": np.full(len(pdf) * channels, cube.shape[1], np.int64),
-                "s": cube.sum(1).ravel(), "ss": (cube**2).sum(1).ravel(), "lo": cube.min(1).ravel(), "hi": cube.max(1).ravel(),
+                "dim": np.tile(np.arange(channels, dtype=np.int32), len(pdf)), "n": np.repeat([p[4] for p in parts], channels).astype(np.int64),
+                "s": sums[0], "ss": sums[1], "lo": sums[2], "hi": sums[3],
             })
             for i, key in enumerate(keys):
                 out.insert(i, key, np.repeat(pdf[key].to_numpy(), channels))

@@ -351,10 +351,6 @@ def ema(frames: DataFrame, value: str, span: float, out: str) -> DataFrame:
     rows = frames.withColumn("_block", block).withColumn("_w", F.pow(F.lit(keep), place))
     inside = Window.partitionBy("episode_index", "_block").orderBy(FRAME).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_z", F.sum(F.col(value).cast("double") / F.col("_w")).over(inside) * F.col("_w") * alpha)
-    longest = group_bound(frames, FRAME)
-    if longest is not None and longest <= size:
-        start = F.first(F.col(value).cast("double")).over(inside)
-        return rows.withColumn(out, F.col("_z") + F.col("_w") * keep * start).drop("_block", "_w", "_z")
     ends = rows.groupBy("episode_index", "_block").agg(
         F.max_by("_z", FRAME).alias("_end"), F.min_by(F.col(value).cast("double"), FRAME).alias("_first"))
     fade = keep**size

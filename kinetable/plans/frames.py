@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.plans.segments import broadcast_rows, group_sizes, note_bound, number_rows, running, spread_join
+from kinetable.plans.segments import broadcast_rows, group_sizes, note_bound, null_safe_join, number_rows, running, spread_join
 
 
 @dataclass
@@ -37,7 +37,7 @@ def index_frames(
 ) -> tuple[DataFrame, DataFrame]:
     """Number raw rows: dense ``episode_index``, ``frame_index``, global ``index``, ``timestamp``.
 
-    Returns (frames, episodes). Episodes are ordered by ``key``; ``timestamp`` is
+    Returns (frames, episodes). Episodes are ordered by ``key``, rows without one are the first; ``timestamp`` is
     ``frame_index / fps`` when ``fps`` is given and no ``timestamp`` column exists.
     """
     longest, total, count = group_sizes(rows, [key])
@@ -46,7 +46,7 @@ def index_frames(
     episodes = number_rows(episodes, [], [key], "episode_index", at_most=count, sums={"dataset_to_index": "length"})
     episodes = episodes.withColumn("dataset_from_index", F.col("dataset_to_index") - F.col("length"))
     if count <= broadcast_rows(rows):
-        out = frames.join(F.broadcast(episodes), key)
+        out = null_safe_join(frames, F.broadcast(episodes), [key])
     else:
         out = spread_join(frames, episodes, key, "frame_index", "length")
     out = out.withColumn("index", F.col("dataset_from_index") + F.col("frame_index"))

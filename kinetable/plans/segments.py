@@ -223,6 +223,15 @@ def _number_by_range(df: DataFrame, keys, order, out: str, parts: int) -> DataFr
     return numbered.drop("_place", "_part", "_rp", "_shift", *[f"_rk_{i}" for i in range(len(keys))])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null matching null; the left keys stay."""
+    renamed = {key: f"_right_{i}" for i, key in enumerate(keys)}
+    match = F.lit(True)
+    for key, name in renamed.items():
+        match = match & F.col(key).eqNullSafe(F.col(name))
+    return left.join(right.withColumnsRenamed(renamed), match, how).drop(*renamed.values())
+
+
 def spread_join(frames: DataFrame, groups: DataFrame, key: str, pos: str, length: str, how: str = "inner") -> DataFrame:
     """Join one row per group to its frames, cut by segment so that a hot group is split.
 
@@ -232,13 +241,13 @@ def spread_join(frames: DataFrame, groups: DataFrame, key: str, pos: str, length
     """
     few = group_bound(groups, key)
     if few is not None and few <= broadcast_rows(frames):
-        return frames.join(F.broadcast(groups), key, how)
+        return null_safe_join(frames, F.broadcast(groups), [key], how)
     if in_one_segment(frames, pos):
-        return frames.join(groups, key, how)
+        return null_safe_join(frames, groups, [key], how)
     size = segment_rows(frames)
     last = F.floor(F.greatest(F.col(length) - 1, F.lit(0)) / size)
     pieces = groups.withColumn(SEG, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    return frames.withColumn(SEG, segment_of(frames, pos)).join(pieces, [key, SEG], how).drop(SEG)
+    return null_safe_join(frames.withColumn(SEG, segment_of(frames, pos)), pieces, [key, SEG], how).drop(SEG)
 
 
 def salted_join(facts: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config(CHECKPOINT_KEY, _own_folder())
         .getOrCreate()
     )
 
@@ -43,12 +46,19 @@ def scratch_root(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="kinetable-"))
+    context.setCheckpointDir(_own_folder())
     return context.getCheckpointDir()
 
 
+def _own_folder() -> str:
+    """A temporary folder that goes with the process."""
+    folder = tempfile.mkdtemp(prefix="kinetable-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/kinetable/{label}-{uuid.uuid4().hex}"
 
