@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetable.functions.names import named
+
 EPS = 1e-8
 # The statistics each mode scales by.
 MODES = {
@@ -29,7 +31,7 @@ def _pair(key: str, mode: str, columns: list[str]) -> tuple[Column, Column]:
     missing = [n for n in names if n not in columns]
     if missing:
         raise ValueError(f"mode {mode} of {key!r} needs the statistics {MODES[mode]}")
-    return F.col(names[0]), F.col(names[1])
+    return named(names[0]), named(names[1])
 
 
 def _each(vector: Column, a: Column, b: Column, fn) -> Column:
@@ -62,7 +64,7 @@ def normalize(frames: DataFrame, stats: DataFrame, modes: dict[str, str], *, eps
             fn = lambda x, a, b: (F.least(F.greatest(x, a), b) - a) * 2 / F.greatest(b - a, F.lit(eps)) - 1
         else:
             fn = lambda x, a, b: (x - a) * 2 / F.when(a == b, F.lit(eps)).otherwise(b - a) - 1
-        out = out.withColumn(key, _each(F.col(key), low, high, fn))
+        out = out.withColumn(key, _each(named(key), low, high, fn))
     return out.drop(*stats.columns)
 
 
@@ -75,7 +77,7 @@ def unnormalize(frames: DataFrame, stats: DataFrame, modes: dict[str, str], *, e
             fn = lambda x, m, s: x * s + m
         else:
             fn = lambda x, a, b: (x + 1) / 2 * F.when(a == b, F.lit(eps)).otherwise(b - a) + a
-        out = out.withColumn(key, _each(F.col(key), low, high, fn))
+        out = out.withColumn(key, _each(named(key), low, high, fn))
     return out.drop(*stats.columns)
 
 

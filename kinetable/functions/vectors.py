@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinetable.functions.names import named
+
 
 def pack_vector(names: Sequence[str], kind: str = "float") -> Column:
     """Named scalar columns to one vector, in the order of the names."""
-    return F.array(*[F.col(n) for n in names]).cast(f"array<{kind}>")
+    return F.array(*[named(n) for n in names]).cast(f"array<{kind}>")
 
 
 def unpack_vector(vector: Column, names: Sequence[str]) -> list[Column]:

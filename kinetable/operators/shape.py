@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetable.functions.names import named
 from kinetable.model import MANDATORY
 
 # Prefixes taken off selected feature names.
@@ -92,7 +93,7 @@ def row_callable(fn: Callable, kind: str, columns: Sequence[str]) -> Column:
         records = rows.to_dict("records")
         return pd.Series([fn(r, e, f) for r, e, f in zip(records, episode, frame)])
 
-    return apply(F.struct(*columns), F.col("episode_index"), F.col("frame_index"))
+    return apply(F.struct(*[named(c).alias(c) for c in columns]), F.col("episode_index"), F.col("frame_index"))
 
 
 def add_features(frames: DataFrame, features: dict[str, tuple[object, dict]]) -> DataFrame:

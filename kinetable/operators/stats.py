@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetable.functions.names import named
 from kinetable.plans.segments import group_bound, join_small, number_rows, segment_rows
 from kinetable.session import materialize
 
@@ -32,10 +33,10 @@ def to_series(frames: DataFrame, keys: Sequence[str], features: Sequence[str]) -
     kinds = dict(frames.dtypes)
     vectors = [n for n in features if kinds[n].startswith("array")]
     scalars = [n for n in features if n not in vectors and kinds[n] != "string"]
-    parts = [F.transform(n, _entry(n)) for n in vectors]
+    parts = [F.transform(named(n), _entry(n)) for n in vectors]
     if scalars:  # no lambda, so that they stay in generated code
         parts.append(F.array(*[
-            F.struct(F.lit(n).alias("feature"), F.lit(0).alias("dim"), F.col(n).cast("double").alias("value")) for n in scalars]))
+            F.struct(F.lit(n).alias("feature"), F.lit(0).alias("dim"), named(n).cast("double").alias("value")) for n in scalars]))
     return frames.select(*keys, F.inline(parts[0] if len(parts) == 1 else F.concat(*parts)))
 
 
@@ -60,7 +61,7 @@ def frame_stats(frames: DataFrame, keys: Sequence[str], features: Sequence[str])
     if scalars:
         entries = []
         for f in scalars:
-            x = F.col(f).cast("double")
+            x = named(f).cast("double")
             entries.append(F.struct(
                 F.lit(f).alias("feature"), F.lit(0).alias("dim"), F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"),
                 F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")))
@@ -198,7 +199,7 @@ def episode_quantiles(frames: DataFrame, features: Sequence[str], quantiles: Seq
 def stats_by_axis(frames: DataFrame, column: str, axis: str, keys: Sequence[str] = ()) -> DataFrame:
     """Statistics of a vector column per dimension (``rows``), per row (``dims``) or over all (``all``)."""
     if axis == "dims":
-        v, n = F.col(column), F.size(column)
+        v, n = named(column), F.size(named(column))
         mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
         spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
         return frames.select(

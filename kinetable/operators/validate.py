@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinetable.functions.names import named
 from kinetable.model import MANDATORY, SCALARS, features_from_schema
 
 
@@ -21,7 +22,7 @@ def _rules(frames: DataFrame, features: dict) -> list[Column]:
     rules += [F.lit(f"{n}: missing") for n in wanted if n not in have]
     rules += [F.lit(f"{n}: not expected") for n in have if n not in features and n != "task"]
     for name in (n for n in wanted if n in have):
-        spec, kind, value = features[name], have[name], F.col(name)
+        spec, kind, value = features[name], have[name], named(name)
         shape = tuple(spec["shape"])
         if spec["dtype"] == "string":
             rules.append(F.lit(f"{name}: not text") if not isinstance(kind, T.StringType) else F.when(value.isNull(), f"{name}: not text"))
@@ -79,7 +80,7 @@ def feature_report(frames: DataFrame) -> DataFrame:
     features = features_from_schema(frames.schema)
     entries = [
         F.struct(F.lit(n).alias("feature"), F.lit(s["dtype"]).alias("dtype"),
-                 F.lit(0 if s["shape"] == (1,) else len(s["shape"])).cast("bigint").alias("rank"), F.count(F.col(n)).alias("set_values"))
+                 F.lit(0 if s["shape"] == (1,) else len(s["shape"])).cast("bigint").alias("rank"), F.count(named(n)).alias("set_values"))
         for n, s in features.items()
     ]
     return frames.agg(F.array(*entries).alias("e")).select(F.inline("e"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetable.functions.names import named
 from kinetable.plans.segments import bounded, group_bound, note_bound, number_rows, running, segment_rows, spread_join
 
 EPISODE = ["episode_index"]
@@ -51,6 +52,7 @@ def resolve_deltas(indices: dict[str, Sequence[int] | None], features: Sequence[
 
 
 def _at(column: Column | str, delta: int, window) -> Column:
+    column = named(column) if isinstance(column, str) else column
     return F.lead(column, delta).over(window) if delta > 0 else F.lag(column, -delta).over(window)
 
 
@@ -68,16 +70,16 @@ def delta_window(frames: DataFrame, deltas: dict[str, Sequence[int]], pad: str =
         for key, offsets in deltas.items():
             exists = {d: F.lit(True) if d == 0 else _at(FRAME, d, w).isNotNull() for d in offsets}
             if pad == "clamp":
-                low = F.first(key).over(w.rowsBetween(Window.unboundedPreceding, 0))
-                high = F.last(key).over(w.rowsBetween(*ALL))
+                low = F.first(named(key)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                high = F.last(named(key)).over(w.rowsBetween(*ALL))
                 value = {
-                    d: F.col(key) if d == 0 else F.when(exists[d], _at(key, d, w)).otherwise(low if d < 0 else high)
+                    d: named(key) if d == 0 else F.when(exists[d], _at(key, d, w)).otherwise(low if d < 0 else high)
                     for d in offsets
                 }
             elif pad == "last_valid":
-                value = {0: F.col(key)}
+                value = {0: named(key)}
                 for side in (sorted([d for d in offsets if d < 0], reverse=True), sorted(d for d in offsets if d > 0)):
-                    fallback = F.col(key)
+                    fallback = named(key)
                     for d in side:
                         value[d] = fallback = F.when(exists[d], _at(key, d, w)).otherwise(fallback)
             else:
@@ -104,7 +106,7 @@ def delta_join(frames: DataFrame, key: str, deltas: Sequence[int]) -> DataFrame:
         "index", "delta", F.least(F.greatest(target, F.col("dataset_from_index")), last).alias("at"),
         ((target < F.col("dataset_from_index")) | (target > last)).alias("is_pad"),
     )
-    values = frames.select(F.col("index").alias("at"), F.col(key).alias("value"))
+    values = frames.select(F.col("index").alias("at"), named(key).alias("value"))
     return wanted.join(values, "at").drop("at")
 
 
@@ -112,7 +114,7 @@ def action_chunks(frames: DataFrame, key: str, horizon: int, out: str = "chunk")
     """Add the next ``horizon`` values as an array; only frames with a full window remain."""
 
     def build(w):
-        return {out: F.collect_list(F.struct(F.col(key).alias("v"))).over(w.rowsBetween(0, horizon - 1))}
+        return {out: F.collect_list(F.struct(named(key).alias("v"))).over(w.rowsBetween(0, horizon - 1))}
 
     chunks = bounded(frames, EPISODE, FRAME, 0, horizon - 1, build).filter(F.size(out) == horizon)
     return chunks.withColumn(out, F.transform(out, lambda s: s["v"]))
@@ -166,7 +168,7 @@ def episode_bounds(frames: DataFrame) -> DataFrame:
 def infer_done(frames: DataFrame, done: str | None = None) -> DataFrame:
     """``done`` from the given column, else true on the last frame of the episode."""
     if done and done in frames.columns:
-        return frames.withColumn("done", F.coalesce(F.col(done).cast("boolean"), F.lit(False)))
+        return frames.withColumn("done", F.coalesce(named(done).cast("boolean"), F.lit(False)))
     return frames.withColumn("done", F.col(FRAME) == F.col("length") - 1)
 
 
@@ -176,7 +178,7 @@ def to_transitions(frames: DataFrame, state: Sequence[str], done: str | None = N
     def build(w):
         following = _at(FRAME, 1, w).isNotNull()
         return {
-            f"next_{s}": F.when(F.col("done") | ~following, F.col(s)).otherwise(_at(s, 1, w)) for s in state
+            f"next_{s}": F.when(F.col("done") | ~following, named(s)).otherwise(_at(s, 1, w)) for s in state
         }
 
     return bounded(infer_done(frames, done), EPISODE, FRAME, 0, 1, build)

@@ -77,3 +77,32 @@ def test_every_pixel_and_text_counts(spark):
     lengths = spark.range(5000).select(F.sequence(F.lit(0), F.col("id").cast("int")).alias("tokens"))
     got = token_length_stats(lengths, "tokens", 10).first()
     assert (got["max_token_length"], got["mean_token_length"]) == (5000.0, 2500.5)
+
+
+def test_names_with_dots(spark):
+    from kinetable.functions.scaling import normalize, stats_row
+    from kinetable.functions.vectors import pack_vector
+    from kinetable.operators import validate, windows
+
+    rows = spark.range(8).select(
+        F.floor(F.col("id") / 4).alias("key"), "id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("observation.state"), F.col("id").cast("double").alias("next.reward"))
+    plain = rows.withColumnsRenamed({"observation.state": "state", "next.reward": "reward"})
+    dotted, same = (index_frames(r, "key", ["id"])[0] for r in (rows, plain))
+
+    def both(build):
+        left, right = build(dotted, "observation.state", "next.reward").toPandas(), build(same, "state", "reward").toPandas()
+        assert [c.replace("observation.", "").replace("next.", "") for c in left.columns] == list(right.columns)
+        shown = [[str(v).replace("observation.", "").replace("next.", "") for v in f.to_numpy().ravel()] for f in (left, right)]
+        assert sorted(shown[0]) == sorted(shown[1])
+
+    both(lambda d, s, r: windows.delta_window(d, {s: [-1, 0, 2], r: [1]}))
+    both(lambda d, s, r: windows.delta_window(d, {s: [-1, 0, 2]}, pad="last_valid"))
+    both(lambda d, s, r: windows.action_chunks(d, s, 2))
+    both(lambda d, s, r: windows.to_transitions(d, [s]))
+    both(lambda d, s, r: S.frame_stats(d, [], [s, r]))
+    both(lambda d, s, r: S.feature_stats(S.to_series(d, [], [s, r])))
+    both(lambda d, s, r: normalize(d, stats_row(S.feature_stats(S.to_series(d, [], [s])), {s: [(s, 0), (s, 1)]}), {s: "MEAN_STD"}))
+    both(lambda d, s, r: validate.feature_report(d.select(f"`{s}`", f"`{r}`")))
+    both(lambda d, s, r: d.select("id", pack_vector([r, "id"]).alias("packed")))
+    errors = validate.validate_frames(rows.drop("key", "id"), {"observation.state": {"dtype": "float64", "shape": (2,)}, "next.reward": {"dtype": "float64", "shape": (1,)}})
+    assert {tuple(r["errors"]) for r in errors.collect()} == {("task: missing",)}
