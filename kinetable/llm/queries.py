@@ -112,7 +112,7 @@ FROM t JOIN f USING (conv_id) GROUP BY t.conv_id""",
 WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '\s+', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(p|h1|br)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
 c AS (SELECT page_id, url, trim(regexp_replace(t, ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS t FROM b),
-d AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM c)
+d AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&#x27;?', '''', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS t FROM c)
 SELECT page_id, url, t AS text, length(t) AS n_chars FROM d""",
     "op5_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
