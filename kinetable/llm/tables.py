@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from kinetable.session import materialize, scratch_path
 
 
+#: Links in a file between the steps of ``components``, about.
+LINKS_PER_FILE = 200_000
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
     path = scratch_path(df.sparkSession, label)
@@ -46,7 +50,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        # A step makes no more links than it had, so few links need few files.
+        edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(-(-mark[0] // LINKS_PER_FILE)))
         before, mark = mark, _mark(edges)
         if mark == before:
             break
