@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.session import materialize, scratch_path
+from kinetable.session import scratch_path
+
+#: Spark's own option: a query's shuffle files go when it has ended, not when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 #: Links in a file between the steps of ``components``, about.
 LINKS_PER_FILE = 200_000
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here leave no shuffle files; the session's setting is put back afterwards."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
+    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there.
+
+    Nothing reads the shuffles of that query again, so they are removed with it.
+    """
     path = scratch_path(df.sparkSession, label)
     schema = df.schema
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -39,9 +63,9 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Each step's links are written to the shared folder.
     """
     x, y = F.col(left), F.col(right)
-    edges = materialize(
+    edges = stored(
         links.where(x.isNotNull() & y.isNotNull() & (x != y))
-        .select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
+        .select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -51,7 +75,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # A step makes no more links than it had, so few links need few files.
-        edges = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(-(-mark[0] // LINKS_PER_FILE)))
+        edges = stored(moved.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(-(-mark[0] // LINKS_PER_FILE)), "edges")
         before, mark = mark, _mark(edges)
         if mark == before:
             break
@@ -60,5 +84,6 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    with shuffles_removed(edges.sparkSession):
+        row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
