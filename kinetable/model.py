@@ -100,8 +100,11 @@ def merge_feature_specs(*specs: dict) -> dict:
     out: dict = {}
     for spec in specs:
         for name, entry in spec.items():
+            if not isinstance(entry, dict):  # a plain value is no vector
+                out[name] = entry
+                continue
             vector = entry["dtype"] not in ("image", "video", "string") and bool(entry.get("names")) and len(entry["shape"]) == 1
-            if name not in out or not vector:
+            if not isinstance(out.get(name), dict) or not vector:
                 out[name] = dict(entry)
                 continue
             known = out[name]

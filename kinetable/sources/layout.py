@@ -198,7 +198,8 @@ def compact_legacy(spark: SparkSession, root: str) -> EpisodicDataset:
     """
     listed = spark.read.schema("episode_index bigint, tasks array<string>, length bigint").json(f"{root}/meta/episodes.jsonl")
     tasks = spark.read.schema("task_index bigint, task string").json(f"{root}/meta/tasks.jsonl")
-    frames = spark.read.parquet(f"{root}/data")
+    # Files of any depth: chunk-000/episode_000000.parquet has no key=value folders to infer from.
+    frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
     episodes = episode_offsets(listed)
     frames = spread_join(frames, episodes.select("episode_index", F.col("length").alias("_length"), "dataset_from_index"), "episode_index", "frame_index", "_length")
     frames = frames.withColumn("index", F.col("dataset_from_index") + F.col("frame_index")).drop("dataset_from_index", "_length")
