@@ -299,3 +299,19 @@ def test_pipeline_stages(llm_spark, data, tmp_path):
     empty = llm_spark.createDataFrame([], EMPTY)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(llm_spark, empty, data).count() == 0
+
+
+def test_passage_whose_parts_stand_elsewhere(llm_spark):
+    """Each half of what two documents share is also in a lower and in a higher document."""
+    rng = random.Random(21)
+    rows, want = [], set()
+    for case in range(40):
+        n = 52 + case
+        shared = [f"s{case}_{i}" for i in range(n)]
+        first, rest = shared[: n // 2], shared[n // 2 :]
+        for at, part in enumerate((first, rest, shared, shared, first, rest)):
+            rows.append((100 * at + case, " ".join(sentence(rng, 30) + part + sentence(rng, 30))))
+        want.add((200 + case, 300 + case))
+    found = substring.repeated_passages(frame(llm_spark, rows)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == want
+    assert all(r["start"] == r["other_start"] == 30 and r["n_words"] == r["agreeing"] == 52 + r["doc_id"] % 100 for r in found)
