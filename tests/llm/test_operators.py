@@ -315,3 +315,24 @@ def test_passage_whose_parts_stand_elsewhere(llm_spark):
     found = substring.repeated_passages(frame(llm_spark, rows)).collect()
     assert {(r["doc_id"], r["other_id"]) for r in found} == want
     assert all(r["start"] == r["other_start"] == 30 and r["n_words"] == r["agreeing"] == 52 + r["doc_id"] % 100 for r in found)
+
+
+def test_copies_within_a_document(llm_spark):
+    rng = random.Random(41)
+    shared, line, pattern = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 60), ("l", 64), ("t", 30)))
+    rows = [
+        (1, " ".join(sentence(rng, 20) + shared + sentence(rng, 30) + shared + sentence(rng, 10))),
+        (2, " ".join(shared + sentence(rng, 15) + shared + sentence(rng, 15) + shared)),
+        (3, " ".join(line[10:26] + sentence(rng, 40) + line[30:44] + sentence(rng, 40) + line)),
+        (4, " ".join(sentence(rng, 5) + line)),
+        (5, " ".join(pattern * 8)),
+        (6, " ".join(["z"] * 400)),
+    ]
+    found = [tuple(r) for r in substring.repeated_passages(frame(llm_spark, rows)).collect()]
+    places = collections.defaultdict(set)
+    for a, x, n, b, y, m, _ in found:
+        places[a].update(range(x, x + n))
+        places[b].update(range(y, y + m))
+    assert (1, 20, 60, 1, 110, 60, 60) in found and (3, 110, 64, 4, 5, 64, 64) in found
+    assert places[1] >= {*range(20, 80), *range(110, 170)} and places[2] >= {*range(60), *range(75, 135), *range(150, 210)}
+    assert places[5] == set(range(240)) and 6 not in places
