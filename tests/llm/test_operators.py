@@ -317,6 +317,33 @@ def test_passage_whose_parts_stand_elsewhere(llm_spark):
     assert all(r["start"] == r["other_start"] == 30 and r["n_words"] == r["agreeing"] == 52 + r["doc_id"] % 100 for r in found)
 
 
+def changed(rng, shared, kind):
+    """The passage with words changed: after every 20, or at random places inside it."""
+    n = len(shared)
+    places = range(20, n, 21) if kind == "every 20" else rng.sample(range(1, n - 1), round((1 - kind) * n - 0.5 + 1e-9))
+    out = list(shared)
+    for place in places:
+        out[place] = f"c{rng.randrange(10**9)}"
+    return out
+
+
+def test_recall_of_short_passages(llm_spark):
+    """Passages of 50 to 60 words, exact and with changes, in texts that share nothing else."""
+    rng = random.Random(31)
+    kinds, each, rows, case = (1.0, "every 20", 0.95, 0.9, 0.85, 0.75), 150, [], 0
+    for kind in kinds:
+        for _ in range(each):
+            shared = [f"u{rng.randrange(10**9)}" for _ in range(50 + case % 11)]
+            rows.append((2 * case, " ".join(sentence(rng, 40) + shared + sentence(rng, 40))))
+            rows.append((2 * case + 1, " ".join(sentence(rng, 25) + changed(rng, shared, kind) + sentence(rng, 60))))
+            case += 1
+    found = {(r["doc_id"], r["other_id"]) for r in substring.repeated_passages(frame(llm_spark, rows)).collect()}
+    got = {kind: sum((2 * c, 2 * c + 1) in found for c in range(i * each, (i + 1) * each)) / each for i, kind in enumerate(kinds)}
+    print(got)
+    assert got[1.0] == got["every 20"] == got[0.95] == 1
+    assert got[0.9] >= 0.99 and got[0.85] >= 0.95 and got[0.75] >= 0.8
+
+
 def test_copies_within_a_document(llm_spark):
     rng = random.Random(41)
     shared, line, pattern = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 60), ("l", 64), ("t", 30)))
