@@ -18,6 +18,7 @@ from kinetable.operators.relate import remap_tasks
 from kinetable.operators.stats import merge_stats
 from kinetable.plans.frames import EpisodicDataset
 from kinetable.plans.segments import MAX_GROUP_ROWS, group_bound, join_small, note_bound, number_rows, running, spread_join
+from kinetable.session import scratch_path
 
 
 def _renumber(frames: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -215,23 +216,27 @@ def modify_tasks(dataset: EpisodicDataset, default: str | None = None, overrides
     return EpisodicDataset(frames, episodes, tasks, dataset.subtasks, dataset.stats, dataset.info)
 
 
+#: Rounds in which all parts of a fold are tried at once, before they are settled one after the other.
+_TRIALS = 3
+
+
 def pack_greedy(
     items: DataFrame, pos: str, size: str, limit: float, *, count: str | None = None,
-    max_items: int | None = None, max_count: int | None = None, block: int = MAX_GROUP_ROWS,
+    max_items: int | None = None, max_count: int | None = None, block: int | None = None, part: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``bin``: consecutive items share a bin until the next one would reach a limit.
 
     A bin closes when its size plus the next reaches ``limit``, when it holds ``max_items``, or when
-    its ``count`` plus the next exceeds ``max_count``. The fold runs over blocks of ``block``
-    positions, each starting a bin of its own, so that no task sees the whole table; up to
-    ``block`` items the result is that of one fold.
+    its ``count`` plus the next exceeds ``max_count``. The result is that of one fold over all items;
+    a task folds ``part`` positions (see ``_entries``). With ``block`` every so many positions start
+    a bin of their own.
     """
     slim = items.select(F.col(pos).alias("p"), F.col(size).cast("double").alias("s"), (F.col(count) if count else F.lit(0)).cast("double").alias("c"))
-    slim = slim.withColumn("block", F.floor(F.col("p") / block))
+    slim = slim.where(F.col("p").isNotNull()).withColumn("block", F.floor(F.col("p") / (block or part)))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, entry: tuple[float, int, float]) -> tuple[pd.DataFrame, tuple[float, int, float], list[int]]:
         pdf = pdf.sort_values("p")
-        bins, at, filled, held, counted = [], 0, 0.0, 0, 0.0
+        bins, at, (filled, held, counted) = [], 0, entry
         for s, c in zip(pdf["s"], pdf["c"]):
             full = filled > 0 and filled + s >= limit
             full |= max_items is not None and held >= max_items
@@ -240,15 +245,72 @@ def pack_greedy(
                 at, filled, held, counted = at + 1, 0.0, 0, 0.0
             filled, held, counted = filled + s, held + 1, counted + c
             bins.append(at)
-        return pd.DataFrame({"block": pdf["block"], "p": pdf["p"], "b": bins})
+        return pdf, (filled, held, counted), bins
+
+    if block is None:
+        entries, first = {}, {}
+        blocks = sorted(r[0] for r in slim.select("block").distinct().collect())
+        if len(blocks) > 1:
+            path = scratch_path(items.sparkSession, "packing")
+            slim.write.partitionBy("block").parquet(path)
+            slim = items.sparkSession.read.schema(slim.schema).parquet(path)
+            entries, first = _entries(slim, blocks, fold)
+    else:
+        entries, first = {}, {}
 
-    packed = slim.groupBy("block").applyInPandas(fold, "block bigint, p bigint, b bigint")
+    def numbered(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(pdf["block"].iloc[0])
+        pdf, _, bins = fold(pdf, entries.get(at, _EMPTY))
+        return pd.DataFrame({"block": pdf["block"], "p": pdf["p"], "b": [b + first.get(at, 0) for b in bins]})
+
+    packed = slim.groupBy("block").applyInPandas(numbered, "block bigint, p bigint, b bigint")
+    if block is None:
+        return items.join(packed.select(F.col("p").alias(pos), F.col("b").alias("bin")), pos)
     tops = packed.groupBy("block").agg((F.max("b") + 1).alias("n"))
     bases = running(tops, [], "block", {"to": ("sum", F.col("n"))}).select("block", (F.col("to") - F.col("n")).alias("base"))
     out = packed.join(bases, "block").select(F.col("p").alias(pos), (F.col("base") + F.col("b")).alias("bin"))
     return items.join(out, pos)
 
 
+_EMPTY = (0.0, 0, 0.0)
+
+
+def _entries(slim: DataFrame, blocks: list[int], fold) -> tuple[dict[int, tuple], dict[int, int]]:
+    """What the open bin holds where each block starts, and the number of that bin.
+
+    All blocks are folded at once, at first as if a bin started with each; those whose entry is
+    not the exit of the block before are folded again. Folds with different entries mostly meet
+    within a block. Where they do not, the first unsettled block is folded alone, so every block
+    is folded a few times at most. One row a block comes to the driver.
+    """
+    entries = {at: _EMPTY for at in blocks}
+    exits: dict[int, tuple] = {}
+    tops: dict[int, int] = {}
+    turn, todo = 0, blocks
+    while todo:
+        tried = dict(entries)
+
+        def ended(pdf: pd.DataFrame) -> pd.DataFrame:
+            at = int(pdf["block"].iloc[0])
+            _, (filled, held, counted), bins = fold(pdf, tried[at])
+            return pd.DataFrame({"block": [at], "filled": [filled], "held": [held], "counted": [counted], "top": [bins[-1]]})
+
+        asked = slim.where(F.col("block").isin(todo[:1] if turn >= _TRIALS else todo))
+        for r in asked.groupBy("block").applyInPandas(ended, "block bigint, filled double, held bigint, counted double, top bigint").collect():
+            exits[r["block"]], tops[r["block"]] = (r["filled"], r["held"], r["counted"]), r["top"]
+        stale = {at for at in todo[1:]} if turn >= _TRIALS else set()
+        for before, at in zip(blocks, blocks[1:]):
+            if entries[at] != exits[before]:
+                entries[at] = exits[before]
+                stale.add(at)
+        todo, turn = sorted(stale), turn + 1
+    first, total = {}, 0
+    for at in blocks:
+        first[at] = total
+        total += tops[at]
+    return entries, first
+
+
 def batch_episodes(episodes: DataFrame, mb_per_frame: float, limit_mb: float, max_episodes: int | None = None, max_frames: int | None = None) -> DataFrame:
     """Consecutive episodes in batches bounded by size, episodes and frames."""
     sized = episodes.withColumn("_mb", F.col("length") * F.lit(float(mb_per_frame)))

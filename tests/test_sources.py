@@ -128,3 +128,21 @@ def test_greedy_blocks(spark):
     assert whole == [i // 3 for i in range(20)]
     parts = [r["bin"] for r in I.pack_greedy(rows, "episode_index", "size", 10.0, block=8).orderBy("episode_index").collect()]
     assert parts == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 3, 4, 4, 4, 5, 5, 6, 6, 6, 7]
+
+
+def test_greedy_parts_are_one_fold(spark):
+    import random
+
+    rng = random.Random(12)
+    for sizes in ([3.0] * 100, [rng.random() * 4 for _ in range(200)], [0.1] * 150, [0.0, 20.0, 0.0, 9.9] * 20):
+        rows = spark.createDataFrame([(i, s, i % 5) for i, s in enumerate(sizes)], "episode_index long, size double, n long").repartition(3)
+        for limits in ({}, {"max_items": 7}, {"count": "n", "max_count": 11}, {"max_items": 40}):
+            want, at, filled, held, counted = [], 0, 0.0, 0, 0
+            for i, s in enumerate(sizes):
+                n = i % 5 if "count" in limits else 0
+                if held and (filled > 0 and filled + s >= 10.0 or held >= limits.get("max_items", 10**9) or counted + n > limits.get("max_count", 10**9)):
+                    at, filled, held, counted = at + 1, 0.0, 0, 0
+                filled, held, counted = filled + s, held + 1, counted + n
+                want.append(at)
+            found = I.pack_greedy(rows, "episode_index", "size", 10.0, part=16, **limits).orderBy("episode_index").collect()
+            assert [r["bin"] for r in found] == want
