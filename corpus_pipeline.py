@@ -18,10 +18,20 @@ from kinetable.llm.tables import stored
 from kinetable.llm.toxicity import fit, toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``ids``; rows without an id stay."""
-    gone = ids.select(F.col("doc_id").alias("_gone_id")).where("_gone_id IS NOT NULL").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+_ROW = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written so that it stays; ids may repeat or be null."""
+    return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _first_of_groups(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Of each group the row with the smallest id, rows without an id last; ``groups`` has the row number and a group."""
+    placed = groups.select(_ROW, F.col(group).alias("_group")).join(rows.select(_ROW, "doc_id"), _ROW)
+    first = placed.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.col(_ROW).alias("row"))).alias("_first"))
+    kept = stored(first.select(F.col("_first.row").alias(_ROW)), "kept")
+    return rows.join(kept, _ROW, "left_semi").drop(_ROW)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,24 +42,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that with the smallest id, once."""
-    found = exact_duplicates(docs)
-    kept = _without(docs, found.where(~F.col("kept")))
-    again = stored(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, again).unionByName(repeated.select(*kept.columns))
+    """One row of each group of equal texts: that with the smallest id, rows without an id last."""
+    rows = _keyed(docs)
+    return _first_of_groups(rows, exact_duplicates(rows, _ROW), "keep_id").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")))
+    """One row of each group of near copies: that with the smallest id, rows without an id last."""
+    rows = _keyed(docs)
+    return _first_of_groups(rows, near_duplicates(rows, _ROW), "component_id").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Rows that hold no benchmark item, with or without an id."""
+    rows = _keyed(docs)
+    found = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _ROW)
+    return rows.join(found.select(_ROW).distinct(), _ROW, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -363,3 +363,25 @@ def test_copies_within_a_document(llm_spark):
     assert (1, 20, 60, 1, 110, 60, 60) in found and (3, 110, 64, 4, 5, 64, 64) in found
     assert places[1] >= {*range(20, 80), *range(110, 170)} and places[2] >= {*range(60), *range(75, 135), *range(150, 210)}
     assert places[5] == set(range(240)) and 6 not in places
+
+
+def test_stages_decide_by_row(llm_spark, tmp_path):
+    """Ids that repeat with other texts keep them; copies and leaks without an id go."""
+    rng = random.Random(51)
+    one, two, three, four, leak = (sentence(rng, 80) for _ in range(5))
+    near = list(two)
+    near[40] = "other"
+    text = {n: " ".join(w) for n, w in {"one": one, "two": two, "three": three, "four": four, "near": near, "leak": sentence(rng, 20) + leak[:40] + sentence(rng, 20)}.items()}
+    llm_spark.createDataFrame([(1, " ".join(leak[:40]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, text["one"]), (7, text["one"]), (7, text["three"]), (8, text["two"]), (8, text["four"]), (None, text["one"]), (None, text["near"]),
+            (9, text["near"]), (9, text["leak"]), (None, text["leak"]), (None, "only here " * 9), (None, "only here " * 9)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    want = [(1, text["one"]), (7, text["three"]), (8, text["two"]), (8, text["four"]), (9, text["near"]), (9, text["leak"]), (None, "only here " * 9)]
+    for name in ("exact_dedup", "near_dedup", "decontamination"):
+        docs = tables.stored(stages[name](llm_spark, docs, str(tmp_path)).select("doc_id", "text"), name)
+        if name == "near_dedup":
+            want.remove((9, text["near"]))
+        if name == "decontamination":
+            want.remove((9, text["leak"]))
+        assert collections.Counter((r["doc_id"], r["text"]) for r in docs.collect()) == collections.Counter(want), name
