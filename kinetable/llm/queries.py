@@ -12,10 +12,14 @@ from kinetable.llm.exact import exact_duplicates
 from kinetable.llm.html import extract_pages
 from kinetable.llm.minhash import near_duplicates
 from kinetable.llm.packing import pack
+from kinetable.llm.spelling import spelling_variants
 from kinetable.llm.substring import repeated_passages
 from kinetable.llm.tokens import token_counts
 from kinetable.llm.toxicity import score_toxicity
+from kinetable.llm.trie import prefix_trie, rebuilt_turns
 from kinetable.llm.urls import judge, rule_table
+from kinetable.llm.wavelet import read_tokens, write_token_shards
+from kinetable.session import scratch_path
 
 # The rules of the query, as verdict, host and start of the path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -69,15 +73,39 @@ def op10_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return contaminated(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
 
 
+def op11_token_shards(spark: SparkSession, root: str) -> DataFrame:
+    manifest = write_token_shards(_table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-shards"))
+    return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    return spelling_variants(_table(spark, root, "documents"), typo_every=199)
+
+
+def op13_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    return prefix_trie(rebuilt_turns(_table(spark, root, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_chat_format, op3_html_extract, op4_best_fit_pack, op5_exact_dedup,
-        op6_token_counts, op7_url_filter, op8_toxicity, op9_substring_dedup, op10_decontaminate)
+        op6_token_counts, op7_url_filter, op8_toxicity, op9_substring_dedup, op10_decontaminate,
+        op11_token_shards, op12_spelling_variants, op13_prefix_trie)
 }
 
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+# The unsigned crc32 of a text column ``s`` in SQL: the table of a byte from its rule, then a fold over the bytes.
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS steps)"""
+
+
+def _crc32(text: str) -> str:
+    data = f"hex(encode({text}))"
+    return (f"xor(list_reduce(list_transform(range(length({data}) // 2), lambda i: ('0x' || substr({data}, 2 * i + 1, 2))::BIGINT), "
+            "lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1]), 4294967295), 4294967295)")
+
+
 ORACLES = {
     "op1_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -126,4 +154,37 @@ rules(rule, verdict, rule_host, rule_path) AS (VALUES ('net/', 'block', 'net', '
 m AS (SELECT s.*, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM s
   LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS times, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM r GROUP BY ALL),
+h AS (SELECT run, times, {_crc32("s")} AS h FROM d, crc),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM h),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cut AS (SELECT word, n, unnest(range(length(word))) AS place FROM v),
+less AS (SELECT word, n, place, left(word, place::INT) || substr(word, place::INT + 2) AS rest FROM cut),
+p AS (SELECT a.word, b.word AS near FROM less a JOIN less b USING (place, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, v.word FROM less a JOIN v ON v.word = a.rest UNION SELECT v.word, a.word FROM less a JOIN v ON v.word = a.rest),
+k AS (SELECT p.word, count(*) AS n_near, first(p.near ORDER BY b.n DESC, p.near) AS best, max(b.n) AS best_n FROM p JOIN v b ON b.word = p.near GROUP BY p.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN k USING (word)),
+w AS (SELECT word, word AS last, form AS next FROM f UNION ALL SELECT w.word, f.word, f.form FROM w JOIN f ON f.word = w.next)
+SELECT f.word, f.form, w.last AS root, f.n, f.n_near, f.form_n FROM f JOIN w ON w.word = f.word AND w.next IS NULL""",
+    "op13_prefix_trie": rf"""
+WITH crc AS {_CRC_TABLE},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t),
+c AS (SELECT conv_id, {_crc32("s")} % 9 AS h FROM i, crc),
+b AS (SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos < h
+  UNION ALL SELECT t.conv_id, h + pos, role, text FROM t JOIN c USING (conv_id) WHERE pos >= h),
+r AS (SELECT conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS path FROM c LEFT JOIN b USING (conv_id) GROUP BY conv_id),
+p AS (SELECT conv_id, len(path) AS size, d AS depth, path[1:d] AS prefix FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM r)),
+n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(strlen(prefix[depth].text), 0) AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256 FROM p GROUP BY depth, prefix),
+k AS (SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+e AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, prefix)),
+u AS (SELECT d AS depth, prefix[1:d] AS prefix, saved, n_children FROM (SELECT *, unnest(range(depth + 1)) AS d FROM e)),
+s AS (SELECT depth, prefix, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM u GROUP BY ALL)
+SELECT e.conv_id, e.depth, a.conv_id AS parent_conv_id, e.n_convs, e.n_children, s.n_leaves, s.saved_tokens, e.ends_sha256
+FROM e JOIN s USING (depth, prefix) LEFT JOIN n a ON a.depth = e.depth - 1 AND a.prefix = e.prefix[1:e.depth - 1]""",
 }
