@@ -21,7 +21,7 @@ def _canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
     def cell(value):
-        if value is None or (isinstance(value, float) and value != value):
+        if value is None or value is pd.NA or (isinstance(value, float) and value != value):
             return "null"
         if isinstance(value, float):
             return repr(value)
@@ -36,6 +36,9 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
     if len(got) != len(want):
         return f"rows {len(got)} vs {len(want)}"
+    for name in got.columns:  # whole numbers with nulls come as floats from one side
+        if str(want[name].dtype) == "Int64" and str(got[name].dtype) == "float64":
+            got = got.assign(**{name: got[name].astype("Int64")})
     left, right = _canonical(got), _canonical(want)
     wrong = [(a, b) for a, b in zip(left, right) if a != b]
     if wrong:
