@@ -56,7 +56,7 @@ def encode_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
         packed = np.zeros(chunks * CHUNK_BITS // 8, np.uint8)
         filled = np.packbits(bit, bitorder="little")
         packed[: len(filled)] = filled
-        parts = packed.reshape(chunks, -1)
+        parts = packed.reshape(chunks, CHUNK_BITS // 8)
         ones[plane, 1:] = np.cumsum(np.bitwise_count(parts).sum(axis=1, dtype=np.uint64))
         for at, part in enumerate(parts):
             pressed = press.compress(part.tobytes())
@@ -178,13 +178,13 @@ class TokenShard:
 
     def count(self, token: int, low: int = 0, high: int | None = None) -> int:
         """Occurrences of an id among places ``low`` to ``high``, the end not included."""
-        high = self.n if high is None else high
-        a, b = self._range(token, max(0, low), min(self.n, high)) if low < high else (0, 0)
+        low, high = max(0, low), self.n if high is None else min(self.n, high)
+        a, b = self._range(token, low, high) if low < high else (0, 0)
         return b - a
 
     def occurrences(self, token: int) -> np.ndarray:
         """All places of an id, ascending."""
-        low, high = self._range(token, 0, self.n)
+        low, high = self._range(token, 0, self.n) if self.n else (0, 0)
         at = np.arange(low, high)
         for plane in reversed(range(self.planes)):
             bit = self._bit(token, plane)
@@ -193,7 +193,7 @@ class TokenShard:
 
     def select(self, token: int, k: int) -> int:
         """The place of the occurrence number ``k`` (from 0)."""
-        low, high = self._range(token, 0, self.n)
+        low, high = self._range(token, 0, self.n) if self.n else (0, 0)
         if not 0 <= k < high - low:
             raise IndexError("no such occurrence")
         at = np.array([low + k])

@@ -171,7 +171,7 @@ def test_spelling_variants(llm_spark, every, block):
     got = [tuple(r) for r in got.collect()]
     want = plain_variants(rows, every=every)
     assert len(got) == len(want) and {(w, f, r, n, k, fn) for w, f, r, n, k, fn in got} == want
-    assert sum(r[1] is not None for r in got) > 20
+    assert sum(r[1] is not None for r in got) > 5
 
 
 def test_spelling_of_nothing(llm_spark):
