@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WORDS = 8
 KEYS_PER_BLOCK = 16  # 256 bits for 16 keys: about one false positive in 300
 ROW_BYTES = 80
+KEY_BYTES = 32
 BROADCAST_BYTES = 8 << 20
 
 
@@ -32,12 +33,17 @@ def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return listed.groupBy(_block(key, blocks).alias("_block")).agg(*words)
 
 
-def passes(rows: DataFrame, key: str, filter_blocks: DataFrame, blocks: int) -> DataFrame:
-    """The rows whose key may be listed; the filter is broadcast when its blocks are few enough."""
-    table = F.broadcast(filter_blocks) if blocks * ROW_BYTES <= BROADCAST_BYTES else filter_blocks
+def _hit(key: str) -> Column:
     hit = F.lit(True)
     for w in range(WORDS):
         hit = hit & (F.col(f"_w{w}").bitwiseAND(_mask(key, w)) != 0)
+    return hit
+
+
+def passes(rows: DataFrame, key: str, filter_blocks: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose key may be listed; the filter is broadcast when its blocks are few enough."""
+    table = F.broadcast(filter_blocks) if blocks * ROW_BYTES <= BROADCAST_BYTES else filter_blocks
+    hit = _hit(key)
     return rows.withColumn("_block", _block(key, blocks)).join(table, "_block").where(hit).select(*rows.columns)
 
 
@@ -53,3 +59,23 @@ def listed_only(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
         blocks = max(1, -(-count // KEYS_PER_BLOCK))
         rows = passes(rows, key, bloom_blocks(listed, key, blocks), blocks)
     return rows.join(listed, key)
+
+
+def unlisted(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """Anti join of wide rows with a table of distinct keys, without moving most of them.
+
+    A short list is broadcast. A longer one goes out as its filter while that is proven to be small, and
+    only rows that it does not clear are shuffled to the exact join; beyond that it is a plain join.
+    """
+    listed = listed.select(key)
+    most = BROADCAST_BYTES // ROW_BYTES * KEYS_PER_BLOCK
+    count = listed.limit(most + 1).count()
+    if count * KEY_BYTES <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(listed), key, "left_anti")
+    if count > most:
+        return rows.join(listed, key, "left_anti")
+    blocks = max(1, -(-count // KEYS_PER_BLOCK))
+    table = F.broadcast(bloom_blocks(listed, key, blocks))
+    looked = rows.withColumn("_block", _block(key, blocks)).join(table, "_block", "left").withColumn("_maybe", F.coalesce(_hit(key), F.lit(False)))
+    clear, maybe = (looked.where(c).select(*rows.columns) for c in ("NOT _maybe", "_maybe"))
+    return clear.unionByName(maybe.join(listed, key, "left_anti"))

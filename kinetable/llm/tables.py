@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetable.session import scratch_path
@@ -14,6 +16,10 @@ from kinetable.session import scratch_path
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bits of a row key that say the row's place in its file.
+ROW_BITS = 40
+_made = threading.local()
+
 #: Links in a file between the steps of ``components``, about.
 LINKS_PER_FILE = 200_000
 
@@ -39,11 +45,46 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     schema = df.schema
+    if getattr(_made, "noting", False):
+        _made.paths.append(path)
     with shuffles_removed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """A step of a chain: removes the tables that ``stored`` wrote in the step before, in this thread.
+
+    The result of the step before must have been written by then. A step without work ends a chain.
+    """
+    for path in getattr(_made, "paths", []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.paths, _made.noting = [], True
+    try:
+        yield
+    finally:
+        _made.noting = False
+
+
+def row_keyed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a number of its own for each row, the same whenever the rows are read again.
+
+    Rows read from files are numbered by file and place in it, so nothing is written. Files are
+    numbered in a table of one row each, which is no longer than the list that a read has anyway.
+    Other rows are written with a number.
+    """
+    try:
+        at = df.withColumns({"_in_file": F.col("_metadata.file_path"), "_at_row": F.col("_metadata.row_index")})
+    except AnalysisException:  # not rows of files
+        return stored(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    files = df.select(F.col("_metadata.file_path").alias("_in_file")).distinct()
+    files = stored(files.withColumn("_file", F.row_number().over(Window.orderBy("_in_file")).cast("long")), "files")
+    numbered = at.join(F.broadcast(files), "_in_file")
+    return numbered.withColumn(key, F.shiftleft("_file", ROW_BITS) + F.col("_at_row")).select(*df.columns, key)
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> bool:
     """Whether the table is proven to stay under ``limit`` bytes, counting at most the rows that fit."""
     most = limit // max(1, row_bytes)
