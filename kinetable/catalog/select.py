@@ -41,7 +41,9 @@ def shuffle_frames(spark, root):
     return C.shuffle_frames(frames, 11).select("index", "position")
 
 
-@query("c04_shuffle_sharded")
+@query("c04_shuffle_sharded", f"""WITH {LINES}, a AS (SELECT "index", episode_index, ({_hash_int(5, '"index"')} % 8)::INT AS shard, {_hash_int(6, '"index"')} AS mix FROM fl),
+  s AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY "index") - 1 + mix % 256 AS slot FROM a)
+  SELECT "index", episode_index, shard, row_number() OVER (PARTITION BY shard ORDER BY slot, mix, "index") - 1 AS position FROM s""")
 def shuffle_sharded(spark, root):
     frames, _ = line_frames(spark, root)
     return C.shuffle_sharded(frames.select("index", "episode_index"), 8, 256, 5)

@@ -9,6 +9,7 @@ from kinetable.functions import scaling as G
 from kinetable.functions.numbers import tidy
 from kinetable.operators import stats as S
 from kinetable.plans.frames import event_frames, line_frames, vector_frames
+from kinetable.session import materialize
 from kinetable.sources.layout import spread_splits
 
 BASE = ("count", "min", "max", "mean", "std")
@@ -83,6 +84,44 @@ def exact_quantiles(spark, root):
     return out.select("episode_index", "feature", F.col("dim").cast("bigint").alias("dim"), *[tidy(n).alias(n) for n in QN])
 
 
+_RANKS = f"""WITH {LINES}, {LINE_TALL}, q AS (SELECT unnest([{', '.join(map(str, S.QUANTILES))}]::DOUBLE[]) AS q)
+  SELECT feature, dim, q, count(value) AS count, round(min(value), 7) + 0.0 AS min, round(max(value), 7) + 0.0 AS max, true AS near FROM lt, q GROUP BY ALL"""
+
+
+def _near_ranks(stats, tall):
+    """Each quantile of a sketch and whether its rank among all values is within a hundredth of what it should be."""
+    wanted = stats.select("feature", "dim", "count", "min", "max", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(n).alias("at")) for q, n in zip(S.QUANTILES, QN)])).alias("s"))
+    placed = tall.join(F.broadcast(wanted.select("feature", "dim", "s.q", "s.at")), ["feature", "dim"])
+    ranks = placed.groupBy("feature", "dim", "q").agg(F.avg((F.col("value") < F.col("at")).cast("int")).alias("under"), F.avg((F.col("value") <= F.col("at")).cast("int")).alias("upto"))
+    out = wanted.select("feature", "dim", "count", "min", "max", "s.q").join(ranks, ["feature", "dim", "q"])
+    near = (F.col("q") >= F.col("under") - 0.01) & (F.col("q") <= F.col("upto") + 0.01)
+    return out.select("feature", F.col("dim").cast("bigint").alias("dim"), "q", "count", tidy("min", 7).alias("min"), tidy("max", 7).alias("max"), near.alias("near"))
+
+
+@query("f02_sketch_quantiles", _RANKS)
+def sketch_quantiles(spark, root):
+    lines = spread_splits(spark.read.parquet(f"{root}/lineitem.parquet").select(*_LKEYS, *LINE_FEATURES))
+    tall = S.to_series(lines, [], LINE_FEATURES)
+    return _near_ranks(materialize(S.sketch_quantiles(S.sketch_stats(tall))), tall)
+
+
+@query("f04_merge_sketches", _RANKS)
+def merge_sketches(spark, root):
+    """Sketches per supplier, merged to those of all lines."""
+    lines = spread_splits(spark.read.parquet(f"{root}/lineitem.parquet").select(*_LKEYS, *LINE_FEATURES))
+    tall = S.to_series(lines, ["l_suppkey"], LINE_FEATURES)
+    merged = S.merge_stats(S.sketch_stats(tall, ["l_suppkey"]), derived=True)
+    return _near_ranks(materialize(merged), tall)
+
+
+@query("f02_selected_quantiles", f"""WITH {LINES}, {LINE_TALL} SELECT feature, dim,
+  {', '.join(f'round(quantile_cont(value, {q}), 6) + 0.0 AS {n}' for q, n in zip(S.QUANTILES, QN))} FROM lt GROUP BY ALL""")
+def selected_quantiles(spark, root):
+    lines = spread_splits(spark.read.parquet(f"{root}/lineitem.parquet").select(*_LKEYS, *LINE_FEATURES))
+    out = S.selected_quantiles(S.to_series(lines, [], LINE_FEATURES))
+    return out.select("feature", F.col("dim").cast("bigint").alias("dim"), *[tidy(n).alias(n) for n in QN])
+
+
 @query("f03_small_group_fallback", f"WITH {LINES}, {LINE_TALL}, {_hist_sql('lt', 'episode_index, ')} SELECT episode_index, feature, dim, {_SHOW_B}, {_SHOW_Q8} FROM hq")
 def small_group_fallback(spark, root):
     """Per-episode quantiles; episodes of one frame take the mean."""
@@ -187,7 +226,7 @@ _LN = f"""s AS (SELECT {_LSTAT} FROM lineitem), l AS (SELECT * FROM lineitem CRO
 
 def _line_stats(lines, quantiles):
     stats = S.frame_stats(lines, [], LINE_FEATURES)
-    return stats.join(S.exact_quantiles(S.to_series(lines, [], LINE_FEATURES)), ["feature", "dim"]) if quantiles else stats
+    return stats.join(S.selected_quantiles(S.to_series(lines, [], LINE_FEATURES)), ["feature", "dim"]) if quantiles else stats
 
 
 def _state(lines):

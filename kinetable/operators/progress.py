@@ -6,6 +6,7 @@ ends, in list order of the episode's annotation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from kinetable.functions.numbers import clip
 from kinetable.operators.windows import EPISODE, FRAME
-from kinetable.plans.segments import SEG, bounded, group_bound, in_one_segment, number_rows, running, salted_join, segment_rows, spread_join
+from kinetable.plans.segments import bounded, group_bound, note_bound, null_safe_join, number_rows, running, salted_join, segment_rows
+from kinetable.session import materialize
 
 AFTER_LAST = 0.999
 
@@ -46,8 +48,9 @@ def stage_and_tau(frames: DataFrame, intervals: DataFrame, names: Sequence[str])
 
     A frame between two intervals has the earlier one's stage and tau 1; before the first,
     stage 0 and tau 0; after the last, the last stage and 0.999. With one global name tau is
-    the share of the episode. Intervals and gaps become rows per covered frame, so a frame
-    meets only its own covers.
+    the share of the episode. Intervals and gaps are cut at all their ends into pieces with one
+    answer each (``first_covers``), and each frame takes the last piece that starts at or before
+    it, a running value, so the frames are moved once and nothing is listed frame by frame.
     """
     stages = len(names)
     if stages == 1:
@@ -55,31 +58,58 @@ def stage_and_tau(frames: DataFrame, intervals: DataFrame, names: Sequence[str])
         return frames.withColumns({"stage": F.lit(0).cast("bigint"), "tau": tau})
     lists = number_rows(intervals, EPISODE, ["position"], "_slot", at_most=group_bound(frames, FRAME))
     lists = bounded(lists, EPISODE, "_slot", 0, 1, lambda w: {"_next": F.lead("start_frame", 1).over(w)})
+    lists = materialize(lists)  # one row per interval, read several times below
     inside = lists.select(
         "episode_index", F.struct(F.lit(0).alias("kind"), "position").alias("rank"), F.col("start_frame").alias("lo"), F.col("end_frame").alias("hi"),
         F.col("start_frame").alias("s"), F.col("end_frame").alias("e"), stage_of(F.col("name"), names, F.lit(0)).alias("stage"))
     gaps = lists.filter(F.col("_next") - F.col("end_frame") > 1).select(
         "episode_index", F.struct(F.lit(1).alias("kind"), "position").alias("rank"), (F.col("end_frame") + 1).alias("lo"), (F.col("_next") - 1).alias("hi"),
         F.col("start_frame").alias("s"), F.col("start_frame").alias("e"), stage_of(F.col("name"), names, F.col("_slot")).alias("stage"))
-    size = segment_rows(frames)
-    pieces = inside.unionByName(gaps).withColumn(SEG, F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))))
-    first, last = F.greatest(F.col("lo"), F.col(SEG) * size), F.least(F.col("hi"), F.col(SEG) * size + size - 1)
-    covers = pieces.withColumn(FRAME, F.explode(F.sequence(first, last)))
-    covers = covers.groupBy("episode_index", FRAME).agg(F.min_by(F.struct("s", "e", "stage"), "rank").alias("_cover"))
+    pieces = first_covers(inside.unionByName(gaps), ["s", "e", "stage"], segment_rows(frames))
     ends = lists.groupBy("episode_index").agg(
-        F.min_by("start_frame", "position").alias("_first"), F.max_by("end_frame", "position").alias("_last"))
-    if not in_one_segment(frames, FRAME):
-        lengths = frames.groupBy("episode_index").agg((F.max(FRAME) + 1).alias("_length"))
-        ends = lengths.join(ends, "episode_index", "left")
-    rows = spread_join(frames, ends, "episode_index", FRAME, "_length", "left").join(covers, ["episode_index", FRAME], "left")
-    span = F.col("_cover.e") - F.col("_cover.s")
-    share = F.when(span <= 0, 1.0).otherwise(clip((F.col(FRAME) - F.col("_cover.s")) / span, 0.0, 1.0))
-    outside = F.col("_first").isNull() | (F.col(FRAME) < F.col("_first"))
-    after = F.col(FRAME) > F.col("_last")
-    covered = F.col("_cover").isNotNull()
-    stage = F.when(outside, 0).when(after, stages - 1).when(covered, F.col("_cover.stage")).otherwise(0)
-    tau = F.when(outside, 0.0).when(after, AFTER_LAST).when(covered, share).otherwise(0.0)
-    return rows.withColumns({"stage": stage.cast("bigint"), "tau": tau}).drop("_first", "_last", "_length", "_cover")
+        F.min_by("start_frame", "position").alias("first"), F.max_by("end_frame", "position").alias("last"))
+    pieces = null_safe_join(pieces, ends, EPISODE)
+    piece = F.struct((F.col("at") < F.col("first")).alias("before"), (F.col("at") > F.col("last")).alias("after"), "cover").alias("_piece")
+    starts = pieces.select("episode_index", (F.col("at") * 2).alias("_at"), piece)
+    # A frame looks up the last piece that starts at or before it: pieces stand on even places.
+    rows = frames.withColumn("_at", F.col(FRAME) * 2 + 1).unionByName(starts, allowMissingColumns=True)
+    known = group_bound(frames, FRAME)
+    rows = note_bound(rows, "_at", None if known is None else 2 * known + 1)
+    rows = running(rows, EPISODE, "_at", {"_held": ("last", F.col("_piece"))}).filter(F.col("_at") % 2 == 1)
+    cover = F.col("_held.cover")
+    span = cover["e"] - cover["s"]
+    share = F.when(span <= 0, 1.0).otherwise(clip((F.col(FRAME) - cover["s"]) / span, 0.0, 1.0))
+    outside = F.col("_held").isNull() | F.col("_held.before")
+    stage = F.when(outside, 0).when(F.col("_held.after"), stages - 1).when(cover.isNotNull(), cover["stage"]).otherwise(0)
+    tau = F.when(outside, 0.0).when(F.col("_held.after"), AFTER_LAST).when(cover.isNotNull(), share).otherwise(0.0)
+    out = rows.withColumns({"stage": stage.cast("bigint"), "tau": tau}).drop("_at", "_piece", "_held")
+    return note_bound(out, FRAME, known)
+
+
+def first_covers(covers: DataFrame, facts: Sequence[str], reach: int) -> DataFrame:
+    """``(episode_index, at, cover)``: from frame ``at`` to the next one the covering interval of least rank.
+
+    ``covers`` has episode_index, lo, hi, rank and the ``facts`` that ``cover`` holds; it is null where no
+    interval covers. Intervals may overlap in any number. Each is cut into aligned blocks of a power of
+    two of frames, at most two of a size below ``reach``, and each end point asks the blocks it lies in, so
+    neither frames nor pairs of intervals are listed.
+    """
+    levels = max(0, int(math.log2(reach)))
+    size = 1 << levels
+    pieces = covers.filter("hi >= lo").withColumn("_seg", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))))
+    pieces = pieces.withColumns({"l": F.greatest(F.col("lo"), F.col("_seg") * size), "r": F.least(F.col("hi") + 1, (F.col("_seg") + 1) * size)})
+    none = "cast(array() AS array<struct<level: int, block: bigint>>)"
+    blocks = F.expr(
+        f"aggregate(sequence(0, {levels}), named_struct('l', l, 'r', r, 'out', {none}), (a, k) -> named_struct("
+        "'l', if(a.l < a.r, a.l + a.l % 2, a.l) div 2, 'r', if(a.l < a.r, a.r - a.r % 2, a.r) div 2, 'out', concat(a.out, "
+        f"if(a.l < a.r AND a.l % 2 = 1, array(named_struct('level', k, 'block', a.l)), {none}), "
+        f"if(a.l < a.r AND a.r % 2 = 1, array(named_struct('level', k, 'block', a.r - 1)), {none}))), a -> a.out)")
+    blocks = pieces.select("episode_index", "rank", F.struct(*facts).alias("cover"), F.explode(blocks).alias("b"))
+    best = blocks.groupBy("episode_index", "b.level", "b.block").agg(F.min("rank").alias("rank"), F.min_by("cover", "rank").alias("cover"))
+    points = covers.select("episode_index", F.explode(F.array("lo", F.col("hi") + 1)).alias("at")).distinct()
+    asked = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("block", F.expr("shiftright(at, level)"))
+    found = null_safe_join(asked, best, ["episode_index", "level", "block"], "left")
+    return found.groupBy("episode_index", "at").agg(F.min_by("cover", "rank").alias("cover"))
 
 
 def combined_progress(stage: Column, tau: Column, stages: int) -> Column:

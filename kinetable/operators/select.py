@@ -6,13 +6,10 @@ are partitioned and repeat after a lost executor.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinetable.functions.numbers import hash_int, hash_order
 from kinetable.plans.segments import group_bound, number_rows, spread_join
@@ -40,45 +37,20 @@ def shuffle_frames(frames: DataFrame, seed: int, out: str = "position") -> DataF
 
 
 def shuffle_sharded(frames: DataFrame, shards: int, buffer: int, seed: int) -> DataFrame:
-    """Approximate shuffle in one pass: a hashed shard, then a random slot of a bounded buffer.
+    """Approximate shuffle: a hashed shard, then a place at most ``buffer`` from that of arrival.
 
-    Adds ``shard`` and ``position`` (place in the shard's output). Memory per task is the buffer.
+    Adds ``shard`` and ``position`` (place in the shard's output). A frame that arrives as number n of its
+    shard takes the slot n + hash mod ``buffer``, and the shard goes out in order of slots, equal ones by
+    the hash and then by index: what a bounded buffer does that each frame leaves after a random wait.
+    A large shard is numbered by ranges, so there can be more tasks than shards.
     """
+    if shards < 1 or buffer < 1:
+        raise ValueError("shards and buffer must be positive")
     placed = frames.withColumn("shard", (hash_int(seed, "index") % shards).cast("int"))
-    placed = placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "index")
-    columns = placed.columns
-
-    def drain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, rng, held, count = None, None, [], 0
-
-        def emit(rows):
-            nonlocal count
-            out = pd.DataFrame(rows, columns=columns)
-            out["position"] = np.arange(count, count + len(rows), dtype=np.int64)
-            count += len(rows)
-            return out
-
-        for pdf in batches:
-            for name, part in pdf.groupby("shard", sort=True):
-                if name != shard:
-                    if held:
-                        yield emit([held[i] for i in rng.permutation(len(held))])
-                    shard, rng, held, count = name, np.random.default_rng([seed, int(name)]), [], 0
-                ready = []
-                for row in part.itertuples(index=False, name=None):
-                    if len(held) < buffer:
-                        held.append(row)
-                        continue
-                    slot = int(rng.integers(buffer))
-                    ready.append(held[slot])
-                    held[slot] = row
-                if ready:
-                    yield emit(ready)
-        if held:
-            yield emit([held[i] for i in rng.permutation(len(held))])
-
-    schema = T.StructType([*placed.schema.fields, T.StructField("position", T.LongType())])
-    return placed.mapInPandas(drain, schema)
+    placed = number_rows(placed, ["shard"], ["index"], "_arrival")
+    placed = placed.withColumns({"_mix": hash_int(seed + 1, "index")}).withColumn("_slot", F.col("_arrival") + F.col("_mix") % buffer)
+    out = number_rows(placed, ["shard"], ["_slot", "_mix", "index"], "position", at_most=group_bound(placed, "_arrival"), total=group_bound(frames, "index"))
+    return out.drop("_arrival", "_mix", "_slot")
 
 
 def sample_count(length: Column, low: int = 100, high: int = 10_000, power: float = 0.75) -> Column:

@@ -6,15 +6,13 @@ operators that need the end of an episode also read its ``length`` column.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions.names import named
-from kinetable.plans.segments import bounded, group_bound, note_bound, number_rows, running, segment_rows, spread_join
+from kinetable.plans.segments import bounded, decaying, group_bound, note_bound, number_rows, running, spread_join
 
 EPISODE = ["episode_index"]
 FRAME = "frame_index"
@@ -330,57 +328,16 @@ def cap_relative_target(goal: Column, present: Column, caps: Sequence[float] | f
     return safe, F.exists(F.zip_with(safe, goal, lambda a, b: F.abs(a - b) > 1e-4), lambda x: x)
 
 
-EMA_DIGITS = 40
-
-
 def ema(frames: DataFrame, value: str, span: float, out: str) -> DataFrame:
     """Exponential moving average, alpha = 2 / (span + 1), seeded with the first value.
 
-    Positions are cut into blocks. From a zero state the average inside a block is a running
-    sum of values weighted by powers of the decay; the state left by the block before then fades
-    through it. Blocks are long enough for that fading to reach 1e-40, so the state at a block's
-    start is the end of the last block plus a negligible rest of the one before it; only spans so
-    long that a block would outgrow a segment chain one row per block.
+    It is the recurrence ``(1 - alpha) * before + alpha * value`` of ``decaying``, with the first value whole.
     """
     alpha = 2.0 / (span + 1.0)
-    keep = 1.0 - alpha
-    if keep <= 0.0:
-        return frames.withColumn(out, F.col(value).cast("double"))
-    wanted = math.ceil(EMA_DIGITS / -math.log10(keep))
-    size = max(1, min(wanted, segment_rows(frames)))
-    block = F.floor(F.col(FRAME) / size)
-    place = F.col(FRAME) - F.col("_block") * size
-    rows = frames.withColumn("_block", block).withColumn("_w", F.pow(F.lit(keep), place))
-    inside = Window.partitionBy("episode_index", "_block").orderBy(FRAME).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_z", F.sum(F.col(value).cast("double") / F.col("_w")).over(inside) * F.col("_w") * alpha)
-    ends = rows.groupBy("episode_index", "_block").agg(
-        F.max_by("_z", FRAME).alias("_end"), F.min_by(F.col(value).cast("double"), FRAME).alias("_first"))
-    fade = keep**size
-    if size < wanted:
-        carry = ends.groupBy("episode_index").applyInPandas(_chain_ends(fade), "episode_index bigint, _block bigint, _carry double")
-    else:
-        def before(w):
-            last, earlier = F.lag("_end", 1).over(w), F.lag("_end", 2).over(w)
-            first = F.when(F.col("_block") == 0, F.col("_first"))
-            head = F.when(F.col("_block") == 1, F.lag("_first", 1).over(w))
-            return {"_carry": F.coalesce(first, last + fade * F.coalesce(earlier, head))}
-
-        carry = bounded(ends, EPISODE, "_block", 2, 0, before).select("episode_index", "_block", "_carry")
-    joined = rows.join(carry, ["episode_index", "_block"])
-    return joined.withColumn(out, F.col("_z") + F.col("_w") * keep * F.col("_carry")).drop("_block", "_w", "_z", "_carry")
-
-
-def _chain_ends(fade: float):
-    """State at the start of each block of an episode, from one row per block."""
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        state, states = pdf["_first"].iloc[0], []
-        for end in pdf["_end"]:
-            states.append(state)
-            state = end + fade * state
-        return pdf.assign(_carry=states)[["episode_index", "_block", "_carry"]]
-
-    return chain
+    x = named(value).cast("double")
+    if alpha >= 1.0:
+        return frames.withColumn(out, x)
+    return decaying(frames, EPISODE, FRAME, F.when(F.col(FRAME) == 0, x).otherwise(x * alpha), 1.0 - alpha, out)
 
 
 # --- chunk streams -------------------------------------------------------------------

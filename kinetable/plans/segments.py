@@ -17,10 +17,13 @@ the plan: results do not depend on it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from kinetable.session import materialize, setting
 
@@ -153,6 +156,67 @@ def running(
     return joined.withColumns(out).drop(*[h for h in helpers if h not in out])
 
 
+#: Decimal digits to which what is left of an earlier block may fade before it is left out.
+FADED_DIGITS = 40
+
+
+def decaying(df: DataFrame, keys: Sequence[str], pos: str, term: Column, keep: float, out: str) -> DataFrame:
+    """Add the linear recurrence ``y = keep * y before + term``, y before the first row being 0; 0 < keep < 1.
+
+    The map of a row is ``y -> keep * y + term``, and maps compose. Positions are cut into blocks so long
+    that a block's map fades to 1e-40: inside a block y is a running sum of weighted terms, and of all
+    earlier blocks only the last one's sum is left. So a segment needs the two blocks before it, and
+    the rows are moved once. Where that would outgrow a segment, the maps of the blocks are chained.
+    """
+    wanted = math.ceil(FADED_DIGITS / -math.log10(keep))
+    whole = in_one_segment(df, pos)
+    if not whole and 2 * wanted > segment_rows(df):
+        return _chained(df, keys, pos, term, keep, out, min(wanted, segment_rows(df)))
+    rows = df.withColumns({"_block": F.floor(F.col(pos) / wanted), "_term": term.cast("double")})
+    rows = rows.withColumn("_w", F.pow(F.lit(keep), F.col(pos) - F.col("_block") * wanted))
+    rows = note_bound(rows, pos, group_bound(df, pos))
+
+    def inside(here: WindowSpec, block: WindowSpec) -> DataFrame:
+        placed = spread.withColumn("_z", F.sum(F.col("_term") / F.col("_w")).over(block.rowsBetween(Window.unboundedPreceding, 0)) * F.col("_w"))
+        placed = placed.withColumn("_left", F.lag("_z", 1).over(here))
+        first = F.first("_left").over(block.rowsBetween(Window.unboundedPreceding, 0))
+        return placed.withColumn(out, F.col("_z") + F.col("_w") * keep * F.coalesce(first, F.lit(0.0)))
+
+    helpers = ["_block", "_term", "_w", "_z", "_left"]
+    if whole:
+        spread = rows.repartition(*keys)  # serves both windows
+        return inside(Window.partitionBy(*keys).orderBy("_block", pos), Window.partitionBy(*keys, "_block").orderBy(pos)).drop(*helpers)
+    size = segment_rows(df)
+    ahead = F.floor((F.col(pos) + 2 * wanted) / size)
+    spread = rows.withColumn(SEG, F.explode(F.sequence(segment_of(df, pos), ahead))).withColumn(_OWN, F.col(SEG) == segment_of(df, pos))
+    spread = spread.repartition(*keys, SEG)  # serves both windows
+    placed = inside(Window.partitionBy(*keys, SEG).orderBy("_block", pos), Window.partitionBy(*keys, SEG, "_block").orderBy(pos))
+    return placed.filter(_OWN).drop(SEG, _OWN, *helpers)
+
+
+def _chained(df: DataFrame, keys: Sequence[str], pos: str, term: Column, keep: float, out: str, size: int) -> DataFrame:
+    """``decaying`` with one row per block chained in order: the map of a block is ``y -> keep**size * y + its sum``."""
+    rows = df.withColumns({"_block": F.floor(F.col(pos) / size), "_term": term.cast("double")})
+    rows = rows.withColumn("_w", F.pow(F.lit(keep), F.col(pos) - F.col("_block") * size))
+    block = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_z", F.sum(F.col("_term") / F.col("_w")).over(block) * F.col("_w"))
+    ends = rows.groupBy(*keys, "_block").agg(F.max_by("_z", pos).alias("_end"))
+    fade = keep**size
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        state, states = 0.0, []
+        for end in pdf["_end"]:
+            states.append(state)
+            state = end + fade * state
+        return pdf.assign(_carry=states).drop(columns="_end")
+
+    schema = StructType([*[df.schema[k] for k in keys], StructField("_block", LongType()), StructField("_carry", DoubleType())])
+    carry = ends.groupBy(*keys).applyInPandas(chain, schema)
+    joined = null_safe_join(rows, carry, [*keys, "_block"])
+    return joined.withColumn(out, F.col("_z") + F.col("_w") * keep * F.col("_carry")).drop("_block", "_term", "_w", "_z", "_carry")
+
+
 def _fold(kind: str, column: Column, window: WindowSpec) -> Column:
     if kind == "last":
         return F.last(column, ignorenulls=True).over(window)
