@@ -12,6 +12,7 @@ from kinetable.streaming import batches as M
 from kinetable.streaming import operators as J
 
 PARTS = 3
+DAY = 86_400_000_000  # in microseconds
 ORDER = ["micros", "event_id"]
 SCHEMA = "user_id bigint, event_id bigint, micros bigint, event_type string, value double"
 
@@ -57,15 +58,15 @@ def stream_assemble_episodes(spark, root):
   UNION ALL SELECT f.episode_index, f.frame_index, f.event_id, CASE WHEN f.task = 'error' OR abs(f.value - r.last) >= 25 THEN f.value ELSE r.last END, f.task = 'error' OR abs(f.value - r.last) >= 25
   FROM r JOIN fe f ON f.episode_index = r.episode_index AND f.frame_index = r.frame_index + 1) SELECT event_id FROM r WHERE passed""")
 def stream_gate(spark, root):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = scratch_path(spark, "gate")
     rows = _events(spark, root).withColumns({"state": F.array("value"), "step": F.col("event_id"), "must_go": F.col("event_type") == "error"})
 
     def run(stream):
-        passed = J.stream_gate(stream, "user_id", "state", "step", ORDER, "must_go", 25.0)
+        passed = J.stream_gate(stream, "user_id", "state", "step", ORDER, "must_go", 25.0, time="micros", remember=DAY)
         passed.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
 
-    _feed(spark, rows, run)
+    with J.rocksdb_state(spark):
+        _feed(spark, rows, run)
     return spark.read.parquet(f"{path}/out").select("event_id")
 
 

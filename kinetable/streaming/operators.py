@@ -6,10 +6,11 @@ Rows of one source arrive in order: no batch holds a row older than an earlier b
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -17,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from kinetable.operators import stats as S
 from kinetable.operators import windows as W
 from kinetable.operators.validate import drop_nan_rows
-from kinetable.plans.segments import bounded, number_rows, running, spread_join
+from kinetable.plans.segments import bounded, number_rows, running, segment_rows, spread_join
 from kinetable.streaming.batches import Step, carried
 
 POS = "_pos"
@@ -66,8 +67,24 @@ def latest(stream: DataFrame, source: str, step: str, columns: Sequence[str], pa
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+#: Parts of a key whose last rows are found apart.
+RETAIN_SALTS = 32
+
+
 def retain_last_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], capacity: int) -> DataFrame:
-    """The last ``capacity`` rows of each key (of all rows without keys), in ``order``."""
+    """The last ``capacity`` rows of each key (of all rows without keys), in ``order``.
+
+    Each key is dealt to parts, of which only the last rows go on, before the shuffle as well as after
+    it, so a hot key costs no more than ``capacity`` rows a part. A capacity beyond a segment is
+    counted over numbered rows instead.
+    """
+    if capacity <= segment_rows(rows):
+        back = [F.col(c).desc() for c in order]
+        part = F.pmod(F.xxhash64(*order), F.lit(RETAIN_SALTS))
+        last = rows.withColumn("_salt", part)
+        for group in ([*keys, "_salt"], list(keys)):
+            last = last.withColumn("_back", F.row_number().over(Window.partitionBy(*group).orderBy(*back))).filter(F.col("_back") <= capacity)
+        return last.drop("_salt", "_back")
     placed = number_rows(rows, keys, order, POS)
     if keys:
         sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -202,39 +219,75 @@ class Gate(StatefulProcessor):
     """Per source: pass an observation unless its step was passed before or it is too close to the last one passed.
 
     A decision depends on the one before it, so a source is one ordered sequence; its rows of
-    a batch are sorted in Arrow and only the accepted step numbers and vector are kept.
+    a batch are sorted in Arrow and only the accepted step numbers and vector are kept. With ``time`` and
+    ``remember`` a step number is forgotten once the source's rows are that much later than the row
+    that passed it, whatever the batches are, so the state of a source stays bounded.
     """
 
-    def __init__(self, vector: str, step: str, order: Sequence[str], must_go: str, tolerance: float) -> None:
+    def __init__(self, vector: str, step: str, order: Sequence[str], must_go: str, tolerance: float, time: str | None = None, remember: int | None = None) -> None:
         self.vector, self.step, self.order, self.must_go, self.tolerance = vector, step, list(order), must_go, tolerance
+        self.time, self.remember = time, remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "v array<double>")
-        self.seen = handle.getMapState("seen", "step bigint", "hit boolean")
+        self.seen = handle.getMapState("seen", "step bigint", "at bigint")
+
+    def _remembered(self, step: int, now: int) -> bool:
+        if not self.seen.containsKey((step,)):
+            return False
+        return self.remember is None or now - self.seen.getValue((step,))[0] <= self.remember
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(self.order)
         last = np.asarray(self.last.get()[0]) if self.last.exists() else None
         passed = []
-        for vector, step, forced in zip(pdf[self.vector], pdf[self.step], pdf[self.must_go]):
+        times = pdf[self.time] if self.time else [0] * len(pdf)
+        for vector, step, forced, now in zip(pdf[self.vector], pdf[self.step], pdf[self.must_go], times):
             vector = np.asarray(vector, dtype=float)
             ok = bool(forced) or last is None
-            if not ok and not self.seen.containsKey((int(step),)):
+            if not ok and not self._remembered(int(step), int(now)):
                 ok = np.linalg.norm(vector - last) >= self.tolerance
             if ok:
                 last = vector
-                self.seen.updateValue((int(step),), (True,))
+                self.seen.updateValue((int(step),), (int(now),))
             passed.append(ok)
         if last is not None:
             self.last.update((last.tolist(),))
+        if self.remember is not None and len(pdf):
+            gone = [step for step, at in self.seen.iterator() if int(now) - at[0] > self.remember]
+            for step in gone:
+                self.seen.removeKey(step)
         yield pdf[passed]
 
     def close(self) -> None:
         pass
 
 
-def stream_gate(stream: DataFrame, source: str, vector: str, step: str, order: Sequence[str], must_go: str, tolerance: float = 1.0) -> DataFrame:
-    """Observations worth processing; needs the RocksDB state store."""
-    gate = Gate(vector, step, order, must_go, tolerance)
+def stream_gate(
+    stream: DataFrame, source: str, vector: str, step: str, order: Sequence[str], must_go: str, tolerance: float = 1.0, *,
+    time: str | None = None, remember: int | None = None,
+) -> DataFrame:
+    """Observations worth processing; needs the RocksDB state store, which the caller sets (``rocksdb_state``).
+
+    ``remember``, in units of the whole numbers in ``time``, bounds the state: older passed step numbers
+    are forgotten. None keeps them for good.
+    """
+    if remember is not None and time is None:
+        raise ValueError("remember needs a time column")
+    gate = Gate(vector, step, order, must_go, tolerance, time, remember)
     return stream.groupBy(source).transformWithStateInPandas(
         statefulProcessor=gate, outputStructType=stream.schema, outputMode="Append", timeMode="None")
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB; the session's setting is put back afterwards."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
