@@ -64,6 +64,12 @@ def merged_stats(spark, root):
     return stats.select("feature", "count", "min", "max", tidy("mean", 7).alias("mean"), tidy("std", 7).alias("std"))
 
 
+@query("i01_merge_info", f"""WITH {_TWO} SELECT count(DISTINCT ep) AS total_episodes, count(*) AS total_frames, count(DISTINCT task) AS total_tasks, '0:' || count(DISTINCT ep) AS train FROM mm""")
+def merged_info(spark, root):
+    info = I.merge_datasets(_statuses(spark, root)).info
+    return info.select("total_episodes", "total_frames", "total_tasks", F.col("splits")["train"].alias("train"))
+
+
 _SPLIT = f"""{LINES}, nn AS (SELECT max(episode_index) + 1 AS n FROM fl), sp AS (SELECT fl.*, CASE WHEN episode_index < floor(n * 0.7::DOUBLE) THEN 'train' WHEN episode_index < floor(n * 0.7::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM fl, nn)"""
 
 
@@ -83,6 +89,32 @@ def split_by_list(spark, root):
     return I.split_dataset(dataset, splits).episodes.select("split", "l_orderkey", "length", "episode_index")
 
 
+_PARTS = {"train": 0.7, "val": 0.2, "test": 0.05}
+
+
+@query("i02_split_tasks", f"""WITH {_SPLIT}, tk AS (SELECT task, row_number() OVER (ORDER BY min("index")) - 1 AS old FROM fl GROUP BY 1),
+  st AS (SELECT DISTINCT split, task, old FROM sp JOIN tk USING (task)), nw AS (SELECT split, task, row_number() OVER (PARTITION BY split ORDER BY old) - 1 AS task_index FROM st)
+  SELECT split, task, task_index, count(*) AS frames FROM sp JOIN nw USING (split, task) GROUP BY ALL""")
+def split_tasks(spark, root):
+    out = I.split_dataset(_lines(spark, root), _PARTS)
+    return out.frames.groupBy("split", "task_index").agg(F.count(F.lit(1)).alias("frames")).join(out.tasks, ["split", "task_index"]).select("split", "task", "task_index", "frames")
+
+
+@query("i02_split_stats", f"""WITH {_SPLIT}, v AS (SELECT split, 'l_quantity' AS feature, l_quantity AS x FROM sp UNION ALL SELECT split, 'l_tax', l_tax FROM sp)
+  SELECT split, feature, count(*) AS count, min(x) AS min, max(x) AS max, round(avg(x), 7) AS mean, round(stddev_pop(x), 7) AS std FROM v GROUP BY ALL""")
+def split_stats(spark, root):
+    dataset = _lines(spark, root)
+    dataset.stats = S.frame_stats(dataset.frames, ["episode_index"], FEATURES)
+    stats = I.split_dataset(dataset, _PARTS).stats
+    return stats.select("split", "feature", "count", "min", "max", tidy("mean", 7).alias("mean"), tidy("std", 7).alias("std"))
+
+
+@query("i02_split_info", f"""WITH {_SPLIT} SELECT split, count(DISTINCT l_orderkey) AS total_episodes, count(*) AS total_frames, count(DISTINCT task) AS total_tasks, '0:' || count(DISTINCT l_orderkey) AS range FROM sp GROUP BY 1""")
+def split_info(spark, root):
+    info = I.split_dataset(_lines(spark, root), _PARTS).info
+    return info.select("split", "total_episodes", "total_frames", "total_tasks", F.element_at("splits", F.col("split")).alias("range"))
+
+
 def _unwanted(spark, root, episodes):
     late = spark.read.parquet(f"{root}/orders.parquet").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     return episodes.join(late, "l_orderkey", "left_semi")
@@ -147,6 +179,17 @@ def concat_common(spark, root):
     return I.concat_common([orders, lines])
 
 
+@query("i06_concat_stats", """SELECT 'price' AS feature, count(*) AS count, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std
+  FROM (SELECT o_totalprice AS x FROM orders UNION ALL SELECT l_extendedprice FROM lineitem)""")
+def concat_stats(spark, root):
+    """Statistics of two tables, each with features of its own, merged for the one they share."""
+    orders = spark.read.parquet(f"{root}/orders.parquet").select(F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"))
+    lines = spark.read.parquet(f"{root}/lineitem.parquet").select(F.col("l_extendedprice").alias("price"), F.col("l_tax").alias("tax"))
+    common = [c for c in orders.columns if c in lines.columns]
+    stats = I.concat_stats([S.frame_stats(t, [], t.columns) for t in (orders, lines)], common)
+    return stats.select("feature", "count", "min", "max", tidy("mean", 6).alias("mean"), tidy("std", 6).alias("std"))
+
+
 @query("i07_union_tasks", """WITH a AS (SELECT p_name AS task, 0 AS src, min(p_partkey) AS f FROM part WHERE p_size > 25 GROUP BY 1 UNION ALL SELECT p_name, 1, min(p_partkey) FROM part GROUP BY 1 UNION ALL SELECT s_name, 2, min(s_suppkey) FROM supplier GROUP BY 1)
   SELECT task, row_number() OVER (ORDER BY min((src, f))) - 1 AS task_index FROM a GROUP BY 1""")
 def union_tasks(spark, root):

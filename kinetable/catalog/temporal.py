@@ -388,6 +388,17 @@ def splice_append(spark, root):
     return W.splice_chunks(chunks, "chunk", "append", consumed="used").select("episode_index", "chunk_no", "queue_from", "queue_to")
 
 
+@query("e27_append_queue", f"""WITH {EVENTS}, {_PREDICTED}, c AS (SELECT DISTINCT episode_index, chunk_start AS chunk_no FROM pr),
+  r AS (SELECT episode_index, chunk_no, sum(CASE WHEN chunk_no > 0 THEN 5 + chunk_no % 2 ELSE 0 END) OVER w AS a, sum({_HORIZON}) OVER w AS b FROM c WINDOW w AS (PARTITION BY episode_index ORDER BY chunk_no)),
+  s AS (SELECT episode_index, row_number() OVER (PARTITION BY episode_index ORDER BY chunk_start, step) - 1 AS place, action FROM pr)
+  SELECT episode_index, chunk_no, (place - a)::BIGINT AS slot, round(action, 6) AS action FROM r JOIN s USING (episode_index) WHERE place >= a AND place < b""")
+def append_queue(spark, root):
+    """What is in the queue when a chunk of six actions is appended for every five or six used."""
+    chunks = _predicted(spark, root).withColumnRenamed("chunk_start", "chunk_no")
+    spliced = W.splice_chunks(chunks.withColumn("used", F.col("chunk_no") % 2 + 5), "chunk", "append", consumed="used")
+    return W.queued_actions(spliced, "chunk").select("episode_index", "chunk_no", "slot", tidy("action").alias("action"))
+
+
 @query("e28_latency_window", """WITH k AS (SELECT user_id, event_id, value - 20 AS lat, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE value >= 20),
   r AS (SELECT *, list(lat) OVER w AS recent, max(lat) OVER (PARTITION BY user_id ORDER BY n) AS top, min(lat) OVER w AS low, count(*) OVER w AS cnt
    FROM k WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))

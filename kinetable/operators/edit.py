@@ -18,7 +18,7 @@ from kinetable.operators.relate import remap_tasks
 from kinetable.operators.stats import merge_stats
 from kinetable.plans.frames import EpisodicDataset
 from kinetable.plans.segments import MAX_GROUP_ROWS, group_bound, join_small, note_bound, number_rows, running, spread_join
-from kinetable.session import scratch_path
+from kinetable.session import materialize, scratch_path
 
 
 def _renumber(frames: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -103,7 +103,9 @@ def split_bounds(total: int, fractions: dict[str, float]) -> dict[str, tuple[int
 def split_dataset(dataset: EpisodicDataset, splits: dict[str, float] | DataFrame) -> EpisodicDataset:
     """Frames and episodes with a ``split`` column, numbered densely within each split.
 
-    ``splits`` names fractions, or is a table ``(split, episode_index)`` without overlaps.
+    ``splits`` names fractions, or is a table ``(split, episode_index)`` without overlaps. Each split has
+    its own tasks ``(split, task, task_index)``, those its frames have in their old order, its
+    descriptor (``descriptors``), and, of statistics per episode, those of its episodes merged.
     """
     if isinstance(splits, dict):
         bounds = split_bounds(dataset.episodes.count(), splits)
@@ -129,7 +131,33 @@ def split_dataset(dataset: EpisodicDataset, splits: dict[str, float] | DataFrame
     episodes = placed.withColumns({
         "episode_index": F.col("_new_episode"), "dataset_from_index": F.col("_new_from"), "dataset_to_index": F.col("_new_to")
     }).drop("_new_episode", "_new_from", "_new_to")
-    return EpisodicDataset(frames, episodes, dataset.tasks, dataset.subtasks, None, dataset.info)
+    tasks = dataset.tasks
+    if tasks is not None and "task_index" in frames.columns:
+        used = frames.filter(F.col("task_index").isNotNull()).select("split", "task_index").distinct()
+        used = materialize(number_rows(used, ["split"], ["task_index"], "_new", derived=True))
+        frames = join_small(frames, used, ["split", "task_index"], "left").drop("task_index").withColumnRenamed("_new", "task_index")
+        tasks = used.join(tasks.select("task_index", "task"), "task_index").select("split", "task", F.col("_new").alias("task_index"))
+    stats = dataset.stats
+    if stats is not None and "episode_index" in stats.columns:
+        stats = merge_stats(stats.join(assigned.select("episode_index", "split"), "episode_index"), ["split"], derived=True)
+    else:
+        stats = None
+    return EpisodicDataset(frames, episodes, tasks, dataset.subtasks, stats, descriptors(episodes, tasks, ["split"]))
+
+
+def descriptors(episodes: DataFrame, tasks: DataFrame | None, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (per ``keys``): total_episodes, total_frames, total_tasks and ``splits``, the ranges of episodes by name.
+
+    All episodes of a dataset are its ``train`` split; one that was split off has the split's name.
+    """
+    out = episodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_episodes"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_frames"))
+    if tasks is not None:
+        counted = tasks.groupBy(*[k for k in keys if k in tasks.columns]).agg(F.count(F.lit(1)).alias("total_tasks"))
+        on = [k for k in keys if k in tasks.columns]
+        out = out.join(counted, on, "left") if on else out.crossJoin(counted)  # one row
+        out = out.withColumn("total_tasks", F.coalesce("total_tasks", F.lit(0)))
+    name = F.col(keys[0]).cast("string") if keys else F.lit("train")
+    return out.withColumn("splits", F.create_map(name, F.concat(F.lit("0:"), F.col("total_episodes").cast("string"))))
 
 
 def _tagged(tables: Sequence[DataFrame], tag: str) -> DataFrame:
@@ -142,11 +170,11 @@ def _tagged(tables: Sequence[DataFrame], tag: str) -> DataFrame:
     return out
 
 
-def union_tasks(sources: Sequence[DataFrame]) -> DataFrame:
-    """Distinct task texts in the order of (source, id), renumbered."""
-    every = _tagged([t.select("task", "task_index") for t in sources], "_source")
-    first = every.groupBy("task").agg(F.min(F.struct("_source", "task_index")).alias("_first"))
-    return number_rows(first, [], ["_first"], "task_index", derived=True).select("task", "task_index")
+def union_tasks(sources: Sequence[DataFrame], text: str = "task", number: str = "task_index") -> DataFrame:
+    """Distinct task (or sub-task) texts in the order of (source, id), renumbered."""
+    every = _tagged([t.select(text, number) for t in sources], "_source")
+    first = every.groupBy(text).agg(F.min(F.struct("_source", number)).alias("_first"))
+    return number_rows(first, [], ["_first"], number, derived=True).select(text, number)
 
 
 def source_offsets(sources: Sequence[EpisodicDataset]) -> DataFrame:
@@ -158,7 +186,11 @@ def source_offsets(sources: Sequence[EpisodicDataset]) -> DataFrame:
 
 
 def merge_datasets(sources: Sequence[EpisodicDataset]) -> EpisodicDataset:
-    """One after another: episode, index and task numbers shifted, statistics merged."""
+    """One after another: episode, index, task and sub-task numbers shifted, statistics merged.
+
+    The descriptor has the totals of the merged dataset, whose episodes are all its ``train`` split.
+    Sub-tasks are merged where all sources have them.
+    """
     offsets = source_offsets(sources)  # one row per source
     tasks = union_tasks([s.tasks for s in sources])
     old_tasks = _tagged([s.tasks.select("task", "task_index") for s in sources], "_source")
@@ -168,13 +200,20 @@ def merge_datasets(sources: Sequence[EpisodicDataset]) -> EpisodicDataset:
         return joined.withColumns({c: F.col(c) + F.col(o) for c, o in columns.items() if c in rows.columns}).drop("_e0", "_i0")
 
     frames = remap_tasks(_tagged([s.frames for s in sources], "_source"), old_tasks, tasks, keys=("_source",))
+    subtasks = None
+    if all(s.subtasks is not None for s in sources):
+        subtasks = union_tasks([s.subtasks for s in sources], "subtask", "subtask_index")
+        if "subtask_index" in frames.columns:
+            old = _tagged([s.subtasks.select("subtask", "subtask_index") for s in sources], "_source")
+            mapping = old.join(subtasks.withColumnRenamed("subtask_index", "_new"), "subtask").drop("subtask")
+            frames = join_small(frames, mapping, ["_source", "subtask_index"], "left").drop("subtask_index").withColumnRenamed("_new", "subtask_index")
     frames = shift(frames, {"episode_index": "_e0", "index": "_i0"}).drop("_source")
     episodes = shift(_tagged([s.episodes for s in sources], "_source"), {
         "episode_index": "_e0", "dataset_from_index": "_i0", "dataset_to_index": "_i0"}).drop("_source")
     stats = None
     if all(s.stats is not None for s in sources):
         stats = merge_stats(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.stats for s in sources]))
-    return EpisodicDataset(frames, episodes, tasks, None, stats, None)
+    return EpisodicDataset(frames, episodes, tasks, subtasks, stats, descriptors(episodes, tasks))
 
 
 def concat_common(sources: Sequence[DataFrame]) -> DataFrame:
@@ -185,6 +224,12 @@ def concat_common(sources: Sequence[DataFrame]) -> DataFrame:
     return _tagged([s.select(*common) for s in sources], "dataset_index")
 
 
+def concat_stats(stats: Sequence[DataFrame], features: Sequence[str]) -> DataFrame:
+    """Merged statistics of concatenated datasets, of the features that all of them share."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stats)
+    return merge_stats(every.filter(F.col("feature").isin(*features)), derived=True)
+
+
 def modify_tasks(dataset: EpisodicDataset, default: str | None = None, overrides: DataFrame | None = None) -> EpisodicDataset:
     """One task per episode: its override, else the default, else its first task; ids in text order.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions.names import named
-from kinetable.plans.segments import bounded, decaying, group_bound, note_bound, number_rows, running, spread_join
+from kinetable.plans.segments import bounded, decaying, group_bound, note_bound, null_safe_join, number_rows, running, spread_join
 
 EPISODE = ["episode_index"]
 FRAME = "frame_index"
@@ -413,6 +413,22 @@ def splice_chunks(chunks: DataFrame, chunk: str, mode: str, delay: str | None =
     })
 
 
+def queued_actions(spliced: DataFrame, chunk: str) -> DataFrame:
+    """The queue after each appended chunk, one row per action: ``episode_index, chunk_no, slot, action``.
+
+    ``spliced`` is the result of ``splice_chunks`` in append mode. The appended chunks of an episode are one
+    stream, each step at its place; a queue asks for the places of its range, so the join is on
+    (episode, place) and a long episode is dealt by place.
+    """
+    start = (F.col("queue_to") - F.size(chunk)).alias("_start")
+    steps = spliced.select("episode_index", start, F.posexplode(chunk).alias("_k", "action"))
+    steps = steps.select("episode_index", (F.col("_start") + F.col("_k")).alias("_place"), "action")
+    asked = spliced.filter("queue_from < queue_to").select(
+        "episode_index", "chunk_no", "queue_from", F.explode(F.sequence(F.col("queue_from"), F.col("queue_to") - 1)).alias("_place"))
+    joined = null_safe_join(asked, steps, ["episode_index", "_place"])
+    return joined.select("episode_index", "chunk_no", (F.col("_place") - F.col("queue_from")).alias("slot"), "action")
+
+
 # --- running measures ----------------------------------------------------------------
 
 
