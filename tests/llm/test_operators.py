@@ -385,3 +385,15 @@ def test_stages_decide_by_row(llm_spark, tmp_path):
         if name == "decontamination":
             want.remove((9, text["leak"]))
         assert collections.Counter((r["doc_id"], r["text"]) for r in docs.collect()) == collections.Counter(want), name
+
+
+def test_long_texts_with_many_changes(llm_spark):
+    """Two documents of 9000 words that differ in two words out of seven: their chain is cut again and again."""
+    rng = random.Random(31)
+    first = sentence(rng, 9000)
+    second = [f"y{i}" if i % 7 in (2, 5) else w for i, w in enumerate(first)]
+    shared = [f"q{i}" for i in range(80)]
+    rows = [(1, " ".join(first + shared)), (2, " ".join(second + ["z"] * 9 + shared))]
+    found = substring.repeated_passages(frame(llm_spark, [*rows, (3, None), (4, "")])).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} <= {(1, 2), (2, 1)} and found
+    assert any(r["n_words"] >= 80 and r["agreeing"] >= 80 for r in found)
