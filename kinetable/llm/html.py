@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Labelled pages that the weights are counted on, about; those whose hash falls into one of as many parts as it takes.
 SAMPLE_PAGES = 5_000
+#: Words or tags of a name in the sample, from which on the name has a learned weight.
+LEAST_SEEN = 5
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,10 +68,12 @@ class Weights:
     def word(self, region: str, dropped: bool, main: bool) -> float:
         if dropped:
             return 0.0 if main else -3.0  # inside the main text a dropped part must not cut it in two
-        return self.words.get(region, 1.0 if main or region in ("", "body") else 0.5)
+        learned = self.words.get(region, 1.0 if main or region in ("", "body") else 0.5)
+        return max(1.0, learned) if main else learned
 
-    def tag(self, name: str) -> float:
-        return min(-0.05, self.tags.get(name, -0.5))
+    def tag(self, name: str, main: bool = False) -> float:
+        """Inside marked main text a tag costs nothing: no list, table or heading there may cut it."""
+        return 0.0 if main else min(-0.05, self.tags.get(name, -0.5))
 
 
 @dataclass
@@ -87,6 +91,15 @@ class Piece:
 def pieces(page: str) -> Iterator[Piece]:
     """Texts and tags of a page with the region they stand in."""
     open_elements: list[Element] = [Element("", "", False, False)]
+    opened: Counter = Counter()  # names of open elements, so that an end tag without a start looks no further
+
+    def close(name: str, over: frozenset | None = None) -> None:
+        """Close the innermost element of a name and all in it; with ``over`` only if all in it are of those."""
+        if opened[name]:
+            depth = next(d for d in range(len(open_elements) - 1, 0, -1) if open_elements[d].name == name)
+            if over is None or all(e.name in over for e in open_elements[depth + 1 :]):
+                opened.subtract(e.name for e in open_elements[depth:])
+                del open_elements[depth:]
 
     def run(text: str) -> Piece:
         top = open_elements[-1]
@@ -102,14 +115,10 @@ def pieces(page: str) -> Iterator[Piece]:
         name = found["name"].lower()
         breaks = name not in INLINE
         if found["close"]:
-            depth = next((d for d in range(len(open_elements) - 1, 0, -1) if open_elements[d].name == name), 0)
-            if depth:
-                del open_elements[depth:]
+            close(name)
         elif name not in VOID and not found["rest"].endswith("/"):
             if name in ENDS_PARAGRAPH:
-                depth = next((d for d in range(len(open_elements) - 1, 0, -1) if open_elements[d].name == "p"), 0)
-                if depth and not any(e.name not in INLINE for e in open_elements[depth + 1 :]):
-                    del open_elements[depth:]
+                close("p", INLINE)
             above = open_elements[-1]
             marks = {w for m in _NAMES.finditer(found["rest"] or "") for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
             bad = name in DROPPED or bool(marks & DROPPED_NAMES) or (name == "header" and not above.main)
@@ -118,6 +127,7 @@ def pieces(page: str) -> Iterator[Piece]:
             if name not in INLINE and name not in FLOW:
                 region = ".".join([name, *sorted(marks & DROPPED_NAMES)])
             open_elements.append(Element(name, region, above.dropped or bad, main))
+            opened[name] += 1
         top = open_elements[-1]
         yield Piece(tag=name, region=top.region, dropped=top.dropped, main=top.main, breaks=breaks)
     if at < len(page):
@@ -165,7 +175,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     found = list(pieces(page or ""))
     if not found:
         return ""
-    scores = [weights.tag(p.tag) if p.tag else weights.word(p.region, p.dropped, p.main) * len(p.text.split()) for p in found]
+    scores = [weights.tag(p.tag, p.main) if p.tag else weights.word(p.region, p.dropped, p.main) * len(p.text.split()) for p in found]
     first, last = best_run(scores)
     if first == last:
         return ""
@@ -203,9 +213,10 @@ def fit(pages: DataFrame, page_id: str = "page_id", markup: str = "html", *, sam
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["kind", "name", "inside", "n"])
 
     counted = chosen.mapInArrow(make, "kind string, name string, inside boolean, n long")
-    # Names are element names and marks of a fixed list, but a page may invent elements: the most frequent are enough.
-    rows = counted.groupBy("kind", "name", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "name", "inside").limit(5_000).collect()
-    return learn({(r["kind"], r["name"], r["inside"]): r["n"] for r in rows})
+    # Names are element names and marks of a fixed list, but a page may invent elements: rare names keep the fixed scores.
+    summed = counted.groupBy("kind", "name").agg(*[F.coalesce(F.sum(F.when(F.col("inside") == i, F.col("n"))), F.lit(0)).alias(c) for i, c in ((True, "within"), (False, "beside"))])
+    rows = summed.where(F.col("within") + F.col("beside") >= LEAST_SEEN).collect()
+    return learn({(r["kind"], r["name"], inside): r[c] for r in rows for inside, c in ((True, "within"), (False, "beside"))})
 
 
 def extracted(markup: Column, weights: Weights) -> Column:

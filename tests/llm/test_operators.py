@@ -397,3 +397,42 @@ def test_long_texts_with_many_changes(llm_spark):
     found = substring.repeated_passages(frame(llm_spark, [*rows, (3, None), (4, "")])).collect()
     assert {(r["doc_id"], r["other_id"]) for r in found} <= {(1, 2), (2, 1)} and found
     assert any(r["n_words"] >= 80 and r["agreeing"] >= 80 for r in found)
+
+
+MENU_PAGE = "<html><body><nav><ul>" + "<li><a href='/x'>Menu entry</a></li>" * 9 + "</ul></nav><article><p>" + "word " * 30 + "</p></article><table><tr><td>x</td></tr></table><h2>y</h2></body></html>"
+PARTS = {
+    "<ul><li>One</li><li>Two</li></ul>": ["One", "Two"],
+    "<table><tr><td>a</td><td></td><td>b c</td></tr></table>": ["a", "b c"],
+    "<blockquote>said</blockquote>": ["said"],
+    "<pre><code>x = 1</code></pre>": ["x = 1"],
+    "<h2>Head</h2><h3>Low</h3>": ["Head", "Low"],
+    "<section><div>deep</div></section>": ["deep"],
+    "<div></div>" * 500 + "<ol><li><a href='/l'>link</a></li></ol>": ["link"],
+}
+
+
+def test_nothing_in_an_article_cuts_it():
+    """Weights from pages whose menus are lists: parts in such tags stay at both ends and in the middle of an article."""
+    weights = html.learn(html.count_page(MENU_PAGE * 20))
+    assert weights.tags["li"] < -3
+    for markup, lines in PARTS.items():
+        for page, want in (
+            (f"{markup}<p>one two three</p>", [*lines, "one two three"]), (f"<h1>Title</h1><p>one</p>{markup}", ["Title", "one", *lines]),
+            (f"<p>one</p>{markup}<p>two</p>", ["one", *lines, "two"]), (markup, lines),
+        ):
+            page = f"<html><body><nav><ul><li>Menu</li></ul></nav><article>{page}</article><footer>end</footer></body></html>"
+            assert html.main_text(page, weights).split("\n") == want, page
+
+
+def test_long_and_deep_pages():
+    """End tags without a start and deep nesting take time in proportion to the page."""
+    weights = html.Weights()
+    page = "<article>" + "<div>" * 3000 + "text here" + "</span>" * 200_000 + "</div>" * 3000 + "</article>"
+    assert html.main_text(page, weights) == "text here"
+    assert html.main_text("<article>" + "<p>word " * 50_000 + "</article>", weights).count("word") == 50_000
+
+
+def test_rare_names_keep_fixed_scores(llm_spark):
+    pages = [(i, f"<article><p>some words here</p><made-up-{i}>text</made-up-{i}></article>") for i in range(40)]
+    weights = html.fit(llm_spark.createDataFrame(pages, "page_id long, html string"))
+    assert "p" in weights.tags and not any(name.startswith("made-up") for name in weights.tags)
