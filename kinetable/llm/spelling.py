@@ -34,6 +34,7 @@ GATHERED = 200_000
 #: Words of a group and, on average, of a block. A group with one letter in doubt is not split: it holds
 #: as many words as there are letters, and of the longer words as many as there are pairs of letters.
 BLOCK_WORDS = 2048
+BLOCKS_PER_TASK = 64
 #: Longer words are compared with those of their length and one more, so that one of them does not widen all.
 LONG_WORD = 48
 STORED_SETS = 1 << 23
@@ -169,7 +170,9 @@ def near_words(words: DataFrame, *, block_words: int = BLOCK_WORDS) -> DataFrame
     """``(word, n, near, near_n)`` for each ordered pair of distinct words one error apart; ``words`` has word and n."""
     rows = stored(_grouped(words, block_words).withColumn("key", F.xxhash64("span", "head", "tail", "key")).select("word", "n", "key"), "spelling_keys")
     blocks = max(1, -(-rows.count() // block_words))
-    dealt = rows.select(F.pmod("key", F.lit(blocks)).alias("block"), "word", "n").repartition("block").sortWithinPartitions("block")
+    # Blocks are much work for little data, so their tasks are counted by blocks and not by bytes.
+    tasks = min(blocks, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // BLOCKS_PER_TASK))
+    dealt = rows.select(F.pmod("key", F.lit(blocks)).alias("block"), "word", "n").repartition(tasks, "block").sortWithinPartitions("block")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members in _runs(batches):
