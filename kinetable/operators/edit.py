@@ -267,17 +267,16 @@ _TRIALS = 3
 
 def pack_greedy(
     items: DataFrame, pos: str, size: str, limit: float, *, count: str | None = None,
-    max_items: int | None = None, max_count: int | None = None, block: int | None = None, part: int = MAX_GROUP_ROWS,
+    max_items: int | None = None, max_count: int | None = None, part: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``bin``: consecutive items share a bin until the next one would reach a limit.
 
     A bin closes when its size plus the next reaches ``limit``, when it holds ``max_items``, or when
     its ``count`` plus the next exceeds ``max_count``. The result is that of one fold over all items;
-    a task folds ``part`` positions (see ``_entries``). With ``block`` every so many positions start
-    a bin of their own.
+    a task folds ``part`` positions (see ``_entries``).
     """
     slim = items.select(F.col(pos).alias("p"), F.col(size).cast("double").alias("s"), (F.col(count) if count else F.lit(0)).cast("double").alias("c"))
-    slim = slim.where(F.col("p").isNotNull()).withColumn("block", F.floor(F.col("p") / (block or part)))
+    slim = slim.where(F.col("p").isNotNull()).withColumn("block", F.floor(F.col("p") / part))
 
     def fold(pdf: pd.DataFrame, entry: tuple[float, int, float]) -> tuple[pd.DataFrame, tuple[float, int, float], list[int]]:
         pdf = pdf.sort_values("p")
@@ -292,16 +291,13 @@ def pack_greedy(
             bins.append(at)
         return pdf, (filled, held, counted), bins
 
-    if block is None:
-        entries, first = {}, {}
-        blocks = sorted(r[0] for r in slim.select("block").distinct().collect())
-        if len(blocks) > 1:
-            path = scratch_path(items.sparkSession, "packing")
-            slim.write.partitionBy("block").parquet(path)
-            slim = items.sparkSession.read.schema(slim.schema).parquet(path)
-            entries, first = _entries(slim, blocks, fold)
-    else:
-        entries, first = {}, {}
+    entries, first = {}, {}
+    blocks = sorted(r[0] for r in slim.select("block").distinct().collect())
+    if len(blocks) > 1:
+        path = scratch_path(items.sparkSession, "packing")
+        slim.write.partitionBy("block").parquet(path)
+        slim = items.sparkSession.read.schema(slim.schema).parquet(path)
+        entries, first = _entries(slim, blocks, fold)
 
     def numbered(pdf: pd.DataFrame) -> pd.DataFrame:
         at = int(pdf["block"].iloc[0])
@@ -309,12 +305,7 @@ def pack_greedy(
         return pd.DataFrame({"block": pdf["block"], "p": pdf["p"], "b": [b + first.get(at, 0) for b in bins]})
 
     packed = slim.groupBy("block").applyInPandas(numbered, "block bigint, p bigint, b bigint")
-    if block is None:
-        return items.join(packed.select(F.col("p").alias(pos), F.col("b").alias("bin")), pos)
-    tops = packed.groupBy("block").agg((F.max("b") + 1).alias("n"))
-    bases = running(tops, [], "block", {"to": ("sum", F.col("n"))}).select("block", (F.col("to") - F.col("n")).alias("base"))
-    out = packed.join(bases, "block").select(F.col("p").alias(pos), (F.col("base") + F.col("b")).alias("bin"))
-    return items.join(out, pos)
+    return items.join(packed.select(F.col("p").alias(pos), F.col("b").alias("bin")), pos)
 
 
 _EMPTY = (0.0, 0, 0.0)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetable.functions.names import named
 from kinetable.operators.windows import mask_after_done
 from kinetable.plans.segments import running
 
@@ -40,8 +41,8 @@ def eval_rollup(episodes: DataFrame, group: str, task: str) -> DataFrame:
 def running_meter(log: DataFrame, key: str, pos: str, value: str, weight: str, interval: int) -> DataFrame:
     """Weighted average since the last reset, every ``interval`` steps, and the weight seen so far."""
     rows = log.withColumn("_interval", F.floor(F.col(pos) / interval))
-    rows = running(rows, [key, "_interval"], pos, {"_vw": ("sum", F.col(value) * F.col(weight)), "_w": ("sum", F.col(weight).cast("double"))})
-    rows = running(rows, [key], pos, {"samples": ("sum", F.col(weight))})
+    rows = running(rows, [key, "_interval"], pos, {"_vw": ("sum", named(value) * named(weight)), "_w": ("sum", named(weight).cast("double"))})
+    rows = running(rows, [key], pos, {"samples": ("sum", named(weight))})
     return rows.withColumn("meter_avg", F.col("_vw") / F.col("_w")).drop("_vw", "_w", "_interval")
 
 

@@ -118,10 +118,10 @@ def remap_files(episodes: DataFrame, mapping: DataFrame, default_chunk: Column,
 
 
 def exclude_episodes(frames: DataFrame, unwanted: DataFrame) -> DataFrame:
-    return frames.join(unwanted.select("episode_index").distinct(), "episode_index", "left_anti")
+    return join_small(frames, unwanted.select("episode_index").distinct(), ["episode_index"], "left_anti")
 
 
 def join_annotations(frames: DataFrame, notes: DataFrame, key: str, values: dict[str, list[str]]) -> DataFrame:
     """Left join by frame index or episode; each value takes the first of its column names that is set."""
     picked = {name: F.coalesce(*[F.col(c) for c in columns if c in notes.columns]) for name, columns in values.items()}
-    return frames.join(notes.select(key, *[c.alias(n) for n, c in picked.items()]), key, "left")
+    return join_small(frames, notes.select(key, *[c.alias(n) for n, c in picked.items()]), [key], "left")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.functions.numbers import hash_int, hash_order
-from kinetable.plans.segments import group_bound, number_rows, spread_join
+from kinetable.plans.segments import group_bound, join_small, number_rows, spread_join
 
 
 def select_episodes(frames: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def select_episodes(frames: DataFrame, chosen: DataFrame) -> DataFrame:
 def sample_frames(frames: DataFrame, drop_first: int = 0, drop_last: int = 0, episodes: DataFrame | None = None) -> DataFrame:
     """Drop the first and last frames of each episode; optionally keep only some episodes."""
     out = frames.filter((F.col("frame_index") >= drop_first) & (F.col("frame_index") < F.col("length") - drop_last))
-    return out if episodes is None else out.join(episodes.select("episode_index"), "episode_index", "left_semi")
+    return out if episodes is None else join_small(out, episodes.select("episode_index").distinct(), ["episode_index"], "left_semi", at_most=group_bound(episodes, "episode_index"))
 
 
 def shuffle_frames(frames: DataFrame, seed: int, out: str = "position") -> DataFrame:

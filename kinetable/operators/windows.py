@@ -210,8 +210,8 @@ def joint_velocity(frames: DataFrame, state: str, dt: float) -> DataFrame:
 def append_to_state(frames: DataFrame, state: str, columns: Sequence[str]) -> DataFrame:
     """Append scalar or vector columns to the state vector."""
     kinds = dict(frames.dtypes)
-    parts = [F.col(c) if kinds[c].startswith("array") else F.array(F.col(c).cast("double")) for c in columns]
-    return frames.withColumn(state, F.concat(F.col(state), *parts))
+    parts = [named(c) if kinds[c].startswith("array") else F.array(named(c).cast("double")) for c in columns]
+    return frames.withColumn(state, F.concat(named(state), *parts))
 
 
 def time_limit(frames: DataFrame, steps: int) -> DataFrame:
@@ -251,7 +251,8 @@ def progress_delta(frames: DataFrame, progress: str, chunk: int) -> DataFrame:
 
 def interpolate(frames: DataFrame, value: str, out: str) -> DataFrame:
     """Fill gaps linearly between finite samples; flat outside them; all missing stays missing."""
-    sample = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.struct(F.col(FRAME).alias("p"), F.col(value).cast("double").alias("v")))
+    x = named(value)
+    sample = F.when(x.isNotNull() & ~F.isnan(x), F.struct(F.col(FRAME).alias("p"), x.cast("double").alias("v")))
     filled = running(frames.withColumn("_sample", sample), EPISODE, FRAME, {"_before": ("last", F.col("_sample"))})
     filled = running(filled, EPISODE, FRAME, {"_after": ("last", F.col("_sample"))}, following=True)
     before, after = F.col("_before"), F.col("_after")
@@ -271,15 +272,15 @@ def weighted_moving_filter(frames: DataFrame, value: str, weights: Sequence[floa
     """
     changed = bounded(
         frames, EPISODE, FRAME, 1, 0,
-        lambda w: {"_new": ~F.col(value).eqNullSafe(F.lag(value, 1).over(w)) | (F.col(FRAME) == 0)},
+        lambda w: {"_new": ~named(value).eqNullSafe(F.lag(named(value), 1).over(w)) | (F.col(FRAME) == 0)},
     )
     placed = running(changed, EPISODE, FRAME, {"_count": ("sum", F.col("_new").cast("bigint"))})
     kept = placed.filter("_new").withColumn("_pos", F.col("_count") - 1)
     kept = note_bound(kept, "_pos", group_bound(frames, FRAME))
 
     def build(w):
-        total = sum((F.lag(value, k).over(w) if k else F.col(value)) * F.lit(float(c)) for k, c in enumerate(weights))
-        return {out: F.when(F.col("_pos") >= len(weights) - 1, total).otherwise(F.col(value))}
+        total = sum((F.lag(named(value), k).over(w) if k else named(value)) * F.lit(float(c)) for k, c in enumerate(weights))
+        return {out: F.when(F.col("_pos") >= len(weights) - 1, total).otherwise(named(value))}
 
     kept = bounded(kept, EPISODE, "_pos", len(weights) - 1, 0, build)
     kept = kept.select("episode_index", F.col("_count"), F.col(out))

@@ -180,3 +180,34 @@ def test_sharded_shuffle_splits_a_large_shard(spark):
         assert abs(arrival - part["position"].to_numpy()).max() < 40
     with pytest.raises(ValueError):
         C.shuffle_sharded(frames, 0, 4, 1)
+
+
+# Names and joins
+
+
+def test_names_with_dots(spark):
+    from kinetable.operators import evaluate as E
+
+    rows = spark.createDataFrame([(0, i, float(i), [1.0], None if i % 3 == 1 else float(i)) for i in range(9)], "episode_index long, frame_index long, `a.b` double, `s.t` array<double>, `g.h` double")
+    assert W.append_to_state(rows, "s.t", ["a.b"]).filter("frame_index = 4").select("`s.t`").first()[0] == [1.0, 4.0]
+    assert [r[0] for r in W.interpolate(rows, "g.h", "full").orderBy("frame_index").select("full").collect()][:8] == [float(i) for i in range(8)]
+    assert W.weighted_moving_filter(rows, "a.b", [0.5, 0.5], "m").filter("frame_index = 4").select("m").first()[0] == 3.5
+    assert E.running_meter(rows, "episode_index", "frame_index", "a.b", "a.b", 4).count() == 9
+
+
+@pytest.mark.parametrize("limit", ["0", "100000"])
+def test_episode_lists_split_a_hot_episode(spark, limit):
+    from kinetable.operators import relate as R
+
+    frames = spark.range(600).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("episode_index"), F.col("id").alias("frame_index"), F.lit(600).alias("length"))
+    chosen = spark.createDataFrame([(0,), (0,), (3,), (99,)], "episode_index long")
+    spark.conf.set("spark.kinetable.broadcastRows", limit)
+    try:
+        inside = frames.filter("episode_index IN (0, 3)").count()
+        assert C.sample_frames(frames, episodes=chosen).count() == inside
+        assert R.exclude_episodes(frames, chosen).count() == 600 - inside
+        notes = spark.createDataFrame([(0, 0.5), (3, None)], "episode_index long, p double")
+        got = R.join_annotations(frames, notes, "episode_index", {"progress": ["p"]})
+        assert got.count() == 600 and got.filter("progress = 0.5").count() == frames.filter("episode_index = 0").count()
+    finally:
+        spark.conf.unset("spark.kinetable.broadcastRows")

@@ -122,14 +122,6 @@ def test_round_trip_keeps_rows(spark, tmp_path, data):
     assert back.frames.exceptAll(frames.select(*back.frames.columns)).count() == 0 and back.frames.count() == frames.count()
 
 
-def test_greedy_blocks(spark):
-    rows = spark.range(20).select(F.col("id").alias("episode_index"), F.lit(3.0).alias("size"))
-    whole = [r["bin"] for r in I.pack_greedy(rows, "episode_index", "size", 10.0).orderBy("episode_index").collect()]
-    assert whole == [i // 3 for i in range(20)]
-    parts = [r["bin"] for r in I.pack_greedy(rows, "episode_index", "size", 10.0, block=8).orderBy("episode_index").collect()]
-    assert parts == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 3, 4, 4, 4, 5, 5, 6, 6, 6, 7]
-
-
 def test_greedy_parts_are_one_fold(spark):
     import random
 
