@@ -65,7 +65,9 @@ def stage_and_tau(frames: DataFrame, intervals: DataFrame, names: Sequence[str])
     gaps = lists.filter(F.col("_next") - F.col("end_frame") > 1).select(
         "episode_index", F.struct(F.lit(1).alias("kind"), "position").alias("rank"), (F.col("end_frame") + 1).alias("lo"), (F.col("_next") - 1).alias("hi"),
         F.col("start_frame").alias("s"), F.col("start_frame").alias("e"), stage_of(F.col("name"), names, F.col("_slot")).alias("stage"))
-    pieces = first_covers(inside.unionByName(gaps), ["s", "e", "stage"], segment_rows(frames))
+    known = group_bound(frames, FRAME)
+    # No interval needs blocks longer than the longest episode.
+    pieces = first_covers(inside.unionByName(gaps), ["s", "e", "stage"], min(segment_rows(frames), known or segment_rows(frames)))
     ends = lists.groupBy("episode_index").agg(
         F.min_by("start_frame", "position").alias("first"), F.max_by("end_frame", "position").alias("last"))
     pieces = null_safe_join(pieces, ends, EPISODE)
@@ -73,7 +75,6 @@ def stage_and_tau(frames: DataFrame, intervals: DataFrame, names: Sequence[str])
     starts = pieces.select("episode_index", (F.col("at") * 2).alias("_at"), piece)
     # A frame looks up the last piece that starts at or before it: pieces stand on even places.
     rows = frames.withColumn("_at", F.col(FRAME) * 2 + 1).unionByName(starts, allowMissingColumns=True)
-    known = group_bound(frames, FRAME)
     rows = note_bound(rows, "_at", None if known is None else 2 * known + 1)
     rows = running(rows, EPISODE, "_at", {"_held": ("last", F.col("_piece"))}).filter(F.col("_at") % 2 == 1)
     cover = F.col("_held.cover")
