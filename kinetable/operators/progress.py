@@ -65,9 +65,14 @@ def stage_and_tau(frames: DataFrame, intervals: DataFrame, names: Sequence[str])
     gaps = lists.filter(F.col("_next") - F.col("end_frame") > 1).select(
         "episode_index", F.struct(F.lit(1).alias("kind"), "position").alias("rank"), (F.col("end_frame") + 1).alias("lo"), (F.col("_next") - 1).alias("hi"),
         F.col("start_frame").alias("s"), F.col("start_frame").alias("e"), stage_of(F.col("name"), names, F.col("_slot")).alias("stage"))
-    known = group_bound(frames, FRAME)
-    # No interval needs blocks longer than the longest episode.
-    pieces = first_covers(inside.unionByName(gaps), ["s", "e", "stage"], min(segment_rows(frames), known or segment_rows(frames)))
+    known, facts = group_bound(frames, FRAME), ["s", "e", "stage"]
+    covers = inside.unionByName(gaps)
+    if lists.filter((F.col("_next") <= F.col("end_frame")) | (F.col("end_frame") < F.col("start_frame"))).isEmpty():
+        # Intervals in order and apart: each starts a piece of its own, and the last one's end starts the rest.
+        rest = lists.filter(F.col("_next").isNull()).select("episode_index", (F.col("end_frame") + 1).alias("at"))
+        pieces = covers.select("episode_index", F.col("lo").alias("at"), F.struct(*facts).alias("cover")).unionByName(rest, allowMissingColumns=True)
+    else:  # no interval needs blocks longer than the longest episode
+        pieces = first_covers(covers, facts, min(segment_rows(frames), known or segment_rows(frames)))
     ends = lists.groupBy("episode_index").agg(
         F.min_by("start_frame", "position").alias("first"), F.max_by("end_frame", "position").alias("last"))
     pieces = null_safe_join(pieces, ends, EPISODE)

@@ -103,8 +103,8 @@ def plain_stage(frame, spans, names):
     return 0, 0.0
 
 
-@pytest.mark.parametrize("size", [65536, 16, 5])
-def test_overlapping_intervals(spark, segments, size):
+@pytest.mark.parametrize("size,apart", [(65536, False), (16, False), (5, False), (65536, True), (5, True)])
+def test_stages_of_intervals(spark, segments, size, apart):
     segments(size)
     rng, names = random.Random(size), ["a", "b", "c"]
     spans = {e: [] for e in range(30)}
@@ -113,7 +113,7 @@ def test_overlapping_intervals(spark, segments, size):
         for _ in range(rng.randrange(1, 9)):
             end = at + rng.randrange(0, 20)
             spans[e].append((rng.choice([*names, "other"]), at, end))
-            at = max(0, at + rng.randrange(-6, 25))
+            at = end + rng.randrange(1, 9) if apart else max(0, at + rng.randrange(-6, 25))
     lengths = {e: rng.randrange(1, 120) for e in spans}
     frames = spark.createDataFrame([(e, f, n) for e, n in lengths.items() for f in range(n)], "episode_index long, frame_index long, length long")
     rows = [(e, p, *s) for e, v in spans.items() for p, s in enumerate(v)]
