@@ -6,7 +6,10 @@ bits agree in one of ``radius + 1`` blocks, so looking up the blocks of a window
 within the radius; the rest is dropped by the full distance, and what is left is verified by the
 exact weighted similarity of the shingles, the sum of the smaller counts over that of the larger.
 
-A window without a shingle of an item has similarity 0 with it, so only windows that hold one are
+Blocks of six or seven bits leave a tenth or so of the items, but a window just similar enough is often
+further away than they reach. Such a window holds many shingles of the item, so it is looked up by
+them: items that own enough of the shingles around are compared up to ``reach`` bits. A window
+without a shingle of an item has similarity 0 with it, so only windows that hold one are
 fingerprinted; nothing that could be verified is left out by that. The items are the stated query
 set: they are taken in blocks of proven size, each sent to all tasks, and the documents are never
 shuffled.
@@ -49,8 +52,15 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum()) if len(both) else 0.0
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges ``low`` to ``high``: which range, and the place, of each of their places."""
+    sizes = high - low
+    which = np.repeat(np.arange(len(low)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[which]
+
+
 class Items:
-    """Items of one size, with their Hamming blocks."""
+    """Items of one size, with their Hamming blocks: keys in order, and the items in that order."""
 
     def __init__(self, ids: list[int], shingles: list[np.ndarray], radius: int):
         self.ids, self.shingles, self.radius = ids, shingles, radius
@@ -60,63 +70,66 @@ class Items:
         for low, high in zip(edges, edges[1:]):
             mask = np.uint64((1 << int(high - low)) - 1)
             keys = (self.prints >> np.uint64(low)) & mask
-            table: dict[int, list[int]] = {}
-            for item, key in enumerate(keys.tolist()):
-                table.setdefault(key, []).append(item)
-            self.blocks.append((np.uint64(low), mask, {k: np.array(v) for k, v in table.items()}))
-
-    def near(self, prints: np.ndarray) -> list[tuple[int, int, int]]:
-        """(window, item, distance) of all pairs within the radius."""
-        found: dict[tuple[int, int], None] = {}
-        for low, mask, table in self.blocks:
-            keys = (prints >> low) & mask
-            for key in np.unique(keys).tolist():
-                if key in table:
-                    for window in np.flatnonzero(keys == np.uint64(key)).tolist():
-                        for item in table[key].tolist():
-                            found[window, item] = None
-        if not found:
-            return []
-        pairs = np.array(list(found))
-        distance = hamming(prints[pairs[:, 0]], self.prints[pairs[:, 1]])
-        return [(w, i, d) for (w, i), d in zip(pairs.tolist(), distance.tolist()) if d <= self.radius]
+            order = np.argsort(keys, kind="stable")
+            self.blocks.append((np.uint64(low), mask, keys[order], order))
+
+    def candidates(self, prints: np.ndarray) -> np.ndarray:
+        """Windows and items that agree in a block, as ``window * items + item``, each pair once."""
+        found = []
+        for low, mask, keys, order in self.blocks:
+            wanted = (prints >> low) & mask
+            windows, at = _ranges(np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right"))
+            found.append(windows * len(self.ids) + order[at])
+        return np.unique(np.concatenate(found))
+
+    def near(self, prints: np.ndarray, owners: np.ndarray | None = None, reach: int = 0) -> list[tuple[int, int, int]]:
+        """(window, item, distance) of all pairs within the radius, and of those with ``owners`` within ``reach``."""
+        pairs = self.candidates(prints)
+        windows, items = pairs // len(self.ids), pairs % len(self.ids)
+        distance = hamming(prints[windows], self.prints[items])
+        close = distance <= self.radius
+        found = set(zip(windows[close].tolist(), items[close].tolist(), distance[close].tolist()))
+        if owners is not None and len(owners):
+            apart = hamming(prints[:, None], self.prints[owners][None, :])
+            window, at = np.nonzero(apart <= reach)
+            found.update(zip(window.tolist(), owners[at].tolist(), apart[window, at].tolist()))
+        return sorted(found)
 
 
 class Index:
     """One block of items: their shingles to find windows by, and their fingerprints by size."""
 
-    def __init__(self, rows: list[tuple[int, str]], size: int, radius: int):
-        self.size = size
+    def __init__(self, rows: list[tuple[int, str]], size: int, radius: int, reach: int):
+        self.size, self.reach = size, reach
         by_words: dict[int, tuple[list, list]] = {}
-        pairs = []
+        keys, lengths, places = [], [], []
         for item, text in rows:
             hashes = word_hashes(words(text))
             if not len(hashes):
                 continue
             shingles = shingle_hashes(hashes, size)
             ids, lists = by_words.setdefault(len(hashes), ([], []))
+            keys.append(np.unique(shingles))
+            lengths.append(np.full(len(keys[-1]), len(hashes)))
+            places.append(np.full(len(keys[-1]), len(ids)))
             ids.append(item)
             lists.append(shingles)
-            pairs += [(s, len(hashes)) for s in set(shingles.tolist())]
         self.sizes = {n: Items(ids, lists, radius) for n, (ids, lists) in by_words.items()}
-        pairs.sort()
-        self.keys = np.array([p[0] for p in pairs], np.uint64)
-        self.lengths = np.array([p[1] for p in pairs], np.int64)
+        none = np.zeros(0, np.int64)
+        self.keys, self.lengths, self.items = (np.concatenate([none.astype(t), *v]) for v, t in ((keys, np.uint64), (lengths, np.int64), (places, np.int64)))
+        order = np.lexsort((self.items, self.lengths, self.keys))
+        self.keys, self.lengths, self.items = self.keys[order], self.lengths[order], self.items[order]
         self.slots = np.zeros(_SLOTS, bool)
         self.slots[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.short = sorted(n for n in self.sizes if n < size)
 
-    def _places(self, shingles: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each item size, the places of shingles that an item of it has."""
+    def _places(self, shingles: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each item size, the places of shingles and the items of that size that own them, by place."""
         maybe = np.flatnonzero(self.slots[(shingles >> np.uint64(44)).astype(np.int64)])
-        low, high = (np.searchsorted(self.keys, shingles[maybe], side) for side in ("left", "right"))
-        hit = high > low
-        found: dict[int, set[int]] = {}
-        for place, a, b in zip(maybe[hit].tolist(), low[hit].tolist(), high[hit].tolist()):
-            for n in self.lengths[a:b].tolist():
-                found.setdefault(n, set()).add(place)
-        for n, places in found.items():
-            yield n, np.array(sorted(places))
+        at, row = _ranges(*(np.searchsorted(self.keys, shingles[maybe], side) for side in ("left", "right")))
+        places, lengths, items = maybe[at], self.lengths[row], self.items[row]
+        for n in np.unique(lengths).tolist():
+            yield n, places[lengths == n], items[lengths == n]
 
     def search(self, text: str, similarity: float) -> list[tuple[int, int, int, int, float]]:
         """The best window for each item in a text: item, first word, words, distance, similarity."""
@@ -127,19 +140,24 @@ class Index:
         for size, shingles in [(self.size, shingle_hashes(hashes, self.size)), *runs]:
             if not len(shingles):
                 continue
-            for n, places in self._places(shingles):
+            for n, places, owners in self._places(shingles):
                 if (n < self.size) != (size < self.size) and len(hashes) >= self.size:
                     continue
-                width = min(max(1, n - self.size + 1), len(shingles))
+                listed = self.sizes[n]
+                full = max(1, n - self.size + 1)
+                width = min(full, len(shingles))
+                # The smaller counts of a window and an item sum up to this at least if they are similar.
+                need = max(1, int(np.ceil(similarity * (width + full) / (1 + similarity) - 1e-9)))
                 cuts = np.flatnonzero(np.diff(places) > width) + 1
-                for cluster in np.split(places, cuts):
+                for cluster, owning in zip(np.split(places, cuts), np.split(owners, cuts)):
                     first = max(0, int(cluster[0]) - width + 1)
                     last = min(len(shingles) - width, int(cluster[-1]))
                     part = shingles[first : last + width]
-                    for window, item, distance in self.sizes[n].near(fingerprints(part, width)):
-                        got = weighted_similarity(part[window : window + width], self.sizes[n].shingles[item])
+                    items, met = np.unique(owning, return_counts=True)
+                    for window, item, distance in listed.near(fingerprints(part, width), items[met >= need], self.reach):
+                        got = weighted_similarity(part[window : window + width], listed.shingles[item])
                         row = (-got, first + window, min(n, len(hashes)), distance)
-                        name = self.sizes[n].ids[item]
+                        name = listed.ids[item]
                         if got >= similarity and (name not in best or row < best[name]):
                             best[name] = row
         return [(name, at, n, distance, -score) for name, (score, at, n, distance) in sorted(best.items())]
@@ -147,12 +165,12 @@ class Index:
 
 def contaminated(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *,
-    size: int = 5, similarity: float = 0.75, radius: int = 24, block_bytes: int = BLOCK_BYTES,
+    size: int = 5, similarity: float = 0.75, radius: int = 9, reach: int = 24, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, start_word, n_words, distance, similarity.
 
     The row tells the best window, the first of equals. Windows have the item's number of words,
-    or the whole text where it is shorter. A radius of 24 of 64 bits leaves out a window of
+    or the whole text where it is shorter. A reach of 24 of 64 bits leaves out a window of
     similarity 0.75 with a chance of about one in a hundred thousand. Null and empty texts and
     items match nothing; rows without a doc_id or item_id are left out; an item or document that
     repeats is reported once for each repeat of the document. Empty tables give an empty one. Other
@@ -169,7 +187,7 @@ def contaminated(
 
     def searching(shared):
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, size, radius)
+            index = Index(shared.value, size, radius, reach)
             for batch in batches:
                 rows = []
                 for node, value in zip(batch.column(0).to_pylist(), texts(batch.column(1))):

@@ -169,6 +169,34 @@ def test_simhash_blocks_find_all_within_the_radius():
     prints = np.concatenate([items.prints ^ np.uint64((1 << k) - 1) for k in range(0, 20, 3)])
     plain = {(w, i) for w, p in enumerate(prints.tolist()) for i, q in enumerate(items.prints.tolist()) if (p ^ q).bit_count() <= 9}
     assert {(w, i) for w, i, _ in items.near(prints)} == plain
+    owners = np.array([3, 17])
+    further = {(w, i) for w, p in enumerate(prints.tolist()) for i in (3, 17) if (p ^ items.prints.tolist()[i]).bit_count() <= 24}
+    assert {(w, i) for w, i, _ in items.near(prints, owners, 24)} == plain | further
+
+
+def test_simhash_blocks_leave_few_of_many_items():
+    """Of thousands of items of one size a window is compared with a tenth or so."""
+    rng = np.random.default_rng(6)
+    items = decontaminate.Items(list(range(4000)), list(rng.integers(0, 2**63, (4000, 20)).astype(np.uint64)), 9)
+    prints = decontaminate.fingerprints(rng.integers(0, 2**63, 319).astype(np.uint64), 20)
+    share = len(items.candidates(prints)) / (len(prints) * 4000)
+    assert share < 0.2
+    assert len(decontaminate.Items([0], [np.ones(3, np.uint64)], 9).near(np.zeros(0, np.uint64))) == 0
+
+
+def test_leaks_among_many_items_of_one_size():
+    """Thousands of items that begin alike: each planted one is found, changed ones too, as by comparing all."""
+    rng = random.Random(61)
+    start = [f"b{i}" for i in range(10)]
+    items = [(i, " ".join(start + [f"w{rng.randrange(10**6)}" for _ in range(30)])) for i in range(2000)]
+    index = decontaminate.Index(items, 5, 9, 24)
+    for case in range(60):
+        item = items[31 * case][1].split()
+        for at in rng.sample(range(12, 35), case % 2):
+            item[at] = "other"
+        text = [f"x{rng.randrange(10**6)}" for _ in range(30)] + item + start + [f"y{rng.randrange(10**6)}" for _ in range(30)]
+        (got,) = index.search(" ".join(text), 0.75)
+        assert got[:3] == (31 * case, 30, 40) and (got[4] == 1) == (case % 2 == 0)
 
 
 def test_fenwick_and_chains():
