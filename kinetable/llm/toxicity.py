@@ -180,14 +180,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     The labels are dealt by the hash of their id into parts of about that size, and one part is the
     sample. It is bounded, so it is broadcast to the documents, and its texts are read to the
     driver to train. A row without a label or an
-    id is not learnt from, and an id with several labels counts as the largest.
+    id is not learnt from, an id with several labels counts as the largest, and of several texts of an
+    id the smallest is learnt from.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = usable.groupBy(F.col(doc_id).alias("node")).agg(F.max(label).alias("label"))
     parts = max(1, -(-chosen.count() // sample))
     chosen = chosen.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0)
     slim = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
-    rows = slim.join(F.broadcast(chosen), "node").select("node", "label", "text").dropDuplicates(["node"]).orderBy("node").collect()
+    rows = slim.join(F.broadcast(chosen), "node").groupBy("node").agg(F.min("label").alias("label"), F.min("text").alias("text")).orderBy("node").collect()
     found, known = [r["text"] for r in rows], [int(r["label"]) for r in rows]
     del rows
     return train(found, known)
