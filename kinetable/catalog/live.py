@@ -14,7 +14,6 @@ from kinetable.streaming import operators as J
 PARTS = 3
 DAY = 86_400_000_000  # in microseconds
 ORDER = ["micros", "event_id"]
-SCHEMA = "user_id bigint, event_id bigint, micros bigint, event_type string, value double"
 
 
 def _events(spark, root):
@@ -38,9 +37,11 @@ def _feed(spark, rows, run, at="micros"):
         run(stream)
 
 
-def _drain(spark, rows, step, schema=None, at="micros"):
+def _drain(spark, rows, work, mode="append", at="micros"):
+    """Run the stream that ``work`` makes of the arrivals; its batches collect below the path returned."""
     path = scratch_path(spark, "stream")
-    _feed(spark, rows, lambda stream: M.drain(stream, path, step, schema), at)
+    with J.rocksdb_state(spark):
+        _feed(spark, rows, lambda stream: M.drain(work(stream), path, mode=mode), at)
     return path
 
 
@@ -49,8 +50,7 @@ _CUT = f"""{EVENTS}, d AS (SELECT *, (task = 'purchase')::INT AS cut FROM fe), n
 
 @query("j01_stream_assemble_episodes", f"WITH {_CUT} SELECT event_id, no AS episode_no, row_number() OVER (PARTITION BY episode_index, no ORDER BY frame_index) - 1 AS frame_index FROM n")
 def stream_assemble_episodes(spark, root):
-    step, schema = J.assemble_episodes("user_id", ORDER, F.col("event_type") == "purchase")
-    path = _drain(spark, _events(spark, root), step, schema)
+    path = _drain(spark, _events(spark, root), lambda stream: J.assemble_episodes(stream, "user_id", ORDER, F.col("event_type") == "purchase"))
     return M.output(spark, path).select("event_id", "episode_no", "frame_index")
 
 
@@ -72,10 +72,9 @@ def stream_gate(spark, root):
 
 @query("j03_stream_latest", f"WITH {EVENTS} SELECT user_id, arg_max(event_id, frame_index) AS event_id, arg_max(value, frame_index) AS value FROM fe GROUP BY 1")
 def stream_latest(spark, root):
-    path = scratch_path(spark, "latest")
     rows = _events(spark, root).withColumn("at", F.struct(*ORDER))
-    _feed(spark, rows, lambda stream: J.latest(stream, "user_id", "at", ["event_id", "value"], path, availableNow=True).awaitTermination())
-    return spark.read.parquet(f"{path}/out/{PARTS - 1}").select("user_id", "latest.event_id", "latest.value")
+    path = _drain(spark, rows, lambda stream: J.latest(stream, "user_id", "at", ["event_id", "value"]), "update")
+    return M.newest(spark, path, ["user_id"]).select("user_id", "latest.event_id", "latest.value")
 
 
 @query("j04_retain_last_n", f"WITH {EVENTS} SELECT event_id, value FROM fe WHERE frame_index >= length - 20")
@@ -86,9 +85,9 @@ def retain_last_n(spark, root):
 @query("j04_stream_retain", "SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 500")
 def stream_retain(spark, root):
     """A ring buffer of 500 rows over all sources."""
-    step, schema = J.retain_stream([], ORDER, 500, SCHEMA)
-    path = _drain(spark, _events(spark, root), step, schema)
-    return M.last_state(spark, path, PARTS).select("event_id", "value")
+    rows = _events(spark, root)
+    path = _drain(spark, rows, lambda stream: J.retain_stream(stream, [], ORDER, 500))
+    return J.retained(spark, f"{path}/progress", rows.schema, [], ORDER, 500).select("event_id", "value")
 
 
 # A click's value is an executed step; a row's step is its place plus its value.
@@ -109,45 +108,41 @@ def drop_late_actions(spark, root):
 
 @query("j05_stream_drop_late", f"WITH {_LATE} SELECT event_id, step FROM y WHERE step > latest")
 def stream_drop_late(spark, root):
-    step, schema = J.drop_late_stream("user_id", ORDER, "step", "executed")
-    path = _drain(spark, _late_rows(spark, root), step, schema)
+    path = _drain(spark, _late_rows(spark, root), lambda stream: J.drop_late_stream(stream, "user_id", ORDER, "step", "executed"))
     return M.output(spark, path).select("event_id", "step")
 
 
 @query("j06_stream_velocity", f"""WITH {EVENTS} SELECT event_id, round((value - coalesce(lag(value) OVER (PARTITION BY episode_index ORDER BY frame_index), value)) / 0.1::DOUBLE, 6) + 0.0 AS velocity, frame_index + 1 >= 40 AS truncated FROM fe""")
 def stream_velocity(spark, root):
-    step, schema = J.velocity_and_limit("user_id", ORDER, "value", 0.1, 40)
-    path = _drain(spark, _events(spark, root), step, schema)
+    path = _drain(spark, _events(spark, root), lambda stream: J.velocity_and_limit(stream, "user_id", ORDER, "value", 0.1, 40))
     return M.output(spark, path).select("event_id", tidy("velocity").alias("velocity"), "truncated")
 
 
 @query("j07_route_interventions", """SELECT event_id, 'online' AS "table" FROM events WHERE value >= 20 UNION ALL SELECT event_id, 'offline' FROM events WHERE value >= 20 AND event_type = 'error'""")
 def route_interventions(spark, root):
     rows = _events(spark, root).withColumn("state", F.array(F.when(F.col("value") < 20, F.lit(float("nan"))).otherwise(F.col("value"))))
-    path = _drain(spark, rows, J.route_interventions(["state"], F.col("event_type") == "error"))
+    path = _drain(spark, rows, lambda stream: J.route_interventions(stream, ["state"], F.col("event_type") == "error"))
     return M.output(spark, path).select("event_id", "table")
 
 
 @query("j08_stream_stats", "SELECT 'value' AS feature, count(*) AS count, min(value) AS min, max(value) AS max, round(avg(value), 7) AS mean, round(stddev_pop(value), 7) AS std FROM events")
 def stream_stats(spark, root):
-    step, schema = J.stream_stats(["value"])
-    path = _drain(spark, _events(spark, root), step, schema)
-    return M.last_state(spark, path, PARTS).select("feature", "count", "min", "max", tidy("mean", 7).alias("mean"), tidy("std", 7).alias("std"))
+    path = _drain(spark, _events(spark, root), lambda stream: J.stream_stats(stream, ["value"]), "update")
+    return M.newest(spark, path, ["feature", "dim"]).select("feature", "count", "min", "max", tidy("mean", 7).alias("mean"), tidy("std", 7).alias("std"))
 
 
 @query("j09_stream_latency", """WITH k AS (SELECT user_id, event_id, value - 20 AS lat, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE value >= 20),
   r AS (SELECT *, list(lat) OVER w AS recent, max(lat) OVER (PARTITION BY user_id ORDER BY n) AS top FROM k WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
   SELECT event_id, round(list_aggregate(recent, 'quantile_cont', 0.95), 4) AS p95, round(top, 4) AS p100, len(recent) AS window_rows FROM r""")
 def stream_latency(spark, root):
-    step, schema = J.stream_latency("user_id", ORDER, "latency", 10, {"p95": 0.95, "p100": 1})
-    path = _drain(spark, _events(spark, root).withColumn("latency", F.col("value") - 20), step, schema)
+    rows = _events(spark, root).withColumn("latency", F.col("value") - 20)
+    path = _drain(spark, rows, lambda stream: J.stream_latency(stream, "user_id", ORDER, "latency", 10, {"p95": 0.95, "p100": 1}))
     return M.output(spark, path).select("event_id", tidy("p95", 4).alias("p95"), tidy("p100", 4).alias("p100"), "window_rows")
 
 
 @query("j09_stream_fps", f"""WITH {EVENTS} SELECT event_id, round(CASE WHEN "timestamp" > 1e-6 THEN frame_index / "timestamp" ELSE 0 END, 9) AS fps FROM fe""")
 def stream_fps(spark, root):
-    step, schema = J.stream_fps("user_id", ORDER, "micros", 1e6)
-    path = _drain(spark, _events(spark, root), step, schema)
+    path = _drain(spark, _events(spark, root), lambda stream: J.stream_fps(stream, "user_id", ORDER, "micros", 1e6))
     return M.output(spark, path).select("event_id", tidy("achieved_fps", 9).alias("fps"))
 
 
@@ -159,9 +154,7 @@ _AT = "PARTITION BY episode_index ORDER BY frame_index"
 def read_frames_stream(spark, root):
     frames, _ = event_frames(spark, root)
     rows = frames.select("episode_index", "frame_index", "event_id", "micros", "value", (F.col("frame_index") == F.col("length") - 1).alias("is_last"))
-    schema = "episode_index bigint, frame_index bigint, event_id bigint, micros bigint, value double, is_last boolean"
-    step, state = J.read_frames_stream({"value": [-2, 0, 1, 3]}, schema)
-    path = _drain(spark, rows, step, state)
+    path = _drain(spark, rows, lambda stream: J.read_frames_stream(stream, {"value": [-2, 0, 1, 3]}))
     out = M.output(spark, path)
     at = lambda c, i: F.get(c, F.lit(i))
     return out.select("event_id", at("value_window", 0).alias("v_m2"), at("value_window", 3).alias("v_p3"), at("value_is_pad", 0).alias("pad_m2"), at("value_is_pad", 3).alias("pad_p3"))

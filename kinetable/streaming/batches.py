@@ -1,59 +1,46 @@
-"""Micro-batches with a state table.
+"""Streams that are written batch by batch.
 
-A stateful operator is a function of one batch and the state left by the batch before it. It
-uses the batch operators, so a hot key inside a batch is cut into segments like any other.
-State and output are written per batch number and overwritten when a batch is replayed,
-which makes a restart after a lost executor or driver exact.
+The output of a micro-batch is written under its number and overwritten when the batch is replayed, which
+makes a restart after a lost executor or driver exact. State is never kept here: that is the state
+store's part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame | None, DataFrame | None]]
+Step = Callable[[DataFrame], DataFrame]
 
 
-def _state_before(spark: SparkSession, path: str, batch: int, schema) -> DataFrame | None:
-    return None if batch == 0 or schema is None else spark.read.schema(schema).parquet(f"{path}/state/{batch - 1}")
+def start(stream: DataFrame, path: str, step: Step | None = None, *, mode: str = "append", **trigger) -> StreamingQuery:
+    """Write the rows of every micro-batch, or ``step`` of them, below ``path/out``.
 
-
-def start(stream: DataFrame, path: str, step: Step, state_schema=None, **trigger) -> StreamingQuery:
-    """Run ``step(batch, state) -> (output, state)`` for every micro-batch of a stream.
-
-    ``path`` is in shared storage; output collects under ``path/out``. ``state_schema`` is None
-    for a stateless step.
+    ``path`` is in shared storage. In ``update`` mode a batch writes the keys that it changed; ``newest``
+    reads the last row of each.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        output, state = step(batch, _state_before(spark, path, number, state_schema))
-        if state is not None:
-            state.write.mode("overwrite").parquet(f"{path}/state/{number}")
-        if output is not None:
-            output.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
-
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/progress")
+        (step(batch) if step else batch).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", f"{path}/progress")
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def drain(stream: DataFrame, path: str, step: Step, state_schema=None) -> None:
+def drain(stream: DataFrame, path: str, step: Step | None = None, *, mode: str = "append") -> None:
     """Process what is available and stop."""
-    start(stream, path, step, state_schema, availableNow=True).awaitTermination()
+    start(stream, path, step, mode=mode, availableNow=True).awaitTermination()
 
 
 def output(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
-def last_state(spark: SparkSession, path: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/state/{batches - 1}")
-
-
-def carried(state: DataFrame | None, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """State rows of the keys seen now replace the old ones; other keys keep theirs."""
-    if state is None:
-        return fresh
-    return state.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+def newest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last row written for each key."""
+    rows = spark.read.parquet(f"{path}/out")
+    rest = [F.col(c) for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")

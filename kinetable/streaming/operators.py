@@ -1,6 +1,9 @@
 """Stateful operators over live frames; each equals its batch twin on the whole input.
 
-Rows of one source arrive in order: no batch holds a row older than an earlier batch.
+Rows of one source arrive in order: no batch holds a row older than an earlier batch. State is kept
+by Spark in its state store, one small value or a short list a source, so the streams need the
+RocksDB store (``rocksdb_state``). A task sorts the rows of one source in one batch, so bound the
+batch with the trigger options of the source.
 """
 
 from __future__ import annotations
@@ -12,59 +15,105 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.query import StreamingQuery
 
+from kinetable.functions.names import named
 from kinetable.operators import stats as S
-from kinetable.operators import windows as W
 from kinetable.operators.validate import drop_nan_rows
-from kinetable.plans.segments import bounded, number_rows, running, segment_rows, spread_join
-from kinetable.streaming.batches import Step, carried
+from kinetable.plans.segments import number_rows, running, segment_rows
 
 POS = "_pos"
 
 
-def _with_state(rows: DataFrame, state: DataFrame | None, key: str, defaults: dict[str, Column]) -> DataFrame:
-    """Numbered rows of a batch with the state of their key, or the defaults for a new key."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    if state is None:
-        sizes = sizes.withColumns(defaults)
-    else:
-        sizes = sizes.join(state, key, "left").withColumns({n: F.coalesce(F.col(n), d) for n, d in defaults.items()})
-    return spread_join(rows, sizes, key, POS, "_rows")
+def _plain(value):
+    """A value of a pandas row as the state store takes it."""
+    if isinstance(value, np.ndarray):
+        return [_plain(v) for v in value]
+    if isinstance(value, np.generic):
+        value = value.item()
+    return None if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value) else value
 
 
-def assemble_episodes(source: str, order: Sequence[str], end: Column) -> tuple[Step, str]:
-    """Number live frames: ``episode_no`` and ``frame_index`` per source; an end flag closes the episode."""
-    schema = f"{source} bigint, next_episode bigint, next_frame bigint"
-    zero = F.lit(0).cast("bigint")
+def _whole(rows: Iterator[pd.DataFrame], columns: Sequence[str]) -> pd.DataFrame:
+    """The rows of a key in one frame, with their column names, which computed columns do not keep on the way."""
+    return pd.concat([pdf.set_axis(columns, axis=1) for pdf in rows], ignore_index=True)
+
+
+def _as_text(stream: DataFrame, read: Sequence[str]) -> tuple[DataFrame, dict[str, T.DataType]]:
+    """Whole numbers that a processor does not read as text, as pandas rounds those beside nulls; and their types."""
+    kinds = {f.name: f.dataType for f in stream.schema.fields if isinstance(f.dataType, T.IntegralType) and f.name not in read}
+    return stream.withColumns({n: named(n).cast("string") for n in kinds}), kinds
+
+
+def _typed(rows: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
+    return rows.withColumns({n: named(n).cast(kind) for n, kind in kinds.items()})
+
+
+class InOrder(StatefulProcessor):
+    """Works on the rows of one source in order, with one value that it keeps from batch to batch.
+
+    ``work`` takes the rows and the kept value, None at the start, and gives the output and the value
+    to keep. ``state`` is the value's schema and ``read`` are the columns it reads beside the order.
+    Whole numbers among those are exact up to 2^53 where a batch holds nulls.
+    """
+
+    state = ""
+    read: tuple[str, ...] = ()
+    columns: list[str] = []
+
+    def __init__(self, order: Sequence[str]) -> None:
+        self.order = list(order)
 
-    def step(batch: DataFrame, state: DataFrame | None):
-        rows = number_rows(batch.withColumn("_end", F.coalesce(end, F.lit(False))), [source], order, POS)
-        rows = W.episodes_from_done(rows, source, POS, F.col("_end"))
-        rows = _with_state(rows, state, source, {"next_episode": zero, "next_frame": zero})
-        rows = rows.withColumns({
-            "frame_index": F.col("step") + F.when(F.col("episode_no") == 0, F.col("next_frame")).otherwise(0),
-            "episode_no": F.col("episode_no") + F.col("next_episode"),
-        })
-        tail = rows.groupBy(source).agg(F.max_by(F.struct("episode_no", "frame_index", "_end"), POS).alias("t"))
-        fresh = tail.select(
-            source, (F.col("t.episode_no") + F.col("t._end").cast("bigint")).alias("next_episode"),
-            F.when(F.col("t._end"), 0).otherwise(F.col("t.frame_index") + 1).cast("bigint").alias("next_frame"))
-        return rows.drop(POS, "_end", "_rows", "step", "next_episode", "next_frame"), carried(state, fresh, [source])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", self.state)
+
+    def work(self, pdf: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _whole(rows, self.columns).sort_values(self.order, kind="stable", na_position="first", ignore_index=True)
+        out, kept = self.work(pdf, tuple(self.kept.get()) if self.kept.exists() else None)
+        self.kept.update(tuple(_plain(v) for v in kept))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _processed(stream: DataFrame, keys: Sequence[str], processor: InOrder, added: str = "", *, dropped: Sequence[str] = ()) -> DataFrame:
+    """Rows of each key through a processor that adds columns and leaves out others."""
+    processor.columns = stream.columns
+    stream, kinds = _as_text(stream, [*keys, *processor.order, *processor.read])
+    fields = [f for f in stream.schema.fields if f.name not in dropped] + (T._parse_datatype_string(added).fields if added else [])
+    out = stream.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="None")
+    return _typed(out, kinds)
 
-    return step, schema
 
+class Assemble(InOrder):
+    state = "next_episode bigint, next_frame bigint"
 
-def latest(stream: DataFrame, source: str, step: str, columns: Sequence[str], path: str, **trigger) -> StreamingQuery:
-    """Keep only the newest item of each source; the table under ``path/out`` is rewritten per batch."""
-    newest = stream.groupBy(source).agg(F.max_by(F.struct(*columns), step).alias("latest"))
+    def work(self, pdf, kept):
+        episode, frame = kept or (0, 0)
+        end = pdf.pop("_end").to_numpy(bool)
+        place = np.arange(len(pdf))
+        number = np.cumsum(end) - end  # ends before the row
+        starts = np.r_[0, np.flatnonzero(end) + 1][number]
+        pdf["episode_no"] = episode + number
+        pdf["frame_index"] = place - starts + np.where(number == 0, frame, 0)
+        return pdf, (episode + int(end.sum()), 0 if end[-1] else int(pdf["frame_index"].iloc[-1]) + 1)
+
+
+def assemble_episodes(stream: DataFrame, source: str, order: Sequence[str], end: Column) -> DataFrame:
+    """Number live frames: ``episode_no`` and ``frame_index`` per source; an end flag closes the episode."""
+    flagged = stream.withColumn("_end", F.coalesce(end, F.lit(False)))
+    return _processed(flagged, [source], Assemble(order), "episode_no bigint, frame_index bigint", dropped=["_end"])
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/{number}")
 
-    writer = newest.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/progress")
-    return (writer.trigger(**trigger) if trigger else writer).start()
+def latest(stream: DataFrame, source: str, step: str, columns: Sequence[str]) -> DataFrame:
+    """The newest item of each source; write the changed sources of a batch with ``batches.update``."""
+    return stream.groupBy(source).agg(F.max_by(F.struct(*columns), step).alias("latest"))
 
 
 #: Parts of a key whose last rows are found apart.
@@ -94,13 +143,49 @@ def retain_last_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ca
     return placed.filter(F.col(POS) >= F.col("_n") - capacity).drop(POS, "_n")
 
 
-def retain_stream(keys: Sequence[str], order: Sequence[str], capacity: int, schema: str) -> tuple[Step, str]:
-    """A ring buffer: the state is the retained rows."""
-    def step(batch: DataFrame, state: DataFrame | None):
-        every = batch if state is None else state.unionByName(batch)
-        return None, retain_last_n(every, keys, order, capacity)
+class Ring(StatefulProcessor):
+    """The last rows of a part of a key, kept as a list."""
 
-    return step, schema
+    def __init__(self, schema: str, columns: Sequence[str], order: Sequence[str], capacity: int) -> None:
+        self.schema, self.columns, self.order, self.capacity = schema, list(columns), list(order), capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        for pdf in rows:  # at most the capacity and one Arrow batch at once
+            named_rows = pdf.set_axis([*self.columns, "_salt"], axis=1)[self.columns]
+            held += [tuple(map(_plain, r)) for r in named_rows.astype(object).itertuples(index=False, name=None)]
+            held = self._last(held)
+        self.rows.put(held)
+        yield pd.DataFrame({"kept": [len(held)]})
+
+    def _last(self, held: list[tuple]) -> list[tuple]:
+        at = [self.columns.index(c) for c in self.order]
+        return sorted(held, key=lambda r: [(r[i] is not None, r[i]) for i in at])[-self.capacity :]
+
+    def close(self) -> None:
+        pass
+
+
+def retain_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str], capacity: int) -> DataFrame:
+    """Keep the last ``capacity`` rows of each key (of all rows without keys) in the state store.
+
+    A key is dealt to parts that keep ``capacity`` rows each, so a hot key, or no key at all, is not one
+    task. The stream tells how many rows the touched parts hold; ``retained`` reads the rows.
+    """
+    stream, _ = _as_text(stream, order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    columns, salted = stream.columns, stream.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(RETAIN_SALTS)))
+    return salted.groupBy(*keys, "_salt").transformWithStateInPandas(
+        statefulProcessor=Ring(schema, columns, order, capacity), outputStructType="kept bigint", outputMode="Append", timeMode="None")
+
+
+def retained(spark: SparkSession, checkpoint: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str], capacity: int) -> DataFrame:
+    """The rows that ``retain_stream`` keeps of a stream of ``schema``, read from the state of its checkpoint."""
+    rows = spark.read.format("statestore").option("stateVarName", "rows").load(checkpoint).select("list_element.*")
+    return retain_last_n(_typed(rows, {f.name: f.dataType for f in schema.fields}), keys, order, capacity)
 
 
 def drop_late_actions(rows: DataFrame, source: str, pos: str, step: str, executed: str) -> DataFrame:
@@ -109,110 +194,189 @@ def drop_late_actions(rows: DataFrame, source: str, pos: str, step: str, execute
     return known.filter(F.coalesce(F.col(step) > F.col("_latest"), F.lit(True))).drop("_latest")
 
 
-def drop_late_stream(source: str, order: Sequence[str], step_column: str, executed: str) -> tuple[Step, str]:
-    def step(batch: DataFrame, state: DataFrame | None):
-        rows = number_rows(batch, [source], order, POS)
-        rows = _with_state(rows, state, source, {"latest": F.lit(-1).cast("bigint")})
-        rows = running(rows, [source], POS, {"_latest": ("max", F.greatest(F.col(executed), F.col("latest")))})
-        fresh = rows.groupBy(source).agg(F.max("_latest").alias("latest"))
-        kept = rows.filter(F.col(step_column) > F.col("_latest")).drop(POS, "_rows", "latest", "_latest")
-        return kept, carried(state, fresh, [source])
+class DropLate(InOrder):
+    state = "latest bigint"
 
-    return step, f"{source} bigint, latest bigint"
+    def __init__(self, order: Sequence[str], step: str, executed: str) -> None:
+        super().__init__(order)
+        self.step, self.executed, self.read = step, executed, (step, executed)
 
+    def work(self, pdf, kept):
+        told = pdf[self.executed].fillna(-1).to_numpy(np.int64)
+        known = np.maximum.accumulate(np.r_[kept[0] if kept else -1, told])[1:]
+        step = pdf[self.step]
+        return pdf[(step.notna() & (step.fillna(0).to_numpy(np.int64) > known)).to_numpy()], (known[-1],)
 
-def velocity_and_limit(source: str, order: Sequence[str], value: str, dt: float, steps: int) -> tuple[Step, str]:
-    """Add ``velocity`` (0 at the start) and ``truncated`` (once the step count reaches ``steps``)."""
-    def step(batch: DataFrame, state: DataFrame | None):
-        rows = number_rows(batch, [source], order, POS)
-        rows = _with_state(rows, state, source, {"last_value": F.lit(None).cast("double"), "seen": F.lit(0).cast("bigint")})
-        rows = bounded(rows, [source], POS, 1, 0, lambda w: {"_before": F.lag(value, 1).over(w)})
-        before = F.coalesce(F.col("_before"), F.col("last_value"), F.col(value))
-        rows = rows.withColumns({
-            "velocity": (F.col(value) - before) / F.lit(dt), "truncated": F.col("seen") + F.col(POS) + 1 >= steps, "_count": F.col("seen") + F.col(POS) + 1})
-        fresh = rows.groupBy(source).agg(F.max_by(value, POS).alias("last_value"), F.max("_count").alias("seen"))
-        return rows.drop(POS, "_rows", "last_value", "seen", "_before", "_count"), carried(state, fresh, [source])
 
-    return step, f"{source} bigint, last_value double, seen bigint"
+def drop_late_stream(stream: DataFrame, source: str, order: Sequence[str], step: str, executed: str) -> DataFrame:
+    """``drop_late_actions`` on a stream; actions without a step go."""
+    return _processed(stream, [source], DropLate(order, step, executed))
 
 
-def route_interventions(vectors: Sequence[str], intervening: Column) -> Step:
-    """NaN rows go; every other row lands in the online table, intervened ones in the offline table too."""
-    def step(batch: DataFrame, state: DataFrame | None):
-        clean = drop_nan_rows(batch, vectors)
-        online = clean.withColumn("table", F.lit("online"))
-        return online.unionByName(clean.filter(intervening).withColumn("table", F.lit("offline"))), None
+class Velocity(InOrder):
+    state = "last_value double, seen bigint"
+
+    def __init__(self, order: Sequence[str], value: str, dt: float, steps: int) -> None:
+        super().__init__(order)
+        self.value, self.dt, self.steps, self.read = value, dt, steps, (value,)
+
+    def work(self, pdf, kept):
+        last, seen = kept or (None, 0)
+        value = pdf[self.value].to_numpy(float)
+        before = np.r_[np.nan if last is None else last, value[:-1]]
+        speed = (value - np.where(np.isnan(before), value, before)) / self.dt
+        pdf["velocity"] = pd.Series(speed).astype(object).where(~np.isnan(speed), None)
+        pdf["truncated"] = seen + np.arange(1, len(pdf) + 1) >= self.steps
+        return pdf, (value[-1], seen + len(pdf))
+
+
+def velocity_and_limit(stream: DataFrame, source: str, order: Sequence[str], value: str, dt: float, steps: int) -> DataFrame:
+    """Add ``velocity`` (0 at the start) and ``truncated`` (once the step count reaches ``steps``)."""
+    return _processed(stream, [source], Velocity(order, value, dt, steps), "velocity double, truncated boolean")
 
-    return step
 
+def route_interventions(stream: DataFrame, vectors: Sequence[str], intervening: Column) -> DataFrame:
+    """NaN rows go; every other row lands in the online table, intervened ones in the offline table too."""
+    tables = F.when(intervening, F.array(F.lit("online"), F.lit("offline"))).otherwise(F.array(F.lit("online")))
+    return drop_nan_rows(stream, vectors).withColumn("table", F.explode(tables))
+
+
+def stream_stats(stream: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Count, extremes, mean and deviation of each feature and dimension over all batches; a running aggregate."""
+    value = F.col("value")
+    return S.to_series(stream, [], features).groupBy("feature", "dim").agg(
+        F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+class Latency(InOrder):
+    state = "recent array<double>, top double"
+
+    def __init__(self, order: Sequence[str], latency: str, size: int, quantiles: dict[str, float]) -> None:
+        super().__init__(order)
+        self.latency, self.size, self.quantiles, self.read = latency, size, quantiles, (latency,)
+
+    def _recent(self, values: np.ndarray, first: int) -> dict[str, np.ndarray]:
+        """Window quantiles of the values from place ``first`` on."""
+        inner = {n: max(q, 0.0) for n, q in self.quantiles.items() if q < 1}
+        out = {n: np.empty(len(values) - first) for n in inner}
+        short = min(len(values), self.size - 1)
+        for at in range(first, short):
+            for n, q in inner.items():
+                out[n][at - first] = np.quantile(values[: at + 1], q)
+        step = max(1, (1 << 21) // self.size)
+        for low in range(max(first, short), len(values), step):
+            high = min(len(values), low + step)
+            view = np.lib.stride_tricks.sliding_window_view(values[low - self.size + 1 : high], self.size)
+            for n, q in inner.items():
+                out[n][low - first : high - first] = np.quantile(view, q, axis=1)
+        return out
+
+    def work(self, pdf, kept):
+        recent, top = kept or ([], -np.inf)
+        values = np.r_[np.asarray(recent, float), pdf[self.latency].to_numpy(float)]
+        first = len(values) - len(pdf)
+        tops = np.maximum.accumulate(np.r_[top, values[first:]])[1:]
+        found = self._recent(values, first)
+        for name, q in self.quantiles.items():
+            pdf[name] = tops if q >= 1 else found[name]
+        pdf["window_rows"] = np.minimum(np.arange(first, len(values)) + 1, self.size)
+        pdf["latency_max"] = tops
+        return pdf, (values[max(0, len(values) - self.size + 1) :], tops[-1])
+
+
+def stream_latency(stream: DataFrame, source: str, order: Sequence[str], latency: str, size: int, quantiles: dict[str, float]) -> DataFrame:
+    """Percentiles over the last ``size`` latencies and the all-time maximum; negatives are dropped.
+
+    A quantile of 1 or more is the maximum, of 0 or less the window minimum. The state is the last latencies.
+    """
+    added = ", ".join([*[f"`{n}` double" for n in quantiles], "window_rows bigint", "latency_max double"])
+    return _processed(stream.filter(F.col(latency) >= 0), [source], Latency(order, latency, size, quantiles), added)
 
-def stream_stats(features: Sequence[str]) -> tuple[Step, str]:
-    """The state is the merged statistics of all batches."""
-    def step(batch: DataFrame, state: DataFrame | None):
-        fresh = S.feature_stats(S.to_series(batch, [], features))
-        return None, fresh if state is None else S.update_stats(state.drop("batch"), fresh)
 
-    return step, "feature string, dim int, count bigint, min double, max double, mean double, std double"
+class Fps(InOrder):
+    state = "t0 double, seen bigint"
 
+    def __init__(self, order: Sequence[str], time: str, per_second: float) -> None:
+        super().__init__(order)
+        self.time, self.per_second, self.read = time, per_second, (time,)
 
-def stream_latency(source: str, order: Sequence[str], latency: str, size: int, quantiles: dict[str, float]) -> tuple[Step, str]:
-    """Percentiles over the last ``size`` latencies and the all-time maximum; the state is those latencies."""
-    kept = [source, *order, latency]
+    def work(self, pdf, kept):
+        t0, seen = kept or (float(pdf[self.time].iloc[0]), 0)
+        spent = (pdf[self.time].to_numpy(float) - t0) / self.per_second
+        before = seen + np.arange(len(pdf))
+        pdf["achieved_fps"] = np.where(spent > 1e-6, before / np.where(spent > 1e-6, spent, 1.0), 0.0)
+        return pdf, (t0, seen + len(pdf))
 
-    def step(batch: DataFrame, state: DataFrame | None):
-        rows = batch.filter(F.col(latency) >= 0).select(*kept).withColumns({"_old": F.lit(False), "_top": F.col(latency)})
-        if state is not None:
-            rows = state.withColumn("_old", F.lit(True)).unionByName(rows)
-        rows = number_rows(rows, [source], order, "pos")
-        rows = running(rows, [source], "pos", {"top": ("max", F.col("_top"))})
-        out = W.latency_window(rows, source, "pos", latency, size, {n: q for n, q in quantiles.items() if q < 1})
-        out = out.withColumns({"latency_max": F.col("top"), **{n: F.col("top") for n, q in quantiles.items() if q >= 1}})
-        memory = retain_last_n(rows.select(*kept, F.col("top").alias("_top")), [source], order, size)
-        return out.filter(~F.col("_old")).drop("_old", "_top", "pos", "top"), memory
 
-    return step, ", ".join([f"{source} bigint", *[f"{o} bigint" for o in order], f"{latency} double", "_top double"])
+def stream_fps(stream: DataFrame, source: str, order: Sequence[str], time: str, per_second: float = 1.0) -> DataFrame:
+    """Add ``achieved_fps`` since the first row of the source; ``time`` counts ``per_second`` units a second."""
+    return _processed(stream, [source], Fps(order, time, per_second), "achieved_fps double")
 
 
-def stream_fps(source: str, order: Sequence[str], time: str, per_second: float = 1.0) -> tuple[Step, str]:
-    """Average rate since the first row of the source; ``time`` counts ``per_second`` units a second."""
-    def step(batch: DataFrame, state: DataFrame | None):
-        rows = number_rows(batch, [source], order, POS)
-        firsts = rows.groupBy(source).agg(F.min_by(F.col(time).cast("double"), POS).alias("_first"))
-        rows = _with_state(rows, state, source, {"t0": F.lit(None).cast("double"), "seen": F.lit(0).cast("bigint")})
-        sizes = rows.groupBy(source).agg(F.max("_rows").alias("_r")).join(firsts, source)
-        rows = spread_join(rows, sizes, source, POS, "_r").withColumn("t0", F.coalesce("t0", "_first"))
-        spent, before = (F.col(time) - F.col("t0")) / F.lit(per_second), F.col("seen") + F.col(POS)
-        rows = rows.withColumns({"achieved_fps": F.when(spent > 1e-6, before / spent).otherwise(0.0), "_count": before + 1})
-        fresh = rows.groupBy(source).agg(F.min("t0").alias("t0"), F.max("_count").alias("seen"))
-        return rows.drop(POS, "_rows", "_r", "_first", "t0", "seen", "_count"), carried(state, fresh, [source])
+class Windows(InOrder):
+    """Delta windows of one episode: the state is the frames that wait and the look-back they need."""
 
-    return step, f"{source} bigint, t0 double, seen bigint"
+    def __init__(self, deltas: dict[str, Sequence[int]], schema: str, pad: str) -> None:
+        super().__init__(["frame_index"])
+        self.deltas, self.schema, self.pad = deltas, schema, pad
+        every = [d for offsets in deltas.values() for d in offsets]
+        self.back, self.ahead = max(0, -min(every)), max(0, max(every))
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.frames = handle.getListState("frames", self.schema)
+
+    def _from(self, at: np.ndarray, offsets: Sequence[int], count: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each frame and offset the place whose value is taken, and whether it stands in for a missing one."""
+        places = at[:, None] + np.asarray(offsets)[None, :]
+        missing = (places < 0) | (places >= count)
+        if self.pad == "clamp":
+            return np.clip(places, 0, count - 1), missing
+        for side in (sorted((d for d in offsets if d < 0), reverse=True), sorted(d for d in offsets if d > 0)):
+            before = at
+            for d in side:
+                k = list(offsets).index(d)
+                before = np.where(missing[:, k], before, places[:, k])
+                places[:, [i for i, o in enumerate(offsets) if o == d]] = before[:, None]
+        return places, missing
 
-def read_frames_stream(deltas: dict[str, Sequence[int]], schema: str, pad: str = "last_valid") -> tuple[Step, str]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = _whole(rows, self.columns)
+        held = [tuple(r) for r in self.frames.get()] if self.frames.exists() else []
+        pdf = pd.DataFrame(held, columns=[*self.columns, "_sent"]).astype(object)
+        pdf = pd.concat([pdf, fresh.assign(_sent=False).astype(object)], ignore_index=True).sort_values("frame_index", kind="stable", ignore_index=True)
+        number, sent = pdf["frame_index"].to_numpy(np.int64), pdf["_sent"].to_numpy(bool)
+        closed = any(v is True or v == 1 for v in map(_plain, pdf["is_last"]))
+        ready = closed | (number + self.ahead <= number[-1])
+        at = np.flatnonzero(ready & ~sent)
+        out = pdf.loc[at, self.columns].reset_index(drop=True)
+        for name, offsets in self.deltas.items():
+            places, missing = self._from(at, offsets, len(pdf))
+            values = [_plain(v) for v in pdf[name]]
+            out[f"{name}_window"] = [[values[i] for i in row] for row in places.tolist()]
+            out[f"{name}_is_pad"] = missing.tolist()
+        pdf["_sent"] = sent | ready
+        left = pdf[(number > number[-1] - self.ahead - self.back) & (not closed)]
+        if len(left):
+            self.frames.put([tuple(map(_plain, r)) for r in left.itertuples(index=False, name=None)])
+        else:
+            self.frames.clear()
+        yield out
+
+
+def read_frames_stream(stream: DataFrame, deltas: dict[str, Sequence[int]], pad: str = "last_valid") -> DataFrame:
     """Delta windows over a live frame stream, each frame once its look-ahead is there.
 
-    The state holds the frames still waiting and the look-back they need. A frame is ready when
-    the frame ``ahead`` places later has come, or its episode has closed: ``is_last`` marks the
-    last frame.
+    A frame is ready when the frame ``ahead`` places later has come, or its episode has closed:
+    ``is_last`` marks the last frame, after which an episode's state is empty.
     """
-    every = [d for offsets in deltas.values() for d in offsets]
-    back, ahead = max(0, -min(every)), max(0, max(every))
-
-    def step(batch: DataFrame, state: DataFrame | None):
-        rows = batch.withColumn("_sent", F.lit(False))
-        if state is not None:
-            rows = state.unionByName(rows)
-        tops = rows.groupBy("episode_index").agg(F.max("frame_index").alias("_top"), F.bool_or("is_last").alias("_closed"))
-        tops = tops.withColumn("_length", F.col("_top") + 1)
-        rows = spread_join(rows, tops, "episode_index", "frame_index", "_length")
-        ready = F.col("_closed") | (F.col("frame_index") + ahead <= F.col("_top"))
-        windows = W.delta_window(rows, deltas, pad).filter(ready & ~F.col("_sent"))
-        keep = ~F.col("_closed") & (F.col("frame_index") > F.col("_top") - ahead - back)
-        memory = rows.filter(keep).withColumn("_sent", F.col("_sent") | ready).drop("_top", "_closed", "_length")
-        return windows.drop("_sent", "_top", "_closed", "_length"), memory
-
-    return step, f"{schema}, _sent boolean"
+    if pad not in ("clamp", "last_valid"):
+        raise ValueError(f"unknown pad {pad!r}")
+    stream, kinds = _as_text(stream, ["episode_index", "frame_index"])
+    held = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    schema = ", ".join([*[f"`{n}` {k}" for n, k in held.items()], "_sent boolean"])
+    added = ", ".join(f"`{n}_window` array<{held[n]}>, `{n}_is_pad` array<boolean>" for n in deltas)
+    out = _processed(stream, ["episode_index"], Windows(deltas, schema, pad), added)
+    return _typed(out, kinds | {f"{n}_window": T.ArrayType(kinds[n]) for n in deltas if n in kinds})
 
 
 class Gate(StatefulProcessor):
