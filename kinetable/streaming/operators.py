@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -37,7 +37,13 @@ def _plain(value):
 
 def _whole(rows: Iterator[pd.DataFrame], columns: Sequence[str]) -> pd.DataFrame:
     """The rows of a key in one frame, with their column names, which computed columns do not keep on the way."""
-    return pd.concat([pdf.set_axis(columns, axis=1) for pdf in rows], ignore_index=True)
+    return pd.concat([pdf.iloc[:, : len(columns)].set_axis(columns, axis=1) for pdf in rows], ignore_index=True)
+
+
+def _keyed(stream: DataFrame, keys: Sequence[str], *more: Column) -> GroupedData:
+    """Groups by a text of the keys, in which null is a key like any other."""
+    key = F.to_json(F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)], *more))
+    return stream.withColumn("_key", key).groupBy("_key")
 
 
 def _as_text(stream: DataFrame, read: Sequence[str]) -> tuple[DataFrame, dict[str, T.DataType]]:
@@ -86,7 +92,7 @@ def _processed(stream: DataFrame, keys: Sequence[str], processor: InOrder, added
     processor.columns = stream.columns
     stream, kinds = _as_text(stream, [*keys, *processor.order, *processor.read])
     fields = [f for f in stream.schema.fields if f.name not in dropped] + (T._parse_datatype_string(added).fields if added else [])
-    out = stream.groupBy(*keys).transformWithStateInPandas(
+    out = _keyed(stream, keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="None")
     return _typed(out, kinds)
 
@@ -155,8 +161,7 @@ class Ring(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
         for pdf in rows:  # at most the capacity and one Arrow batch at once
-            named_rows = pdf.set_axis([*self.columns, "_salt"], axis=1)[self.columns]
-            held += [tuple(map(_plain, r)) for r in named_rows.astype(object).itertuples(index=False, name=None)]
+            held += [tuple(map(_plain, r)) for r in _whole([pdf], self.columns).astype(object).itertuples(index=False, name=None)]
             held = self._last(held)
         self.rows.put(held)
         yield pd.DataFrame({"kept": [len(held)]})
@@ -177,9 +182,9 @@ def retain_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     stream, _ = _as_text(stream, order)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    columns, salted = stream.columns, stream.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(RETAIN_SALTS)))
-    return salted.groupBy(*keys, "_salt").transformWithStateInPandas(
-        statefulProcessor=Ring(schema, columns, order, capacity), outputStructType="kept bigint", outputMode="Append", timeMode="None")
+    salt = F.pmod(F.xxhash64(*order), F.lit(RETAIN_SALTS)).alias("salt")
+    return _keyed(stream, keys, salt).transformWithStateInPandas(
+        statefulProcessor=Ring(schema, stream.columns, order, capacity), outputStructType="kept bigint", outputMode="Append", timeMode="None")
 
 
 def retained(spark: SparkSession, checkpoint: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str], capacity: int) -> DataFrame:
