@@ -344,6 +344,54 @@ def test_recall_of_short_passages(llm_spark):
     assert got[0.9] >= 0.99 and got[0.85] >= 0.95 and got[0.75] >= 0.8
 
 
+def shifted(rng, shared, kind, every):
+    """The passage with a word left out or put in after every so many words, (7, 9) meaning either at random."""
+    out, left = [], None
+    for word in shared:
+        left = (rng.choice(every) if isinstance(every, tuple) else every) if left is None else left
+        if left == 0:
+            left = None
+            if kind == "out" or kind == "both" and rng.random() < 0.5:
+                continue
+            out += [f"c{rng.randrange(10**9)}", word]
+        else:
+            out.append(word)
+            left -= 1
+    return out
+
+
+def agreement(one, two):
+    """The most words that agree in order, by the plain table of all prefixes."""
+    row = [0] * (len(two) + 1)
+    for word in one:
+        last = row
+        row = [0]
+        for j, other in enumerate(two):
+            row.append(last[j] + 1 if word == other else max(row[j], last[j + 1]))
+    return row[-1]
+
+
+def test_recall_of_shifted_passages(llm_spark):
+    """Passages with words left out, put in, or both: recall against a plain alignment, kind by kind."""
+    rng = random.Random(61)
+    kinds = [(kind, every) for kind in ("out", "in", "both") for every in (6, 8, 10, (7, 9))]
+    each, rows, case, want = 60, [], 0, set()
+    for kind, every in kinds:
+        for _ in range(each):
+            shared = [f"u{rng.randrange(10**9)}" for _ in range(70 + case % 31)]
+            other = shifted(rng, shared, kind, every)
+            if min(len(shared), len(other)) >= 50 and agreement(shared, other) >= 0.75 * max(len(shared), len(other)):
+                want.add(case)
+            rows.append((2 * case, " ".join(sentence(rng, 40) + shared + sentence(rng, 40))))
+            rows.append((2 * case + 1, " ".join(sentence(rng, 25) + other + sentence(rng, 60))))
+            case += 1
+    found = {(r["doc_id"], r["other_id"]) for r in substring.repeated_passages(frame(llm_spark, rows)).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found)
+    for i, kind in enumerate(kinds):
+        cases = [c for c in range(i * each, (i + 1) * each) if c in want]
+        assert len(cases) == each and sum((2 * c, 2 * c + 1) in found for c in cases) >= 0.95 * each, kind
+
+
 def test_copies_within_a_document(llm_spark):
     rng = random.Random(41)
     shared, line, pattern = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 60), ("l", 64), ("t", 30)))
