@@ -52,6 +52,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def discarded(table: DataFrame) -> None:
+    """Remove a table of ``stored`` that nothing reads again, once what was made of it has been written too."""
+    spark = table.sparkSession
+    for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def step(spark: SparkSession) -> Iterator[None]:
     """A step of a chain: removes the tables that ``stored`` wrote in the step before, in this thread.
