@@ -170,6 +170,13 @@ def frame_patterns(frames: DataFrame, sampled: DataFrame, patterns: Sequence[str
     return asked.join(values, "_at").drop("_at")
 
 
+def _between(ordered: str, q: float) -> Column:
+    """Quantile of an ordered array between its two nearest values, which it never leaves by rounding."""
+    at = (F.size(ordered) - 1) * F.lit(float(q))
+    under, over = (F.get(ordered, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return under + (over - under) * (at - F.floor(at))
+
+
 def trim_outliers(points: DataFrame, key: str, pos: str, size: str, x: str, y: str, recent: int, low: float, high: float, cap: int) -> DataFrame:
     """Recent points whose radius lies between two quantiles, thinned evenly to ``cap`` per key.
 
@@ -177,8 +184,8 @@ def trim_outliers(points: DataFrame, key: str, pos: str, size: str, x: str, y: s
     """
     latest = points.filter(F.col(pos) >= F.col(size) - recent)
     latest = latest.withColumn("_r", F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)))
-    bounds = latest.groupBy(key).agg(  # at most ``recent`` points per key
-        F.percentile("_r", low).alias("_lo"), F.percentile("_r", high).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    radii = latest.groupBy(key).agg(F.array_sort(F.collect_list("_r")).alias("_radii"), F.count(F.lit(1)).alias("_n"))  # at most ``recent`` points per key
+    bounds = radii.select(key, "_n", _between("_radii", low).alias("_lo"), _between("_radii", high).alias("_hi"))
     kept = latest.join(bounds, key).filter((F.col("_n") < 20) | F.col("_r").between(F.col("_lo"), F.col("_hi")))
     kept = number_rows(kept, [key], [pos], "_rank", at_most=recent)
     sizes = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_m"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetable.operators import edit, relate
+from kinetable.operators import select as C
 from kinetable.operators import stats as S
 from kinetable.operators.evaluate import token_length_stats
 from kinetable.operators.windows import ema
@@ -106,3 +107,11 @@ def test_names_with_dots(spark):
     both(lambda d, s, r: d.select("id", pack_vector([r, "id"]).alias("packed")))
     errors = validate.validate_frames(rows.drop("key", "id"), {"observation.state": {"dtype": "float64", "shape": (2,)}, "next.reward": {"dtype": "float64", "shape": (1,)}})
     assert {tuple(r["errors"]) for r in errors.collect()} == {("task: missing",)}
+
+
+def test_trimming_keeps_points_on_the_bound(spark):
+    """Two radii one rounding step apart, with the bound 45 hundredths of the way between them."""
+    values = [0.65, 0.78, 3.15, 3.1500000000000004, *[float(n) for n in range(4, 50)]]
+    points = spark.createDataFrame([(0, i, 50, v, 0.0) for i, v in enumerate(values)], "key long, pos long, size long, x double, y double")
+    kept = {r["x"] for r in C.trim_outliers(points, "key", "pos", "size", "x", "y", 50, 0.05, 0.95, 50).collect()}
+    assert kept == set(values[2:47])
