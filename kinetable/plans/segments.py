@@ -18,13 +18,15 @@ the plan: results do not depend on it.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from kinetable.functions.names import named
 from kinetable.session import materialize, setting
 
 SEG = "_segment"
@@ -156,42 +158,52 @@ def running(
     return joined.withColumns(out).drop(*[h for h in helpers if h not in out])
 
 
-#: Decimal digits to which what is left of an earlier block may fade before it is left out.
+#: Decimal digits to which what is left of an earlier row may fade before it is left out.
 FADED_DIGITS = 40
 
 
 def decaying(df: DataFrame, keys: Sequence[str], pos: str, term: Column, keep: float, out: str) -> DataFrame:
     """Add the linear recurrence ``y = keep * y before + term``, y before the first row being 0; 0 < keep < 1.
 
-    The map of a row is ``y -> keep * y + term``, and maps compose. Positions are cut into blocks so long
-    that a block's map fades to 1e-40: inside a block y is a running sum of weighted terms, and of all
-    earlier blocks only the last one's sum is left. So a segment needs the two blocks before it, and
-    the rows are moved once. Where that would outgrow a segment, the maps of the blocks are chained.
+    Rows go through a task in order and y is carried from one to the next in just these two steps,
+    so values on a rounding tie stay there. A null term adds nothing; y is null before the first term.
+    A segment starts as many rows early as it takes a row to fade to 1e-40, twice, so the rows are moved
+    once. Where that would outgrow a segment, the maps of the blocks are chained.
     """
     wanted = math.ceil(FADED_DIGITS / -math.log10(keep))
     whole = in_one_segment(df, pos)
     if not whole and 2 * wanted > segment_rows(df):
         return _chained(df, keys, pos, term, keep, out, min(wanted, segment_rows(df)))
-    rows = df.withColumns({"_block": F.floor(F.col(pos) / wanted), "_term": term.cast("double")})
-    rows = rows.withColumn("_w", F.pow(F.lit(keep), F.col(pos) - F.col("_block") * wanted))
-    rows = note_bound(rows, pos, group_bound(df, pos))
-
-    def inside(here: WindowSpec, block: WindowSpec) -> DataFrame:
-        placed = spread.withColumn("_z", F.sum(F.col("_term") / F.col("_w")).over(block.rowsBetween(Window.unboundedPreceding, 0)) * F.col("_w"))
-        placed = placed.withColumn("_left", F.lag("_z", 1).over(here))
-        first = F.first("_left").over(block.rowsBetween(Window.unboundedPreceding, 0))
-        return placed.withColumn(out, F.col("_z") + F.col("_w") * keep * F.coalesce(first, F.lit(0.0)))
-
-    helpers = ["_block", "_term", "_w", "_z", "_left"]
+    rows = df.withColumn("_term", term.cast("double"))
     if whole:
-        spread = rows.repartition(*keys)  # serves both windows
-        return inside(Window.partitionBy(*keys).orderBy("_block", pos), Window.partitionBy(*keys, "_block").orderBy(pos)).drop(*helpers)
-    size = segment_rows(df)
-    ahead = F.floor((F.col(pos) + 2 * wanted) / size)
-    spread = rows.withColumn(SEG, F.explode(F.sequence(segment_of(df, pos), ahead))).withColumn(_OWN, F.col(SEG) == segment_of(df, pos))
-    spread = spread.repartition(*keys, SEG)  # serves both windows
-    placed = inside(Window.partitionBy(*keys, SEG).orderBy("_block", pos), Window.partitionBy(*keys, SEG, "_block").orderBy(pos))
-    return placed.filter(_OWN).drop(SEG, _OWN, *helpers)
+        spread, parts = rows.withColumn(_OWN, F.lit(True)), [*keys]
+    else:
+        ahead = F.floor((F.col(pos) + 2 * wanted) / segment_rows(df))
+        spread = rows.withColumn(SEG, F.explode(F.sequence(segment_of(df, pos), ahead))).withColumn(_OWN, F.col(SEG) == segment_of(df, pos))
+        parts = [*keys, SEG]
+    # The first row of a part is marked by a window, which finds the rows placed and sorted as it needs them.
+    spread = spread.withColumn("_starts", F.row_number().over(Window.partitionBy(*parts).orderBy(pos)) == 1)
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = None
+        for batch in batches:
+            ys = []
+            for starts, x in zip(batch.column(n - 1).to_pylist(), batch.column(n).to_pylist()):
+                if starts:
+                    y = x
+                elif x is not None:
+                    y = x if y is None else x + keep * y
+                elif y is not None:
+                    y = keep * y
+                ys.append(y)
+            made = pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(ys, pa.float64())], [*kept, out])
+            yield made.filter(batch.column(n - 2))
+
+    kept = [c for c in df.columns if c != out]
+    n = len(kept) + 2
+    numbered = spread.select(*[named(c).alias(f"_{i}") for i, c in enumerate(kept)], _OWN, "_starts", "_term")  # names with dots cannot be handed over
+    placed = numbered.mapInArrow(carried, StructType([*[StructField(c, df.schema[c].dataType) for c in kept], StructField(out, DoubleType())]))
+    return placed.select(*[named(c).alias(c, metadata=df.schema[c].metadata) for c in kept], named(out))
 
 
 def _chained(df: DataFrame, keys: Sequence[str], pos: str, term: Column, keep: float, out: str, size: int) -> DataFrame:

@@ -211,3 +211,16 @@ def test_episode_lists_split_a_hot_episode(spark, limit):
         assert got.count() == 600 and got.filter("progress = 0.5").count() == frames.filter("episode_index = 0").count()
     finally:
         spark.conf.unset("spark.kinetable.broadcastRows")
+
+
+@pytest.mark.parametrize("size", [65536, 4000])
+def test_ema_stays_on_a_rounding_tie(spark, segments, size):
+    segments(size)
+    rows = spark.range(20000).select((F.col("id") % 20).alias("episode_index"), F.floor(F.col("id") / 20).alias("frame_index"))
+    rows = rows.withColumn("x", F.when(F.col("episode_index") == 0, F.col("frame_index") % 7 + 0.25).otherwise(F.col("episode_index") + 0.5).cast("double"))
+    rows = note_bound(rows, "frame_index", 1000) if size > 4000 else rows
+    got = W.ema(rows, "x", 10, "y").toPandas().sort_values(["episode_index", "frame_index"])
+    want, alpha = [], 2.0 / 11
+    for at, x in zip(got["frame_index"], got["x"]):
+        want.append(x if at == 0 else alpha * x + (1 - alpha) * want[-1])
+    assert got["y"].tolist() == want
