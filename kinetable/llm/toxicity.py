@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCUMENTS = 5_000
 BUCKETS = 1 << 17
 CACHED_WORDS = 500_000
-_ENTRIES = 1 << 21
+_ENTRIES = 1 << 18
 
 
 def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -73,6 +73,15 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(odds, -60.0, 60.0))))
 
 
+def _sums(to: np.ndarray, size: int, weight) -> np.ndarray:
+    """``bincount`` in slices, so that its copies stay small; ``weight`` gives the weights of a slice."""
+    out = np.zeros(size)
+    for at in range(0, len(to), _ENTRIES):
+        part = slice(at, at + _ENTRIES)
+        out += np.bincount(to[part], weight(part), size)
+    return out
+
+
 class _Gather:
     """``out[r] = sum(weight * rows[c])`` over fixed (r, c, weight), and its transpose."""
 
@@ -80,12 +89,7 @@ class _Gather:
         self.r, self.c, self.weight, self.shape = r, c, weight, shape
 
     def _run(self, to, frm, values, size):
-        out = np.zeros((size, values.shape[1]))
-        for at in range(0, len(to), _ENTRIES):  # in slices: the temporary arrays stay small
-            part = slice(at, at + _ENTRIES)
-            for k in range(values.shape[1]):
-                out[:, k] += np.bincount(to[part], self.weight[part] * values[frm[part], k], size)
-        return out
+        return np.stack([_sums(to, size, lambda part, v=v: self.weight[part] * v[frm[part]]) for v in np.ascontiguousarray(values.T)], axis=1)
 
     def __call__(self, values):
         return self._run(self.r, self.c, values, self.shape[0])
@@ -95,7 +99,7 @@ class _Gather:
 
 
 def train(
-    texts: list[str | None], labels: list[int], *, buckets: int = BUCKETS, width: int = 2, epochs: int = 50, rate: float = 0.2, scale: float = 32.0, decay: float = 1e-6,
+    texts: Iterable[str | None], labels: Sequence[int], *, buckets: int = BUCKETS, width: int = 2, epochs: int = 50, rate: float = 0.2, scale: float = 32.0, decay: float = 1e-6,
     least: int = 8, favour: float = 0.5, seed: int = 3
 ) -> Model:
     """Fit embeddings and softmax together by gradient steps with momentum on whole texts.
@@ -107,14 +111,9 @@ def train(
     sixty moves the score.
 
     Without texts every score is 0; with one class only, scores follow its share.
+
+    Texts are read one after the other and not kept; the labels are read after them.
     """
-    if not len(labels):
-        return Model(np.zeros(1, np.float32), -60.0)
-    y = np.asarray(labels, np.int64)
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
-    prior = float(np.log(share / (1 - share)))
-    if y.min() == y.max():
-        return Model(np.zeros(1, np.float32), prior)
     number: dict[bytes, int] = {}
     r, c, weight = array("i"), array("i"), array("f")
     for d, text in enumerate(texts):
@@ -124,26 +123,38 @@ def train(
             r.append(d)
             c.append(number.setdefault(word, len(number)))
             weight.append(scale * times / total)
-    pooled = _Gather(np.frombuffer(r, np.int32), np.frombuffer(c, np.int32), np.frombuffer(weight, np.float32), (len(texts), max(1, len(number))))
+    if not len(labels):
+        return Model(np.zeros(1, np.float32), -60.0)
+    y = np.asarray(labels, np.int64)
+    share = (y.sum() + 0.5) / (len(y) + 1.0)
+    prior = float(np.log(share / (1 - share)))
+    if y.min() == y.max():
+        return Model(np.zeros(1, np.float32), prior)
+    pooled = _Gather(np.frombuffer(r, np.int32), np.frombuffer(c, np.int32), np.frombuffer(weight, np.float32), (len(y), max(1, len(number))))
     flat, lengths = array("i"), array("i")
     for word in number:
         found = subwords(word, buckets)
         flat.extend(found)
         lengths.append(len(found))
+    del number
     flat, lengths = np.frombuffer(flat, np.int32), np.frombuffer(lengths, np.int32)
     owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     # A bucket that few documents hold says nothing of others: its vector stays zero.
-    holders = np.bincount(flat, np.bincount(pooled.c, minlength=len(lengths)).astype(np.float32)[owner], buckets)
-    common = holders >= min(least, 1 + len(y) // 50)
+    documents = np.bincount(pooled.c, minlength=len(lengths))
+    common = _sums(flat, buckets, lambda part: documents[owner[part]]) >= min(least, 1 + len(y) // 50)
     used, place = np.flatnonzero(common), (np.cumsum(common) - 1).astype(np.int32)
     kept = common[flat]
-    flat, owner = place[flat[kept]], owner[kept]
-    share_of_word = (1.0 / np.maximum(lengths, 1)).astype(np.float32)[owner]
+    owner = owner[kept]
+    flat = place[flat[kept]]
+    del kept
+    share_of_word = (1.0 / np.maximum(lengths, 1)).astype(np.float32)
     # Frequent n-grams vary more from text to text: each bucket is weighted by one over the root of its rate.
-    rate_of_word = np.bincount(pooled.c, pooled.weight, len(lengths)) / len(y) / scale
-    rate_of = np.bincount(flat, share_of_word * rate_of_word[owner], max(1, len(used)))
+    rate_of_word = _sums(pooled.c, len(lengths), lambda part: pooled.weight[part]) / len(y) / scale
+    rate_of = _sums(flat, max(1, len(used)), lambda part: share_of_word[owner[part]] * rate_of_word[owner[part]])
     evened = 1.0 / np.sqrt(np.maximum(rate_of, 1e-9) * max(1, len(used)))
-    spelled = _Gather(owner, flat, share_of_word * evened[flat].astype(np.float32), (max(1, len(lengths)), max(1, len(used))))
+    spread = share_of_word[owner]
+    spread *= evened.astype(np.float32)[flat]
+    spelled = _Gather(owner, flat, spread, (max(1, len(lengths)), max(1, len(used))))
     generator = np.random.default_rng(seed)
     params = [generator.normal(0, 0.1, (max(1, len(used)), width)), generator.normal(0, 0.1, (width, 2))]
     bias = np.array([-prior / 2, prior / 2])  # fixed: a text without words has the share of its class
@@ -178,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Train on about ``sample`` labelled documents that are not held out.
 
     The labels are dealt by the hash of their id into parts of about that size, and one part is the
-    sample. It is bounded, so it is broadcast to the documents, and its texts are read to the
-    driver to train. A row without a label or an
+    sample. It is bounded, so it is broadcast to the documents, and its texts are read by the
+    driver one after the other to train. A row without a label or an
     id is not learnt from, an id with several labels counts as the largest, and of several texts of an
     id the smallest is learnt from.
     """
@@ -188,10 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     parts = max(1, -(-chosen.count() // sample))
     chosen = chosen.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0)
     slim = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
-    rows = slim.join(F.broadcast(chosen), "node").groupBy("node").agg(F.min("label").alias("label"), F.min("text").alias("text")).orderBy("node").collect()
-    found, known = [r["text"] for r in rows], [int(r["label"]) for r in rows]
-    del rows
-    return train(found, known)
+    rows = slim.join(F.broadcast(chosen), "node").groupBy("node").agg(F.min("label").alias("label"), F.min("text").alias("text")).orderBy("node")
+    known: list[int] = []
+
+    def texts() -> Iterator[str | None]:
+        for row in rows.toLocalIterator():
+            known.append(int(row["label"]))
+            yield row["text"]
+
+    return train(texts(), known)
 
 
 _WORDS: dict[int, dict[bytes, float]] = {}

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -162,6 +163,16 @@ def test_toxicity_learns_and_meets_misspellings():
     assert 0 <= model.score("", {}) <= 1 and 0 <= model.score("x" * 5000, {}) <= 1
 
 
+def test_toxicity_is_trained_in_little_memory():
+    labels = [d % 2 for d in range(200)]
+    texts = (" ".join(f"{('bad', 'good')[d % 2]}word{(d * 7919 + w * 104729) % 60000}x{w}" for w in range(150)) for d in range(200))
+    tracemalloc.start()
+    toxicity.train(texts, labels, epochs=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 36e6  # 30000 words of 18 n-grams on average
+
+
 def test_simhash_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(4)
     lists = [rng.integers(0, 2**63, 12).astype(np.uint64) for _ in range(40)]
