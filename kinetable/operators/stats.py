@@ -25,6 +25,8 @@ EDGE = 1e-10
 SKETCH_K = 800
 #: Half the width of a bracket around a quantile, in units of 1 / k: several times the rank error.
 SKETCH_REACH = 8.0
+#: Values of short episodes that one task sorts, about.
+TASK_VALUES = 500_000
 SERIES = ["feature", "dim"]
 
 
@@ -258,9 +260,18 @@ def augment_quantiles(frames: DataFrame, stats: DataFrame, features: Sequence[st
 
 
 def episode_quantiles(frames: DataFrame, features: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """Statistics with quantiles of every episode."""
-    tall = to_series(frames, ["episode_index"], features)
-    return histogram_quantiles(tall, ["episode_index"], quantiles, at_most=group_bound(frames, "frame_index"))
+    """Statistics with quantiles of every episode.
+
+    Short episodes are moved as frames, before their values become rows, and dealt into so many tasks
+    that a task sorts about ``TASK_VALUES`` values whatever the size of the table.
+    """
+    at_most, total = group_bound(frames, "frame_index"), group_bound(frames, "index")
+    if at_most is not None and at_most <= segment_rows(frames):
+        frames = frames.select("episode_index", *[named(f) for f in features])
+        tasks = -(-(total or 0) * len(features) // TASK_VALUES)
+        most = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        frames = frames.repartition(tasks, "episode_index") if tasks > most else frames.repartition("episode_index")
+    return histogram_quantiles(to_series(frames, ["episode_index"], features), ["episode_index"], quantiles, at_most=at_most)
 
 
 def stats_by_axis(frames: DataFrame, column: str, axis: str, keys: Sequence[str] = ()) -> DataFrame:

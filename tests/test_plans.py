@@ -11,6 +11,7 @@ from kinetable.operators import progress as P
 from kinetable.operators import select as C
 from kinetable.operators import stats as S
 from kinetable.operators import windows as W
+from kinetable.plans.frames import index_frames
 from kinetable.plans.segments import decaying, note_bound, number_rows
 
 
@@ -224,3 +225,15 @@ def test_ema_stays_on_a_rounding_tie(spark, segments, size):
     for at, x in zip(got["frame_index"], got["x"]):
         want.append(x if at == 0 else alpha * x + (1 - alpha) * want[-1])
     assert got["y"].tolist() == want
+
+
+def test_quantiles_of_short_episodes_are_sorted_in_bounded_tasks(spark, monkeypatch):
+    rows = spark.range(3000).select(F.floor(F.col("id") / 5).alias("key"), "id", (F.col("id") % 97).cast("double").alias("x"), F.col("id").cast("double").alias("y.z"))
+    frames = index_frames(rows, "key", ["id"])[0]
+    whole = S.episode_quantiles(frames, ["x", "y.z"])
+    monkeypatch.setattr(S, "TASK_VALUES", 300)
+    cut = S.episode_quantiles(frames, ["x", "y.z"])
+    order = ["episode_index", "feature", "dim"]
+    pd.testing.assert_frame_equal(cut.orderBy(order).toPandas(), whole.orderBy(order).toPandas())
+    cut.collect()
+    assert "hashpartitioning(episode_index" in plan_of(cut) and ", 20), REPARTITION_BY_NUM" in plan_of(cut)  # 3000 rows of two values in tasks of 300
