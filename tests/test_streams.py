@@ -1,6 +1,9 @@
 """Streams in several batches against the same operators on all rows at once."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +98,13 @@ def test_latency_windows_of_any_size():
         for i in range(7, 50):
             recent = values[max(0, i - size + 1) : i + 1]
             assert np.isclose(found["p"][i - 7], np.quantile(recent, 0.9)) and found["low"][i - 7] == recent.min()
+
+
+def test_gate_asks_its_state_for_distant_rows_only():
+    asked = []
+    gate = J.Gate("v", "step", ["at"], "must", 1.0)
+    gate.last = SimpleNamespace(exists=lambda: True, get=lambda: ([0.0],), update=lambda value: None)
+    gate.seen = SimpleNamespace(containsKey=lambda key: asked.append(key) or key == (3,), getValue=lambda key: (0,), updateValue=lambda key, value: None)
+    rows = pd.DataFrame({"v": [[0.5], [2.0], [2.5], [9.0], [9.5]], "step": [1, 2, 2, 3, 5], "at": range(5), "must": [False] * 5})
+    out = pd.concat(gate.handleInputRows(("a",), iter([rows]), None))
+    assert out["at"].tolist() == [1, 4] and asked == [(2,), (3,), (5,)]
