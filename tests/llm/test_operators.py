@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -484,3 +485,33 @@ def test_rare_names_keep_fixed_scores(llm_spark):
     pages = [(i, f"<article><p>some words here</p><made-up-{i}>text</made-up-{i}></article>") for i in range(40)]
     weights = html.fit(llm_spark.createDataFrame(pages, "page_id long, html string"))
     assert "p" in weights.tags and not any(name.startswith("made-up") for name in weights.tags)
+
+
+def test_bits_of_a_chunk_equal_those_packed_one_by_one():
+    rng = np.random.default_rng(3)
+    for count, before, width in ((1, 0, 1), (300, 45, 95), (301, 7, 16)):
+        words = rng.integers(0, 1 << 32, count).astype("<u4")
+        chunk = substring.Chunk(np.array([1]), words, np.array([count]))
+        at = rng.permutation(count)
+        padded = np.r_[np.zeros(before, np.uint8), (words & 1).astype(np.uint8), np.zeros(width, np.uint8)]
+        assert (chunk.bits(at, before, width) == np.packbits([padded[i : i + width] for i in at], axis=1)).all()
+
+
+def test_rows_of_one_seed_travel_in_one_part_of_a_task():
+    """Parts are the upper bits of a seed, by which a task's rows are sorted, so a part is one piece a task."""
+    sent = []
+
+    class Table:
+        def mapInArrow(self, make, schema):
+            words = np.random.default_rng(4).integers(0, 50, 4000).astype("<u4")
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([words[:2000].tobytes(), words[2000:].tobytes()], pa.binary())], names=["node", "words"])
+            sent.extend(row for made in make(iter([batch])) for row in made.to_pylist() if row["size"] < 0)
+            raise StopIteration
+
+    for exact, kind in ((True, 20), (False, 40)):
+        sent.clear()
+        with pytest.raises(StopIteration):
+            substring.seed_links(Table(), 4000, 5, exact=exact, least=50, similarity=0.75, buckets=4)
+        assert len({row["bucket"] for row in sent}) == len(sent) > 100
+        seeds = [np.frombuffer(row["packed"], "u1").reshape(-1, kind)[:, :8].copy().view("<u8").ravel() for row in sent]
+        assert len(np.unique(np.concatenate([np.unique(s) for s in seeds]))) == sum(len(np.unique(s)) for s in seeds)
