@@ -515,3 +515,60 @@ def test_rows_of_one_seed_travel_in_one_part_of_a_task():
         assert len({row["bucket"] for row in sent}) == len(sent) > 100
         seeds = [np.frombuffer(row["packed"], "u1").reshape(-1, kind)[:, :8].copy().view("<u8").ravel() for row in sent]
         assert len(np.unique(np.concatenate([np.unique(s) for s in seeds]))) == sum(len(np.unique(s)) for s in seeds)
+
+
+def test_changed_passages_of_common_words(llm_spark):
+    """Every run of nine words of a passage also stands in a hundred other documents, so each seed two documents share is common."""
+    rng = random.Random(71)
+    kinds, rows, wanted, windows = ("changed", "out", "in"), [], set(), []
+    for case in range(9):
+        shared = [f"p{case}_{i}" for i in range(70)]
+        if kinds[case % 3] == "changed":
+            other = [f"c{rng.randrange(10**9)}" if i % 10 == 9 else w for i, w in enumerate(shared)]
+        else:
+            other = shifted(rng, shared, kinds[case % 3], 9)
+        rows += [(2 * case, " ".join(sentence(rng, 40) + shared + sentence(rng, 40))), (2 * case + 1, " ".join(sentence(rng, 25) + other + sentence(rng, 60)))]
+        wanted.add((2 * case, 2 * case + 1))
+        windows += [shared[i : i + 9] for i in range(62)] * 100
+    rng.shuffle(windows)
+    for at in range(0, len(windows), 20):
+        parts = [[*part, *(f"d{rng.randrange(10**12)}" for _ in range(9))] for part in windows[at : at + 20]]
+        rows.append((1000 + at, " ".join(w for part in parts for w in part)))
+    found = {(r["doc_id"], r["other_id"]) for r in substring.repeated_passages(frame(llm_spark, rows)).collect()}
+    assert found & {(a, b) for a in range(18) for b in range(18)} == wanted
+
+
+def test_all_places_of_a_seed_are_compared():
+    seed, node = np.repeat(np.arange(3, dtype=np.uint64), (2, 40, 7)), np.r_[1, 1, np.arange(40) // 2, np.arange(7)]
+    order = np.random.default_rng(1).permutation(len(seed))
+    context, bits = np.zeros(len(seed), np.uint16), np.zeros((len(seed), 12), np.uint8)
+    i, j, _ = substring.neighbours(seed[order], node[order], np.arange(len(seed)), context, context, bits, least=50, k=5, similarity=0.75)
+    pairs = {frozenset(p) for p in zip(order[i].tolist(), order[j].tolist())}
+    assert len(pairs) == len(i) and pairs == {frozenset((a, b)) for a in range(49) for b in range(a) if seed[a] == seed[b] and node[a] != node[b]}
+
+
+@pytest.mark.parametrize("direct", [1024, 60])
+def test_common_places_against_all_pairs(monkeypatch, direct):
+    """Each place that shares a passage by a run that begins or ends there has a partner, and all partners do share one."""
+    monkeypatch.setattr(substring.Common, "DIRECT", direct)
+    rng = np.random.default_rng(5)
+    k, least, similarity, side, count = 5, 20, 0.75, 25, 160
+    families = rng.integers(1, 60000, (6, 2 * side + k))
+    words = families[rng.integers(6, size=count)]
+    changed = rng.random(words.shape) < rng.choice([0.05, 0.15, 0.25, 0.4, 0.9], (count, 1))
+    words = np.where(changed, rng.integers(1, 60000, words.shape), words)
+    words[:, side : side + k] = np.arange(1, k + 1)
+    words[::7, : side // 2], words[3::9, -side // 2 :] = 0, 0
+    words, node = words.astype(np.uint16), np.sort(rng.integers(0, 60, count))
+    common = substring.Common(words, node, k=k, least=least, similarity=similarity)
+    found = set(zip(*(v.tolist() for v in common.found())))
+    near, want = words[:, side - least : side + k + least], set()
+    for a in range(count):
+        for b in range(a + 1, count):
+            if node[a] == node[b] or not any(words[a, c] != words[b, c] or not words[a, c] for c in (side - 1, side + k)):
+                continue
+            equal = ((near[a] == near[b]) & (near[a] != 0)).tolist()
+            if any(equal[s] and equal[e - 1] and sum(equal[s:e]) >= similarity * (e - s) for s in range(least + 1) for e in range(max(least + k, s + least), len(equal) + 1)):
+                want.add((a, b))
+    partners = {x for pair in want for x in pair}
+    assert found <= want and {x for pair in found for x in pair} == partners and set(np.flatnonzero(~common.open)) == partners and len(want) > 100
